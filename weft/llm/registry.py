@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import exact_dedup, mixing, sharding
+from weft.llm import exact_dedup, mixing, near_dedup, sharding
 from weft.session import table
 
 
@@ -21,6 +21,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents: four-word shingles, similarity 0.8."""
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all documents takes from each."""
     return mixing.mix(table(spark, sf_dir, "documents")).select(
@@ -31,6 +36,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_near_dedup": op4_near_dedup,
     "op7_mixing": op7_mixing,
 }
 ORACLE = {
