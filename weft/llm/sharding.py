@@ -24,6 +24,8 @@ from weft.llm._store import saved
 
 #: Boundaries the driver asks for at once.
 LOOK = 1 << 15
+#: Windows of the line that one such request names.
+WINDOWS = 64
 ROW_BYTES = 16
 
 
@@ -72,6 +74,15 @@ class Boundaries:
             else:
                 windows.append([self.at[i - 1], self.at[i]])
         self.unclear.clear()
+        gaps = sorted((b[0] - a[1] for a, b in zip(windows, windows[1:], strict=False)), reverse=True)
+        if len(gaps) >= WINDOWS:  # bridge the narrow gaps: what lies in them is asked for again
+            apart, wide = gaps[WINDOWS - 1], [windows[0]]
+            for w in windows[1:]:
+                if w[0] - wide[-1][1] > apart:
+                    wide.append(w)
+                else:
+                    wide[-1][1] = w[1]
+            windows = wide
         end, each = F.col("end"), max(2, LOOK // len(windows))
         bucket, inside = F.lit(None).cast("long"), F.lit(False)
         for k, (a, b) in enumerate(windows):
