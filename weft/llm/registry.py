@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import exact_dedup, mixing, near_dedup, sharding
+from weft.llm import decontamination, exact_dedup, mixing, near_dedup, quality, sharding, toxicity
 from weft.session import table
 
 
@@ -26,6 +26,20 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where ten-word windows of the benchmark occur in all documents."""
+    found = decontamination.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    ids = F.array_sort(F.col("items").cast("array<string>"))
+    return found.select(
+        "row.doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all documents takes from each."""
     return mixing.mix(table(spark, sf_dir, "documents")).select(
@@ -33,13 +47,31 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from the labels of four folds in five."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("row.doc_id", quality.held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels of four folds in five."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("row.doc_id", quality.held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_near_dedup": op4_near_dedup,
+    "op6_decontamination": op6_decontamination,
     "op7_mixing": op7_mixing,
+    "op8_quality": op8_quality,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLE = {
+    "op6_decontamination": decontamination.ORACLE_SQL,
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
 }
