@@ -87,11 +87,20 @@ class Words:
         self.count = np.bincount(self.text, minlength=texts)
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _power("up", n), out=sums[1:])
+        self._sums = sums
         self.hash = mixed((sums[self.end] - sums[self.start]) * _power("down", max(n, 1))[self.start] if n else sums[:0])
 
     def __len__(self) -> int:
         return len(self.hash)
 
+    def prefix(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words' first k bytes, and which words are longer than that."""
+        longer = self.end - self.start > k
+        start = self.start[longer]
+        out = np.zeros(len(self), dtype=np.uint64)
+        out[longer] = mixed((self._sums[start + k] - self._sums[start]) * _power("down", max(len(self.bytes), 1))[start] + np.uint64(k))
+        return out, longer
+
 
 def chained(hashes: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k neighbouring values, order counting."""
