@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import decontamination, exact_dedup, mixing, near_dedup, quality, sharding, toxicity
+from weft.llm import decontamination, exact_dedup, line_dedup, mixing, near_dedup, quality, sharding, toxicity
 from weft.session import table
 
 
@@ -61,6 +61,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row.doc_id", quality.held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-equal lines among all documents, two edits apart at most."""
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_exact_dedup": op3_exact_dedup,
@@ -69,6 +74,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLE = {
     "op6_decontamination": decontamination.ORACLE_SQL,
