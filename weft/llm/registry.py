@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import decontamination, exact_dedup, line_dedup, mixing, near_dedup, quality, sharding, toxicity
+from weft.llm import decontamination, exact_dedup, line_dedup, lm_scoring, mixing, near_dedup, quality, sharding, toxicity
 from weft.session import table
 
 
@@ -26,6 +26,11 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the context tree of six folds in seven."""
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where ten-word windows of the benchmark occur in all documents."""
     found = decontamination.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -70,6 +75,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_near_dedup": op4_near_dedup,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_decontamination": op6_decontamination,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
