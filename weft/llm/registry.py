@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import decontamination, exact_dedup, line_dedup, lm_scoring, mixing, near_dedup, quality, sharding, toxicity
+from weft.llm import decontamination, exact_dedup, line_dedup, lm_scoring, mixing, near_dedup, quality, sharding, substring_dedup, toxicity
 from weft.session import table
 
 
@@ -16,6 +16,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents in 400-byte strings that occur elsewhere."""
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies among all documents, blanks normalised."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
@@ -73,6 +85,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op5_lm_scoring": op5_lm_scoring,
