@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from weft.plans import corpus, training
+
+QUERIES: dict = {**corpus.QUERIES, **training.QUERIES}
+ORACLE: dict = {**corpus.ORACLE, **training.ORACLE}
