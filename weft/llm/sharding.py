@@ -60,10 +60,9 @@ class Boundaries:
         return self.at[i]
 
     def span(self, low: int, high: int) -> None:
-        """Note every interval that meets [low, high]."""
+        """Note every interval that meets [low, high], as one window."""
         for i in range(max(1, bisect_right(self.at, low)), min(len(self.at) - 1, bisect_left(self.at, high)) + 1):
-            if self.hidden[i]:
-                self.unclear.add(i)
+            self.unclear.add(i)
 
     def fetch(self) -> None:
         """Learn up to LOOK boundaries in the intervals noted."""
@@ -83,13 +82,14 @@ class Boundaries:
                 else:
                     wide[-1][1] = w[1]
             windows = wide
-        end, each = F.col("end"), max(2, LOOK // len(windows))
+        end, first = F.col("end"), 0
         bucket, inside = F.lit(None).cast("long"), F.lit(False)
-        for k, (a, b) in enumerate(windows):
+        for a, b in windows:
             here = (end > a) & (end <= b)
+            each = max(LOOK // len(windows), 2 * (bisect_right(self.at, b) - bisect_right(self.at, a)))  # finer than before
             width = -(-(b - a) // each)
-            bucket = F.when(here, F.lit(k * each) + F.floor((end - a - 1) / F.lit(width)).cast("long")).otherwise(bucket)
-            inside = inside | here
+            bucket = F.when(here, F.lit(first) + F.floor((end - a - 1) / F.lit(width)).cast("long")).otherwise(bucket)
+            inside, first = inside | here, first + each
         rows = self.ends.filter(inside).groupBy(bucket.alias("k")).agg(F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).collect()
         found = sorted((r.end, r.n > 1) for r in rows)
         known = dict(zip(self.at, self.hidden, strict=True))
