@@ -90,8 +90,9 @@ class Boundaries:
             width = -(-(b - a) // each)
             bucket = F.when(here, F.lit(first) + F.floor((end - a - 1) / F.lit(width)).cast("long")).otherwise(bucket)
             inside, first = inside | here, first + each
-        rows = self.ends.filter(inside).groupBy(bucket.alias("k")).agg(F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).collect()
-        found = sorted((r.end, r.n > 1) for r in rows)
+        rows = self.ends.filter(inside).groupBy(bucket.alias("k")).agg(F.min("end").alias("low"), F.max("end").alias("high"), F.count(F.lit(1)).alias("n")).collect()
+        # Both ends of a bucket become known, so that even a bucket that held all shrinks.
+        found = {r.high: r.n > 2 for r in rows} | {r.low: False for r in rows}
         known = dict(zip(self.at, self.hidden, strict=True))
         for a, b in windows:
             for x in self.at[bisect_right(self.at, a) : bisect_right(self.at, b)]:
