@@ -9,7 +9,7 @@ arrays of a whole corpus cannot be built in one place, so the work is divided ex
     side that a window around it can reach.
 2.  Places with one context in common are settled: if there are two, all windows in it
     repeat. Anchors seen in different contexts form groups, each a problem of its own.
-3.  Groups. The contexts of a group are cut where any two of them part, and each stretch
+3.  Groups. Each context of a group is cut where it parts with another, and each stretch
     becomes one symbol. A suffix array of these short strings, built by grouping suffixes by
     Lyndon prefix, gives by its neighbours how far each context agrees with any other from
     each cut on, and so exactly the windows that repeat.
@@ -130,19 +130,33 @@ def common(text: list[int], suffixes: list[int]) -> list[int]:
     return out
 
 
-def _agreement(sides: list[bytes]) -> tuple[list[int], list[int]]:
-    """For each string the longest prefix shared with another; all lengths at which two part."""
+def _agreement(sides: list[bytes]) -> list[list[int]]:
+    """For each string the lengths, above 0, at which it parts with any other.
+
+    In sorted order these are the running minima, either way, of the prefixes that
+    neighbours share. Strings that share a prefix part with the others at the same places
+    within it.
+    """
     order = sorted(range(len(sides)), key=sides.__getitem__)
-    most, cuts = [0] * len(sides), set()
+    shared = [0]
     for x, y in zip(order, order[1:], strict=False):
         a, b = sides[x], sides[y]
         n = min(len(a), len(b))
         if a[:n] != b[:n]:
             u, v = np.frombuffer(a, dtype=np.uint8, count=n), np.frombuffer(b, dtype=np.uint8, count=n)
             n = int(np.argmax(u != v))
-        most[x], most[y] = max(most[x], n), max(most[y], n)
-        cuts.add(n)
-    return most, sorted(cuts - {0})
+        shared.append(n)
+    cuts: list[set[int]] = [set() for _ in sides]
+    for ahead, places in ((0, range(len(order))), (1, range(len(order) - 1, -1, -1))):
+        low: list[int] = []
+        for j in places:
+            n = shared[j + ahead] if j + ahead < len(order) else 0
+            while low and low[-1] > n:
+                low.pop()
+            if n and (not low or low[-1] < n):
+                low.append(n)
+            cuts[order[j]].update(low)
+    return [sorted(c) for c in cuts]
 
 
 def repeats(left: list[bytes], right: list[bytes], reach: int) -> list[list[tuple[int, int]]]:
@@ -152,8 +166,8 @@ def repeats(left: list[bytes], right: list[bytes], reach: int) -> list[list[tupl
     takes l bytes on the left and reach - l on the right. The contexts differ.
     """
     out: list[list[tuple[int, int]]] = [[] for _ in left]
-    l_most, l_cuts = _agreement(left)
-    r_most, r_cuts = _agreement(right)
+    l_cuts, r_cuts = _agreement(left), _agreement(right)
+    l_most, r_most = [max(c, default=0) for c in l_cuts], [max(c, default=0) for c in r_cuts]
     able = [i for i in range(len(left)) if l_most[i] + r_most[i] >= reach]
     if len(able) < 2:
         return out
@@ -166,8 +180,7 @@ def repeats(left: list[bytes], right: list[bytes], reach: int) -> list[list[tupl
         return number.setdefault((side, k, piece), len(number) + 1)
 
     for i in able:
-        ls = [0, *(c for c in l_cuts if c <= l_most[i])]
-        rs = [0, *(c for c in r_cuts if c <= r_most[i])]
+        ls, rs = [0, *l_cuts[i]], [0, *r_cuts[i]]
         low = next((k for k, c in enumerate(ls) if c + r_most[i] >= reach), len(ls))
         for k in range(len(ls) - 1, -1, -1):
             if k >= low:
@@ -189,7 +202,7 @@ def repeats(left: list[bytes], right: list[bytes], reach: int) -> list[list[tupl
     for i, taken, k, at in heads:
         symbols = max(shared[rank[at]], shared[rank[at] + 1]) - k - 1
         if symbols >= 0:
-            beyond = r_cuts[symbols - 1] if symbols else 0
+            beyond = r_cuts[i][symbols - 1] if symbols else 0
             if taken + beyond >= reach:
                 out[i].append((max(0, reach - beyond), taken))
     return out
@@ -221,11 +234,18 @@ def anchors(data: np.ndarray, length: int) -> np.ndarray:
     return np.stack([h[place].view(np.int64), context.view(np.int64), place, right], axis=1)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that what is made of them stays small."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def _places(length: int):
     """Anchors of each text; those with equal contexts in one row, with all their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             data, at = byte_column(batch.column("text"))
             keys = batch.column("key").to_numpy()
             columns: list[list] = [[] for _ in range(5)]
@@ -269,7 +289,7 @@ def _contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
         names = ["hash", "class", "part", "context", "many", "left", "right"]
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[tuple] = []
             data, at = byte_column(batch.column("text"))
             for i, wanted in enumerate(batch.column("wanted").to_pylist()):
@@ -339,7 +359,7 @@ def _covered(length: int):
     reach = length - length // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             keys, starts, ends = [], [], []
             for r in batch.to_pylist():
                 places = np.frombuffer(r["places"], dtype=np.int32).tolist() if r["places"] is not None else [r["place"]]
@@ -357,24 +377,27 @@ def _covered(length: int):
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-    for batch in batches:
+    for batch in sliced(batches):
         data, at = byte_column(batch.column("row").field("text"))
+        column, whole = batch.column("spans"), batch.column("whole").to_pylist()
+        bounds = column.offsets.to_numpy()
+        starts, ends = (column.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         kept, removed = [], []
-        for i, (spans, whole) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("whole").to_pylist(), strict=True)):
+        for i in range(batch.num_rows):
             text = data[at[i] : at[i + 1]]
             runs_: list[dict] = []
-            if whole:
+            if whole[i]:
                 runs_ = [{"start": 0, "end": len(text)}]
-            elif spans:
+            elif column[i].is_valid:
                 edge = np.zeros(len(text) + 1, dtype=np.int64)
-                np.add.at(edge, [s["start"] for s in spans], 1)
-                np.add.at(edge, [s["end"] for s in spans], -1)
+                np.add.at(edge, starts[bounds[i] : bounds[i + 1]], 1)
+                np.add.at(edge, ends[bounds[i] : bounds[i + 1]], -1)
                 gone = np.r_[False, np.cumsum(edge)[:-1] > 0, False]
                 flips = np.flatnonzero(gone[1:] != gone[:-1]).tolist()
                 runs_ = [{"start": a, "end": b} for a, b in zip(flips[::2], flips[1::2], strict=True)]
             removed.append(runs_)
-            ends = [0, *(x for r in runs_ for x in (r["start"], r["end"])), len(text)]
-            kept.append(b"".join(text[a:b].tobytes() for a, b in zip(ends[::2], ends[1::2], strict=True)))
+            cuts = [0, *(x for r in runs_ for x in (r["start"], r["end"])), len(text)]
+            kept.append(b"".join(text[a:b].tobytes() for a, b in zip(cuts[::2], cuts[1::2], strict=True)))
         yield pa.RecordBatch.from_arrays([batch.column("row").field("doc_id"), pa.array(np.diff(at)), pa.array(removed, pa.list_(span)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
 
 
