@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -403,3 +404,35 @@ def test_line_links_against_all_pairs(spark):
     expected = {p: (*first[root(x)], len(where[x]), links[x]) for x in nodes for p in where[x]}
     got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.copies, r.links) for r in line_dedup.line_dedup(documents(spark, rows)).collect()}
     assert got == expected and sum(links.values()) > 20
+
+
+def test_tree_keeps_every_context(spark):
+    """Scores equal those of the whole tree, built in one place, of more than 32768 contexts."""
+    rnd = random.Random(11)
+    rows = [(i, "".join(rnd.choice("abcdefghij klmnopqrstuvwxyzé") for _ in range(500))) for i in range(60)] + [(60, None), (61, " "), (62, "ab" * 300)]
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    raw = {i: b"\n" * lm_scoring.DEPTH + (" ".join(re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))) + "\n").encode() for i, t in rows}
+    levels = []
+    for d in range(lm_scoring.DEPTH + 1):
+        counts = collections.Counter((int.from_bytes(b[j - d : j], "big"), b[j]) for i, b in raw.items() if not held[i] for j in range(lm_scoring.DEPTH, len(b)))
+        levels.append(lm_scoring.level(*(np.array(v, dtype=np.int64) for v in zip(*((c, x, n) for (c, x), n in counts.items()), strict=True))))
+    assert sum(len(v.contexts) for v in levels) > 1 << 15 and any(held.values())
+    tree = lm_scoring.build(levels)
+    got = {r.doc_id: r.score for r in lm_scoring.lm_scores(documents(spark, rows)).collect()}
+    for i, b in raw.items():
+        assert got[i] == pytest.approx(tree.score(np.frombuffer(b, dtype=np.uint8)).sum(dtype=float), rel=1e-4), i
+
+
+def test_chunks_of_grams_change_nothing(monkeypatch):
+    rnd = np.random.default_rng(5)
+    grams = np.sort(rnd.choice(np.array([97, 98, 99]), (4000, lm_scoring.DEPTH + 1)) @ (1 << 8 * np.arange(lm_scoring.DEPTH, -1, -1)))
+    batches = [pa.RecordBatch.from_arrays([pa.array(g), pa.array(g % 3)], names=["gram", "n"]) for g in np.split(grams, 40)]
+
+    def made(chunk):
+        monkeypatch.setattr(lm_scoring, "CHUNK", chunk)
+        rows = list(lm_scoring._mixes(iter(batches)))
+        p = [np.frombuffer(r.column("p")[0].as_py(), dtype=np.float32).reshape(8, -1) for r in rows]
+        return len(rows), b"".join(r.column("grams")[0].as_py() for r in rows), np.concatenate(p, axis=1)
+
+    (one, whole, p), (several, parts, q) = made(1 << 20), made(150)
+    assert one == 1 and several > 5 and whole == parts and np.allclose(p, q)

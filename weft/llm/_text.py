@@ -59,11 +59,11 @@ def byte_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def pieces(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole texts of about PIECE bytes: first text, end, bytes, offsets."""
+def pieces(data: np.ndarray, at: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of whole texts of about `size` bytes: first text, end, bytes, offsets."""
     low, n = 0, len(at) - 1
     while low < n:
-        high = max(low + 1, int(np.searchsorted(at, at[low] + PIECE, "right")) - 1)
+        high = max(low + 1, int(np.searchsorted(at, at[low] + size, "right")) - 1)
         yield low, high, data[at[low] : at[high]], at[low : high + 1] - at[low]
         low = high
 

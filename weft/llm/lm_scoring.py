@@ -7,9 +7,12 @@ training texts, and context-tree weighting mixes the estimates of all depths: a
 weight is the share of its own estimate in the weighted probability of its training data,
 against those of its longer contexts.
 
-The tree has the most frequent contexts, at most CONTEXTS of them whatever the corpus, so
-that it may go to every task; what follows the others counts in one remaining longer
-context of their suffix. All counts are those of the whole training texts.
+The tree has every context of the training texts, so it grows with them and is held in no
+one place. The counts of all grams (a byte after DEPTH others) are shuffled by the last CUT
+bytes of their contexts: longer contexts have all of their data in one run of rows, where
+their share of each gram's mixture is found. The contexts of fewer bytes than CUT, 65793 at
+most, are mixed in the driver from sums over those runs. The texts' distinct grams are then
+shuffled to the grams' log probabilities, and these back to the texts.
 """
 
 from __future__ import annotations
@@ -25,10 +28,15 @@ from pyspark.sql import functions as F
 
 from weft.llm._groups import runs
 from weft.llm._store import partitions, saved
-from weft.llm._text import NOT_BLANK, Words, byte_column, pieces
+from weft.llm._text import NOT_BLANK, Words, byte_column, mixed, pieces
 
 DEPTH = 5
-CONTEXTS = 1 << 15
+#: Contexts of so many bytes and more are mixed in tasks, shorter ones in the driver.
+CUT = 3
+#: Grams that are mixed at once, unless those of one context of CUT bytes are more.
+CHUNK = 1 << 17
+#: Bytes of text that ask for grams together; the more, the fewer distinct grams a byte.
+ASKING = 1 << 21
 #: Rows of the dense tables that are worked on at once.
 ROWS = 2048
 END = 10
@@ -60,35 +68,50 @@ def stream(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, start
 
 
+def keyed(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of all texts in order, and how many each text has (one at least).
+
+    A gram has the preceding byte in its highest place, then the one before that, and the
+    byte itself lowest: grams in order have the contexts of each depth together.
+    """
+    out, start = stream(words)
+    scored = np.ones(len(out), dtype=bool)
+    for j in range(DEPTH):
+        scored[start + j] = False
+    wide = out.astype(np.int64)
+    key = wide[DEPTH:].copy()
+    for j in range(1, DEPTH + 1):
+        key |= wide[DEPTH - j : len(wide) - j] << (8 * (DEPTH + 1 - j))
+    return key[scored[DEPTH:]], np.diff(np.r_[start, len(out)]) - DEPTH
+
+
+def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[heads], np.add.reduceat(counts, heads)
+
+
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of byte and preceding DEPTH bytes in this task's texts."""
+    """Grams of this task's texts, with their counts in those that are not held out."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def merged() -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        return keys[heads], np.add.reduceat(counts, heads)
+        return _merged(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
 
     for batch in batches:
         data, at = byte_column(batch.column("text"))
-        for _, _, part, offsets in pieces(data, at):
-            out, start = stream(Words(part, offsets, NOT_BLANK))
-            scored = np.ones(len(out), dtype=bool)
-            for j in range(DEPTH):
-                scored[start + j] = False
-            wide = out.astype(np.int64)
-            key = wide[DEPTH:].copy()
-            for j in range(1, DEPTH + 1):
-                key |= wide[DEPTH - j : len(wide) - j] << (8 * j)
-            keys, counts = np.unique(key[scored[DEPTH:]], return_counts=True)
-            held.append((keys, counts))
+        train = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        for low, high, part, offsets in pieces(data, at):
+            key, size = keyed(Words(part, offsets, NOT_BLANK))
+            held.append(_merged(key, np.repeat(train[low:high], size).astype(np.int64)))
             if sum(len(h[0]) for h in held) > HOLD:
                 held = [merged()]
     if held:
         keys, counts = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["gram", "n"])
+        for low in range(0, len(keys), CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[low : low + CHUNK]), pa.array(counts[low : low + CHUNK])], names=["gram", "n"])
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -120,7 +143,10 @@ def _block(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Tree:
-    """log10 probabilities of bytes by deepest context kept, and how to find that context."""
+    """log10 probabilities of bytes by deepest context kept, and how to find that context.
+
+    The whole tree in one place, for small tables only: what the shuffled one must equal.
+    """
 
     pairs: np.ndarray  # by the last two bytes: the deepest context of at most two bytes
     column: np.ndarray  # of each byte in child
@@ -222,62 +248,212 @@ def build(levels: list[Level]) -> Tree:
     return Tree(pairs, column, child, depth, log10)
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> Tree:
-    """The tree of all texts of docs. Null and wordless texts count as an end byte alone."""
-    grams = saved(docs.select(F.col(text_col).alias("text")).mapInArrow(_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    rows = grams.select(F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("depth"), "gram", "n")
-    context = F.shiftright("gram", 8).bitwiseAND(F.element_at(F.array(*[F.lit((1 << 8 * d) - 1).cast("long") for d in range(DEPTH + 1)]), F.col("depth") + 1))
-    rows = saved(rows.groupBy("depth", context.alias("context"), F.col("gram").bitwiseAND(255).alias("byte")).agg(F.sum("n").alias("n")), "contexts")
-    contexts = rows.groupBy("depth", "context").agg(F.sum("n").alias("of"))
-    room, least = CONTEXTS, 1
-    for r in sorted(contexts.groupBy(F.floor(F.log2("of")).alias("size")).count().collect(), reverse=True):  # at most 64 rows
-        room -= r["count"]
-        if room < 0:
-            least = 2 << r.size
-            break
-    kept = contexts.filter(F.col("of") >= least).drop("of")
-    table = rows.join(kept, ["depth", "context"]).toPandas()
+_SMALL = 1 << 12
+_HALF, _ONE = _lgamma(np.arange(_SMALL) + 0.5), _lgamma(np.arange(_SMALL) + 1.0)
+
+
+def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """KT log probability of so many zeros and ones."""
+
+    def looked(n: np.ndarray, known: np.ndarray, more: float) -> np.ndarray:
+        out = known[np.minimum(n, _SMALL - 1).astype(np.int64)]
+        big = n >= _SMALL
+        out[big] = _lgamma(n[big] + more)
+        return out
+
+    return looked(zeros, _HALF, 0.5) + looked(ones, _HALF, 0.5) - np.log(np.pi) - looked(zeros + ones, _ONE, 1.0)
+
+
+def _weighted(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability weighted over own and longer contexts, and the weight of the own estimate."""
+    both = np.logaddexp(own, below) + np.log(0.5)
+    return both, np.exp(own + np.log(0.5) - both)
+
+
+def mix(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of sorted distinct grams with all that share CUT bytes of context: the mixture from CUT
+    on, by decision the probability of the gram's own bit; and what shorter contexts need.
+
+    The latter is, by node (context of CUT - 1 bytes, then the place of the decision), the
+    zeros, the ones and the weighted log probability of the contexts of CUT bytes.
+    """
+    byte = gram & 255
+    orders, keys = {}, {}
+    for d in range(DEPTH, CUT - 1, -1):
+        key = gram >> (8 * (DEPTH - d) + 8) << 8 | byte
+        orders[d] = np.argsort(key, kind="stable")
+        keys[d] = key[orders[d]]
+    p = np.empty((8, len(gram)), dtype=np.float32)
+    nodes, sums = [], []
+    for k in range(8):
+        bit = byte >> (7 - k) & 1
+        mixing, weighted, rep = [], None, None
+        for d in range(DEPTH, CUT - 1, -1):
+            prefix = keys[d] >> (8 - k)
+            head = np.r_[True, prefix[1:] != prefix[:-1]]
+            group = np.empty(len(gram), dtype=np.int64)
+            group[orders[d]] = np.cumsum(head) - 1
+            total, ones = np.bincount(group, n), np.bincount(group, n * bit)
+            own = _kt(total - ones, ones)
+            if weighted is None:
+                weighted, weight = own, np.ones(len(own))
+            else:
+                weighted, weight = _weighted(own, np.bincount(group[rep], weighted, len(own)))
+            rep = orders[d][np.flatnonzero(head)]
+            estimate = (np.where(bit == 1, ones[group], (total - ones)[group]) + 0.5) / (total[group] + 1)
+            mixing.append((weight[group], estimate))
+        out = np.zeros(len(gram))
+        for weight, estimate in mixing:
+            out = weight * estimate + (1 - weight) * out
+        p[k] = out
+        nodes.append(gram[rep] >> 8 * (DEPTH + 2 - CUT) << 8 | 1 << k | byte[rep] >> (8 - k))
+        sums.append((total - ones, ones, weighted))
+    node, place = np.unique(np.concatenate(nodes), return_inverse=True)
+    return p, [node, *(np.bincount(place, np.concatenate(c), len(node)) for c in zip(*sums, strict=True))]
+
+
+MIX_ROW = "grams binary, p binary, nodes array<struct<node: bigint, zeros: double, ones: double, below: double>>"
+
+
+def _mixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per chunk of grams, from rows in order; chunks end where the last CUT bytes change."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    most = CHUNK
+
+    def made(gram: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        gram, n = _merged(gram, n)
+        p, (node, zeros, ones, below) = mix(gram, n)
+        inner = pa.StructArray.from_arrays([pa.array(v) for v in (node, zeros, ones, below)], names=["node", "zeros", "ones", "below"])
+        return pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary()), pa.array([p.tobytes()], pa.binary()), pa.ListArray.from_arrays([0, len(node)], inner)], names=["grams", "p", "nodes"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append((batch.column("gram").to_numpy(), batch.column("n").to_numpy()))
+        if sum(len(h[0]) for h in held) > most:
+            gram, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            cut = int(np.searchsorted(gram >> 8 * (DEPTH + 1 - CUT), gram[-1] >> 8 * (DEPTH + 1 - CUT)))
+            if cut:
+                yield made(gram[:cut], n[:cut])
+            held = [(gram[cut:], n[cut:])]
+            most = max(CHUNK, 2 * (len(gram) - cut))
+    if held:
+        yield made(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+
+def upper(node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the contexts of CUT - 1 bytes, and by place and node what turns a mixture of
+    longer contexts into the whole: a summand for a zero, one for a one, and a factor."""
+    known = np.unique(node >> 8)
+    where = np.zeros(1 << 8 * (CUT - 1), dtype=np.int32)
+    where[known] = np.arange(len(known))
+    add, factor = np.zeros((2, len(node))), np.ones(len(node))
+    at = np.arange(len(node))
     levels = []
-    for d in range(DEPTH + 1):
-        some = table[table["depth"] == d]
-        levels.append(level(some["context"].to_numpy(dtype=np.int64), some["byte"].to_numpy(dtype=np.int64), some["n"].to_numpy()))
-    if not len(levels[0].contexts):
-        none = np.zeros(0, dtype=np.int64)
-        levels = [Level(np.zeros(1, dtype=np.int64), none, none, none)] + [Level(none, none, none, none)] * DEPTH
-    return build(levels)
+    for d in range(CUT - 1, -1, -1):
+        levels.append((at, *_weighted(_kt(zeros, ones), below), zeros, ones))
+        if d:
+            context = node >> 16 if d > 1 else np.zeros(len(node), dtype=np.int64)
+            node, up = np.unique(context << 8 | node & 255, return_inverse=True)
+            weighted = levels[-1][1]
+            zeros, ones, below = (np.bincount(up, v, len(node)) for v in (zeros, ones, weighted))
+            at = up[at]
+    for at, _, weight, zeros, ones in levels:
+        w, total = weight[at], (zeros + ones + 1)[at]
+        add = w * np.stack([zeros[at] + 0.5, ones[at] + 0.5]) / total + (1 - w) * add
+        factor = (1 - w) * factor
+    return where, np.stack([*add, factor]).astype(np.float32)
+
+
+def _logs(shared, parts: int):
+    """By part the grams and their log10 probabilities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, row, (zero, one, factor) = shared.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                gram = np.frombuffer(batch.column("grams")[i].as_py(), dtype=np.int64)
+                p = np.frombuffer(batch.column("p")[i].as_py(), dtype=np.float32).reshape(8, -1)
+                context, byte, logs = where[gram >> 8 * (DEPTH + 2 - CUT)], gram & 255, np.zeros(len(gram))
+                for k in range(8):
+                    at = row[context, 1 << k | byte >> (8 - k)]
+                    logs += np.log10(np.where(byte >> (7 - k) & 1, one[at], zero[at]) + factor[at] * p[k].astype(np.float64))
+                order, cuts = _dealt(gram, parts)
+                columns: list[list] = [[], [], []]
+                for j in np.flatnonzero(np.diff(cuts)).tolist():
+                    own = order[cuts[j] : cuts[j + 1]]
+                    for c, v in zip(columns, (parts + j, gram[own].tobytes(), logs[own].astype(np.float32).tobytes()), strict=True):
+                        c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "grams", "logs"])
+
+    return run
 
 
-PIECE_ROW = "part int, piece long, doc_ids binary, known_ids binary, held binary, n_tokens binary, scores binary, words binary, trained binary, spread binary, owners binary, times binary"
+def _dealt(gram: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of grams by part, then as they are, and where each part starts in it.
 
+    Grams that share four bytes of context share a part: their differences pack well.
+    """
+    part = (mixed((gram >> 16).astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
 
-def _scatter(shared, parts: int):
-    """Per piece a row of its texts' scores, and by part of the vocabulary its words.
+
+def _packed(values: np.ndarray) -> bytes:
+    """An array compressed, its bytes by place."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    return np.int64(planes.size).tobytes() + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, kind) -> np.ndarray:
+    size = int(np.frombuffer(data, dtype=np.int64, count=1)[0])
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def gram_logs(docs: DataFrame, parts: int) -> DataFrame:
+    """part, grams, logs of all grams of docs (text, held_out), by the texts not held out.
+
+    Null and wordless texts count as an end byte alone.
+    """
+    grams = docs.select("text", "held_out").mapInArrow(_grams, "gram long, n long")
+    grams = grams.repartition(partitions(docs.sparkSession), F.shiftright("gram", 8 * (DEPTH + 1 - CUT))).sortWithinPartitions("gram")
+    mixes = saved(grams.mapInArrow(_mixes, MIX_ROW), "mixes")
+    nodes = mixes.select(F.explode("nodes").alias("x")).select("x.*").groupBy("node").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).toPandas()  # of at most 65536 contexts
+    node = nodes["node"].to_numpy(dtype=np.int64)
+    order = np.argsort(node)
+    where, values = upper(node[order], *(nodes.iloc[:, j].to_numpy(dtype=np.float64)[order] for j in (1, 2, 3)))
+    row = np.zeros((max(1, len(np.unique(node >> 8))), 256), dtype=np.int32)
+    row[where[node[order] >> 8], node[order] & 255] = np.arange(len(node))
+    return mixes.select("grams", "p").mapInArrow(_logs(docs.sparkSession.sparkContext.broadcast((where, row, values)), parts), "part int, grams binary, logs binary")
+
+
+PIECE_ROW = "part int, piece long, doc_ids binary, known_ids binary, held binary, n_tokens binary, texts binary, words binary, trained binary, spread binary, owners binary, times binary, grams binary, logs binary"
+
+
+def _scatter(parts: int):
+    """Per piece a row of its texts, by part of the vocabulary its words, by part of the grams its grams.
 
     A word row has the piece's distinct words of the part, their training counts, and for
-    each the texts that hold it and how often.
+    each the texts that hold it and how often. Parts of grams follow those of the vocabulary.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, number = shared.value, 0
+        number = 0
         task = TaskContext.get().partitionId()
         for batch in batches:
             data, at = byte_column(batch.column("text"))
             ids = batch.column("doc_id")
             held_all = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            for low, high, part, offsets in pieces(data, at):
+            for low, high, part, offsets in pieces(data, at, ASKING):
                 words = Words(part, offsets, NOT_BLANK)
-                out, start = stream(words)
-                logs = np.r_[np.zeros(DEPTH), tree.score(out)]
-                for j in range(DEPTH):
-                    logs[start + j] = 0
-                scores = np.add.reduceat(logs, start)
                 held = held_all[low:high]
                 own = ids.slice(low, high - low)
                 piece = task << 32 | number
                 number += 1
                 columns = [
-                    [number % parts], [piece], [own.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], [np.asarray(own.is_valid()).tobytes()],
-                    [held.tobytes()], [(words.count + 1).astype(np.int64).tobytes()], [scores.tobytes()], [b""], [b""], [b""], [b""], [b""],
+                    [(task + number) % parts], [piece], [own.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], [np.asarray(own.is_valid()).tobytes()],
+                    [held.tobytes()], [(words.count + 1).astype(np.int64).tobytes()], [_stored(part, offsets)], [b""], [b""], [b""], [b""], [b""], [None], [None],
                 ]
                 where = (words.hash >> np.uint64(40)) % np.uint64(parts)
                 order = np.lexsort((words.text, words.hash, where))
@@ -292,48 +468,75 @@ def _scatter(shared, parts: int):
                 for p in np.flatnonzero(np.diff(cuts)).tolist():
                     a, b = cuts[p], cuts[p + 1]
                     x, y = word[a], word[b] if b < len(word) else len(h)
-                    row = [p, piece, None, None, None, None, None, h[word[a:b]].tobytes(), trained[a:b].tobytes(), spread[a:b].tobytes(), t[x:y].tobytes(), times[x:y].tobytes()]
+                    row = [p, piece, None, None, None, None, None, h[word[a:b]].tobytes(), *(_packed(v) for v in (trained[a:b], spread[a:b], t[x:y], times[x:y])), None, None]
+                    for column, value in zip(columns, row, strict=True):
+                        column.append(value)
+                gram = np.unique(keyed(words)[0])
+                order, cuts = _dealt(gram, parts)
+                for p in np.flatnonzero(np.diff(cuts)).tolist():
+                    row = [parts + p, piece, *[None] * 10, _packed(gram[order[cuts[p] : cuts[p + 1]]]), None]
                     for column, value in zip(columns, row, strict=True):
                         column.append(value)
-                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 10]
+                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 12]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PIECE_ROW.split(", ")])
 
     return run
 
 
-SUM_ROW = "piece long, doc_ids binary, known_ids binary, held binary, n_tokens binary, scores binary, owners binary, logs binary, known binary, vocabulary long, tokens long"
+def _stored(data: np.ndarray, at: np.ndarray) -> bytes:
+    """The texts of a piece, compressed, after their number, their size and their ends."""
+    head = np.array([len(at) - 1, len(data)], dtype=np.int64)
+    return head.tobytes() + at[1:].astype(np.int64).tobytes() + pa.compress(data.tobytes(), codec="zstd", asbytes=True)
+
+
+def _restored(stored: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, size = np.frombuffer(stored, dtype=np.int64, count=2).tolist()
+    at = np.r_[0, np.frombuffer(stored, dtype=np.int64, count=n, offset=16)]
+    return np.frombuffer(pa.decompress(stored[16 + 8 * n :], decompressed_size=size, codec="zstd", asbytes=True), dtype=np.uint8), at
+
+
+SUM_ROW = "piece long, doc_ids binary, known_ids binary, held binary, n_tokens binary, texts binary, owners binary, logs binary, known binary, vocabulary long, tokens long, part int, grams binary"
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per part, the words' training counts; per piece the texts' sums of log10(count + 1)."""
+    """Per part, the words' training counts; per piece the texts' sums of log10(count + 1).
+
+    Of a part of the grams, the log probabilities of those that each piece has, in its order.
+    """
     names = [x.split()[0] for x in SUM_ROW.split(", ")]
-    kinds = [pa.int64(), *[pa.binary()] * 8, pa.int64(), pa.int64()]
+    kinds = [pa.int64(), *[pa.binary()] * 8, pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     for group in runs(batches, ["part"]):
         rows = group.to_pylist()
         some = [r for r in rows if r["words"]]
-        out = [[r["piece"], r["doc_ids"], r["known_ids"], r["held"], r["n_tokens"], r["scores"], None, None, None, 0, 0] for r in rows if r["doc_ids"] is not None]
+        out = [[r["piece"], r["doc_ids"], r["known_ids"], r["held"], r["n_tokens"], r["texts"], None, None, None, 0, 0, None, None] for r in rows if r["doc_ids"] is not None]
+        table = [r for r in rows if r["logs"]]
+        if table:
+            gram = np.concatenate([np.frombuffer(r["grams"], dtype=np.int64) for r in table])
+            order = np.argsort(gram)
+            gram, logs = gram[order], np.concatenate([np.frombuffer(r["logs"], dtype=np.float32) for r in table])[order]
+            out += [[r["piece"], *[None] * 8, 0, 0, r["part"], _packed(logs[np.searchsorted(gram, _unpacked(r["grams"], np.int64))])] for r in rows if not r["logs"] and r["grams"]]
         if some:
             words = [np.frombuffer(r["words"], dtype=np.uint64) for r in some]
             distinct, place = np.unique(np.concatenate(words), return_inverse=True)
-            trained = np.concatenate([np.frombuffer(r["trained"], dtype=np.int64) for r in some])
+            trained = np.concatenate([_unpacked(r["trained"], np.int64) for r in some])
             count = np.bincount(place, trained, len(distinct))
             at = 0
             for r, w in zip(some, words, strict=True):
                 own = count[place[at : at + len(w)]]
                 at += len(w)
-                each = np.repeat(own, np.frombuffer(r["spread"], dtype=np.int32))
-                owner, times = np.frombuffer(r["owners"], dtype=np.int32), np.frombuffer(r["times"], dtype=np.int32)
+                each = np.repeat(own, _unpacked(r["spread"], np.int32))
+                owner, times = _unpacked(r["owners"], np.int32), _unpacked(r["times"], np.int32)
                 texts, spot = np.unique(owner, return_inverse=True)
                 logs = np.bincount(spot, np.log10(each + 1) * times, len(texts))
                 known = np.bincount(spot, (each > 0) * times, len(texts)).astype(np.int32)
-                out.append([r["piece"], None, None, None, None, None, texts.astype(np.int32).tobytes(), logs.tobytes(), known.tobytes(), 0, 0])
-            out[-1][-2:] = [int((count > 0).sum()), int(count.sum())]
+                out.append([r["piece"], None, None, None, None, None, _packed(texts.astype(np.int32)), logs.tobytes(), _packed(known), 0, 0, None, None])
+            out[-1][9:11] = [int((count > 0).sum()), int(count.sum())]
         for low in range(0, len(out), 256):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[low : low + 256], strict=True), kinds, strict=True)], names=names)
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts of each piece with their sums over all parts."""
+def _gather(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The texts of each piece with their sums over all parts; the first has the piece's totals."""
     for group in runs(batches, ["piece"]):
         rows = group.to_pylist()
         head = next(r for r in rows if r["doc_ids"] is not None)
@@ -341,9 +544,15 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs, known = np.zeros(len(ids)), np.zeros(len(ids), dtype=np.int64)
         for r in rows:
             if r["owners"] is not None:
-                owner = np.frombuffer(r["owners"], dtype=np.int32)
+                owner = _unpacked(r["owners"], np.int32)
                 logs[owner] += np.frombuffer(r["logs"])
-                known[owner] += np.frombuffer(r["known"], dtype=np.int32)
+                known[owner] += _unpacked(r["known"], np.int32)
+        key, size = keyed(Words(*_restored(head["texts"]), NOT_BLANK))
+        gram, place = np.unique(key, return_inverse=True)
+        log10 = np.empty(len(gram), dtype=np.float32)
+        answers = sorted((r["part"], r["grams"]) for r in rows if r["grams"] is not None)
+        log10[_dealt(gram, parts)[0]] = np.concatenate([_unpacked(x[1], np.float32) for x in answers])
+        scores = np.add.reduceat(log10[place].astype(np.float64), np.cumsum(size) - size)
         missing = ~np.frombuffer(head["known_ids"], dtype=bool)
         yield pa.RecordBatch.from_arrays(
             [
@@ -352,9 +561,10 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(np.frombuffer(head["n_tokens"], dtype=np.int64)),
                 pa.array(known),
                 pa.array(logs),
-                pa.array(np.frombuffer(head["scores"])),
+                pa.array(scores),
+                *(pa.array([sum(r[k] for r in rows), *[0] * (len(ids) - 1)], pa.int64()) for k in ("vocabulary", "tokens")),
             ],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "score"],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "vocabulary", "tokens"],
         )
 
 
@@ -374,20 +584,23 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     bytes are equally likely.
 
     The vocabulary grows with the corpus, so its counts are shuffled: by parts of the
-    vocabulary, as one row per part and megabyte of text, and back by piece of text.
+    vocabulary, as one row per part and piece of text, and back by piece of text. The grams
+    of the tree go the same way.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
-    tree = fit(docs.filter(~F.col("held_out")))
-    rows = docs.mapInArrow(_scatter(spark.sparkContext.broadcast(tree), PARTS * n), PIECE_ROW)
-    rows = rows.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_counted, SUM_ROW)
-    sums = saved(rows, "sums")
+    parts = PARTS * n
+    rows = docs.mapInArrow(_scatter(parts), PIECE_ROW).unionByName(gram_logs(docs, parts), allowMissingColumns=True)
+    sums = rows.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_counted, SUM_ROW)
+    texts = sums.repartition(n, "piece").sortWithinPartitions("piece").mapInArrow(
+        lambda batches: _gather(batches, parts), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, vocabulary long, tokens long"
+    )
+    texts = saved(texts, "texts")
     ends = docs.agg(F.count_if(~F.col("held_out")).alias("ends"))
-    whole = sums.agg(F.sum("vocabulary").alias("v"), F.sum("tokens").alias("t")).crossJoin(ends).first()  # one row each
+    whole = texts.agg(F.sum("vocabulary").alias("v"), F.sum("tokens").alias("t")).crossJoin(ends).first()  # one row each
     ends = whole.ends or 0
     tokens, vocabulary = (whole.t or 0) + ends, (whole.v or 0) + (1 if ends else 0)
-    texts = sums.repartition(n, "piece").sortWithinPartitions("piece").mapInArrow(_gather, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
     unit = float(np.log10(tokens + vocabulary + 1))
     end = float(np.log10(ends + 1))
     return texts.select(
