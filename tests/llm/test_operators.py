@@ -436,3 +436,15 @@ def test_chunks_of_grams_change_nothing(monkeypatch):
 
     (one, whole, p), (several, parts, q) = made(1 << 20), made(150)
     assert one == 1 and several > 5 and whole == parts and np.allclose(p, q)
+
+
+def test_short_lines_are_linked_too(spark):
+    rnd = random.Random(12)
+    lines = {"".join(rnd.choice("abé1-") for _ in range(rnd.randint(0, 7))) for _ in range(150)} | {"", "a", "漢"}
+    for n in (8, 12, 22, 23, 24, 25):
+        base = "".join(rnd.choice("abcdefgh") for _ in range(n))
+        lines |= {base, base[1:], base[:3] + "x" + base[4:], base[:2] + base[3:] + "y", base + "z"}
+    lines = sorted(lines)
+    links = {a: sum(a != b and distance(a, b) <= 2 for b in lines) for a in lines}
+    got = line_dedup.line_dedup(documents(spark, [(i, x) for i, x in enumerate(lines)])).collect()
+    assert {lines[r.doc_id]: r.links for r in got} == links and any(links[x] for x in lines if len(x) == 23)

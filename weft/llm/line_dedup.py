@@ -3,12 +3,15 @@
 Lines within EDITS edits of each other are linked. A line is split into EDITS + 1 segments,
 at least one of which a linked line holds unchanged, at nearly the same place: segments
 index the lines by length, and each line probes them with its substrings at the few
-positions that its length and EDITS allow. Candidates are verified by a banded bit-parallel
+positions that its length and EDITS allow. Lines of fewer characters than segments are found
+by the characters, in order, that a linked line must share with them. Candidates are verified by a banded bit-parallel
 edit distance: the states of the band are bits of one number per error count.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +19,8 @@ from weft.llm._groups import components
 from weft.llm._store import partitions, saved
 
 EDITS = 2
-#: Shorter lines are linked with equal ones only: two edits may turn them into anything.
-LEAST_CHARS = 24
+#: Shorter lines would be linked with equal ones only; there are none.
+LEAST_CHARS = 0
 #: Characters after the first difference by which most candidates are refused.
 HEAD = 32
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -41,21 +44,39 @@ def looks(edits: int) -> list[tuple[int, int, int, int]]:
     return own + others
 
 
+def short_looks(edits: int) -> list[tuple[int, tuple[int, ...], int]]:
+    """Line length, places of characters, and 1 for entering, where the shorter line has at
+    most `edits` characters.
+
+    Of a line with n characters at least n - edits stay, in order, in any line linked with
+    it; one of up to `edits` characters can be turned into any other such line.
+    """
+    own = [(n, at, 1) for n in range(edits + 1) for r in range(n + 1) for at in combinations(range(1, n + 1), r)]
+    return own + [(n, at, 0) for n in range(edits + 1, 2 * edits + 1) for at in combinations(range(1, n + 1), n - edits)]
+
+
 def keys(lines: DataFrame, edits: int) -> DataFrame:
     """node, key, held of (node, line, length): one row per look.
 
     A line has edits + 1 segments of equal size, or one more character in the later ones.
     """
+    few = F.array(
+        *[
+            F.struct(F.lit(n).alias("n"), F.xxhash64(F.lit("short"), F.lit(len(at)), F.concat(F.lit(""), *[F.substring("line", k, 1) for k in at])).alias("key"), F.lit(h).alias("held"))
+            for n, at, h in short_looks(edits)
+        ]
+    )
+    short = lines.filter(F.col("length") <= 2 * edits).select("node", "length", F.explode(few).alias("x")).filter("x.n = length").select("node", "x.key", "x.held")
     every = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("dish", x, strict=True)]) for x in looks(edits)])
     rows = lines.select("node", "line", "length", F.explode(every).alias("x")).select("node", "line", "length", "x.*")
     count = edits + 1
-    rows = rows.withColumn("other", F.col("length") - F.col("d")).filter(F.col("other") >= LEAST_CHARS)
+    rows = rows.withColumn("other", F.col("length") - F.col("d")).filter(F.col("other") > edits)
     rows = rows.withColumns({"base": F.floor(F.col("other") / count).cast("int"), "long_from": count - F.col("other") % count})
     rows = rows.withColumn("size", F.col("base") + F.when(F.col("i") >= F.col("long_from"), 1).otherwise(0))
     rows = rows.withColumn("at", F.col("i") * F.col("base") + F.greatest(F.col("i") - F.col("long_from"), F.lit(0)) + 1 + F.col("s"))
     rows = rows.filter((F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("length")))
     piece = F.substring("line", F.col("at"), F.col("size"))
-    return rows.select("node", F.xxhash64("other", "i", piece).alias("key"), F.col("h").alias("held"))
+    return rows.select("node", F.xxhash64("other", "i", piece).alias("key"), F.col("h").alias("held")).unionByName(short)
 
 
 def _parities() -> Column:
@@ -153,8 +174,8 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def line_dedup(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line: doc_id, line_no, class_doc_id, class_line_no, copies, links, kept.
 
-    Equal lines are one node, and nodes within `edits` edits are linked, both of LEAST_CHARS
-    characters at least. The class is named by the first line, in order of doc_id and line
+    Equal lines are one node, and nodes within `edits` edits are linked, whatever their
+    length. The class is named by the first line, in order of doc_id and line
     number, that can be reached over links, and only that line is kept. copies counts the
     lines equal to this one, links the different lines linked with it. Null texts have no
     lines; null ids come first. Lines of
