@@ -6,6 +6,7 @@ depends on how rows fall into batches.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,13 @@ NOT_BLANK[[9, 10, 11, 12, 13, 32]] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
+#: Words of more bytes are hashed one by one.
+LONG = 64
+#: By a number of bytes, the bits that hold them.
+_HELD = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+#: Told apart from hashes of whole words.
+_STEM = np.uint64(0x5851F42D4C957F2D)
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64)}
 
@@ -85,10 +93,25 @@ class Words:
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.text = np.searchsorted(at, self.start, "right") - 1
         self.count = np.bincount(self.text, minlength=texts)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _power("up", n), out=sums[1:])
-        self._sums = sums
-        self.hash = mixed((sums[self.end] - sums[self.start]) * _power("down", max(n, 1))[self.start] if n else sums[:0])
+        padded = np.concatenate([low, np.zeros(8, dtype=np.uint8)])
+        self._eights = np.ndarray((n + 1,), dtype="<u8", buffer=padded, strides=(1,))
+        self.hash = self._hashed(self.start, self.end)
+
+    def _hashed(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of stretches of bytes, eight bytes a round; equal sizes of up to eight never collide."""
+        size = end - start
+        out = mixed(size.astype(np.uint64) + np.uint64(_BASE))
+        going = np.flatnonzero((size <= LONG) & (size > 0))
+        done = 0
+        while len(going):
+            left = size[going] - done
+            bits = self._eights[start[going] + done] & _HELD[np.minimum(left, 8)]
+            out[going] = mixed(out[going] ^ bits)
+            done += 8
+            going = going[left > 8]
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.bytes[start[i] : end[i]], digest_size=8).digest(), "little")
+        return out
 
     def __len__(self) -> int:
         return len(self.hash)
@@ -98,7 +121,7 @@ class Words:
         longer = self.end - self.start > k
         start = self.start[longer]
         out = np.zeros(len(self), dtype=np.uint64)
-        out[longer] = mixed((self._sums[start + k] - self._sums[start]) * _power("down", max(len(self.bytes), 1))[start] + np.uint64(k))
+        out[longer] = self._hashed(start, start + k) ^ _STEM
         return out, longer
 
 
