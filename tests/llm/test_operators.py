@@ -392,7 +392,7 @@ def test_line_links_against_all_pairs(spark):
 
     for i, a in enumerate(nodes):
         for b in nodes[:i]:
-            if min(len(a), len(b)) >= line_dedup.LEAST_CHARS and distance(a, b) <= 2:
+            if distance(a, b) <= 2:
                 links[a] += 1
                 links[b] += 1
                 x, y = root(a), root(b)

@@ -4,8 +4,10 @@ Lines within EDITS edits of each other are linked. A line is split into EDITS +
 at least one of which a linked line holds unchanged, at nearly the same place: segments
 index the lines by length, and each line probes them with its substrings at the few
 positions that its length and EDITS allow. Lines of fewer characters than segments are found
-by the characters, in order, that a linked line must share with them. Candidates are verified by a banded bit-parallel
-edit distance: the states of the band are bits of one number per error count.
+by the characters, in order, that a linked line must share with them. Of the lines that meet
+at a segment only those become candidates whose counts of letters and digits allow it; these
+are verified by a banded bit-parallel edit distance: the states of the band are bits of one
+number per error count.
 """
 
 from __future__ import annotations
@@ -19,11 +21,9 @@ from weft.llm._groups import components
 from weft.llm._store import partitions, saved
 
 EDITS = 2
-#: Shorter lines would be linked with equal ones only; there are none.
-LEAST_CHARS = 0
 #: Characters after the first difference by which most candidates are refused.
 HEAD = 32
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
+LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 
 def looks(edits: int) -> list[tuple[int, int, int, int]]:
@@ -79,13 +79,19 @@ def keys(lines: DataFrame, edits: int) -> DataFrame:
     return rows.select("node", F.xxhash64("other", "i", piece).alias("key"), F.col("h").alias("held")).unionByName(short)
 
 
-def _parities() -> Column:
-    """Whether each letter's count is odd, as bits; an edit changes at most two of them."""
+def _counts() -> Column:
+    """Counts of the letters modulo 4 and of the digits modulo 2, as bits; an edit changes at most two.
+
+    Counts modulo 4 take two bits in Gray code, in which neighbouring counts differ by one bit.
+    """
     low = F.lower("line")
-    bits = [F.shiftleft(((F.octet_length(low) - F.octet_length(F.replace(low, F.lit(c), F.lit("")))) % 2).cast("int"), i) for i, c in enumerate(LETTERS)]
-    out = bits[0]
-    for b in bits[1:]:
-        out = out.bitwiseOR(b)
+    count = lambda c: F.octet_length(low) - F.octet_length(F.replace(low, F.lit(c), F.lit("")))
+    gray = lambda n: n.bitwiseXOR(F.shiftright(n, 1)).bitwiseAND(F.lit(3))
+    out = F.lit(0).cast("long")
+    for i, c in enumerate(LETTERS):
+        out = out.bitwiseOR(F.shiftleft(gray(count(c)).cast("long"), 2 * i))
+    for i, c in enumerate(DIGITS):
+        out = out.bitwiseOR(F.shiftleft((count(c) % 2).cast("long"), 2 * len(LETTERS) + i))
     return out
 
 
@@ -193,14 +199,14 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text
     often = nodes.filter(F.col("copies") > max(64, total // (16 * n))).select(F.col("node").alias("often"), F.col("first").alias("at"))
     once = every.join(F.broadcast(often), F.col("node") == F.col("often"), "left")  # fewer than 16n rows
     once = once.filter(F.col("at").isNull() | (place.eqNullSafe(F.col("at"))))
-    once = once.select("node", "line", F.char_length("line").alias("length")).filter(F.col("length") >= LEAST_CHARS)
+    once = once.select("node", "line", F.char_length("line").alias("length"))
     looked = keys(once, edits).repartition(n, "key")
     per_key = Window.partitionBy("key")
     shared = looked.withColumns({"n_held": F.sum("held").over(per_key), "low": F.min("node").over(per_key), "high": F.max("node").over(per_key)})
     shared = saved(shared.filter("n_held > 0 and low <> high").select("key", "node", "held").distinct(), "shared")
     wanted = shared.select(F.col("node").alias("want")).distinct()
     texts = once.join(wanted, F.col("node") == F.col("want"), "left_semi").groupBy("node").agg(F.first("line").alias("line"))
-    texts = saved(texts.withColumn("letters", _parities()), "texts")
+    texts = saved(texts.withColumn("letters", _counts()), "texts")
     signed = shared.join(texts.select("node", "letters"), "node")
     index = signed.filter("held = 1").select("key", "node", "letters")
     asks = signed.select(F.col("key").alias("k"), F.col("node").alias("by"), F.col("letters").alias("other"))
