@@ -1,15 +1,15 @@
-"""Groups of rows inside tasks, and connected components over edge tables."""
+"""Groups of rows inside tasks, links within groups, and connected components over edge tables."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._store import saved
+from weft.llm._store import partitions, removed, saved, written
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -39,24 +39,80 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-class Forest:
-    """Union-find over positions 0 to n - 1; the root of a set is its smallest member."""
+def chunks(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1 << 13) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of rows with equal keys, of about `rows` rows, and where runs start."""
+    held: list[pa.Table] = []
+    n = 0
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
+    def made() -> tuple[pa.Table, np.ndarray]:
+        table = pa.concat_tables(held)
+        head = np.ones(table.num_rows, dtype=bool)
+        head[1:] = False
+        for k in keys:
+            v = table[k].to_numpy()
+            head[1:] |= v[1:] != v[:-1]
+        return table, np.flatnonzero(head)
 
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
+    for batch in (b.slice(low, rows) for b in batches for low in range(0, b.num_rows, rows)):
+        held.append(pa.Table.from_batches([batch]))
+        n += batch.num_rows
+        if n >= rows:
+            table, heads = made()
+            cut = int(heads[-1])
+            if cut:
+                yield table.slice(0, cut), heads[:-1]
+            held, n = [table.slice(cut)], 0  # a run that goes on is looked at again after as many rows
+    if held:
+        yield made()
+
+
+#: Members of a group that meet in one task come in blocks of about this size.
+BLOCK = 512
+#: Members of a crowded group with which all others are compared first.
+LEADERS = 8
+
+
+def settled(groups: DataFrame, rows_of: Callable[[DataFrame], DataFrame], keys: list[str], match, block: int | None = None) -> DataFrame:
+    """Edges (a, b) with the same components as all links between members of a group.
+
+    groups has the keys and n, the number of members, and blocks, how many blocks they
+    make; rows_of adds the members (node and what match compares). match(keys) is run on
+    rows dealt by keys, block and part: it returns a spanning forest of the links between
+    rows with `probe` and rows with `other`, of different labels.
+
+    A group of one block is looked at as a whole. A crowded one meets LEADERS of its own
+    members, block by block; of what then is not in the component of most of its group,
+    each part is compared with each block. So a crowd of copies of one thing takes rows in
+    proportion to its size, and only members that are unlike most others take more.
+    """
+    block = block or BLOCK
+    spark = groups.sparkSession
+    cell = [*keys, "block", "part"]
+
+    def matched(rows: DataFrame) -> DataFrame:
+        rows = rows.repartition(partitions(spark), *cell).sortWithinPartitions(*cell, "node")
+        return rows.mapInArrow(match(cell), "a long, b long")
 
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        if x == y:
-            return False
-        self.up[max(x, y)] = min(x, y)
-        return True
+    whole = {"label": F.col("node"), "block": F.lit(0), "part": F.lit(0), "probe": F.lit(True), "other": F.lit(True)}
+    direct = matched(rows_of(groups.filter("blocks = 1")).drop("blocks", "n").withColumns(whole))
+    if groups.filter("blocks > 1").isEmpty():
+        return direct
+    crowd = saved(rows_of(groups.filter("blocks > 1")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "crowd")
+    heads = crowd.groupBy(*keys).agg(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(LEADERS)]).alias("heads"))
+    heads = heads.select(*keys, F.explode(F.array_distinct("heads")).alias("node"))
+    ahead = crowd.drop("block").join(heads, [*keys, "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+    star = {"label": F.col("node"), "part": F.lit(0)}
+    sides = [x.withColumns({**star, "probe": F.lit(p), "other": F.lit(not p)}).drop("blocks", "n") for x, p in ((ahead, True), (crowd, False))]
+    stars = saved(direct.unionByName(matched(sides[0].unionByName(sides[1], allowMissingColumns=True))), "stars")
+    labels = components(stars)
+    labelled = crowd.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    most = labelled.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("c")).groupBy(*keys)
+    most = most.agg(F.max_by("label", "c").alias("most"), F.ceil((F.sum("c") - F.max("c")) / block).cast("int").alias("parts")).filter("parts > 0")
+    left = saved(labelled.join(most, keys), "unlike")
+    others = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"probe": F.lit(False), "other": F.lit(True)})
+    probes = left.filter("label <> most").withColumns({"part": F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"), "probe": F.lit(True), "other": F.lit(False)})
+    probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+    return stars.unionByName(matched(others.unionByName(probes).drop("blocks", "n", "most", "parts")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -67,7 +123,8 @@ def components(edges: DataFrame) -> DataFrame:
     A hub's edges need not meet in one task: its minimum is a combined aggregate and the
     join back may be split.
     """
-    edges = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    spark = edges.sparkSession
+    edges, path = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -76,7 +133,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        edges = saved(small.filter("u <> v").distinct(), "edges")
+        edges, path, old = *written(small.filter("u <> v").distinct(), "edges"), path
+        removed(spark, old)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             break

@@ -6,8 +6,8 @@ the first one. Bands of four registers bring candidates together, a collision-co
 estimate rules out those far below the threshold, and links are confirmed on the full sets.
 
 Equal sets are one class from the start, so copies are never paired. Neither stage emits
-pairs: each returns, for a bounded block of members, a spanning forest of what it linked.
-A bucket or family of many members is worked off in pairs of blocks.
+pairs: each returns spanning forests of what it linked. Of a bucket or family of many
+members all meet a few leaders first; only those that are then unlike most are compared on.
 """
 
 from __future__ import annotations
@@ -20,16 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._groups import Forest, components, runs
-from weft.llm._store import partitions, saved
+from weft.llm._groups import BLOCK, chunks, components, settled
+from weft.llm._store import saved
 from weft.llm._text import NOT_BLANK, Words, byte_column, pieces, shingles
 
 BUCKET_BITS = 7
 MANTISSA_BITS = 10
 BAND = 4
 EMPTY = 0xFFFF
-#: Members of a bucket or family that meet in one task come in blocks of about this size.
-BLOCK = 512
+#: Shingles of a block of full sets, unless one set has more.
+MOST_SHINGLES = 1 << 21
 #: Standard deviations of the estimate by which a candidate may fall short.
 SLACK = 5.0
 
@@ -105,35 +105,90 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(node[which]), pa.array(band.astype(np.int32)), pa.array(keys[which, band])], names=["node", "band", "key"])
 
 
-def _alike(threshold: float):
-    """Spanning forest of the pairs of a bucket whose estimate is near the threshold."""
+def _near(threshold: float, one: np.ndarray, n, others: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates, and which of them may stand for a similarity of the threshold or more."""
+    guess, used = estimates(one, n, others, sizes)
+    near = guess >= threshold - SLACK * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1))
+    return guess, near & (np.minimum(n, sizes) >= threshold * np.maximum(n, sizes) * (1 - 1e-12))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: list[int] = []
-        b: list[int] = []
-        for group in runs(batches, ["band", "key", "one", "two"]):
-            if group.num_rows < 2:
-                continue
-            node, block = group["node"].to_numpy(), group["block"].to_numpy()
-            size = group["n_shingles"].to_numpy()
-            rows = np.frombuffer(b"".join(group["registers"].to_pylist()), dtype=np.uint16).reshape(len(node), -1)
-            within = group["one"][0].as_py() == group["two"][0].as_py()
-            forest = Forest(len(node))
-            for i in range(len(node) - 1):
-                guess, used = estimates(rows[i], size[i], rows[i + 1 :], size[i + 1 :])
-                near = guess >= threshold - SLACK * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1))
-                if not within:
-                    near &= block[i + 1 :] != block[i]
-                for j in (np.flatnonzero(near) + i + 1).tolist():
-                    if forest.join(i, j):
-                        a.append(node[i])
-                        b.append(node[j])
-            if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return run
+def _forest(percent: int, confirm: bool):
+    """Spanning forests of the linked rows of each group, for settled().
+
+    Links are pairs whose estimate is near the threshold or, with confirm, those of these
+    that the full sets bear out.
+    """
+    threshold = percent / 100
+
+    def of_group(node, label, probe, other, size, rows, sets) -> tuple[list[int], list[int]]:
+        """Positions of the edges; the best estimates are confirmed first."""
+        _, now = np.unique(label, return_inverse=True)
+        every = np.flatnonzero(other)
+        a, b = [], []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for i in np.flatnonzero(probe).tolist():
+            mates = every[now[every] != now[i]]
+            if other[i]:
+                mates = mates[mates > i]
+            if not len(mates):
+                continue
+            guess, near = _near(threshold, rows[i], size[i], rows[mates], size[mates])
+            mates, guess = mates[near], guess[near]
+            if not len(mates):
+                continue
+            if confirm:
+                found.append((guess, np.full(len(mates), i), mates))
+                continue
+            kinds, at = np.unique(now[mates], return_index=True)
+            a += [i] * len(at)
+            b += mates[at].tolist()
+            now[np.isin(now, kinds)] = now[i]
+        if found:
+            guess, one, two = (np.concatenate(c) for c in zip(*found, strict=True))
+            for k in np.argsort(-guess, kind="stable").tolist():
+                i, j = int(one[k]), int(two[k])
+                if now[i] == now[j]:
+                    continue
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * common >= percent * (size[i] + size[j] - common):
+                    a.append(i)
+                    b.append(j)
+                    now[now == now[j]] = now[i]
+        return a, b
+
+    def by(cell: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table, heads in chunks(batches, cell, 256 if confirm else 1 << 13):
+                ends = np.r_[heads[1:], table.num_rows]
+                node, label, probe, other = (table[k].to_numpy() for k in ("node", "label", "probe", "other"))
+                if confirm:
+                    sets = [np.frombuffer(x, dtype=np.uint64) for x in table["members"].to_pylist()]
+                    size, rows = np.array([len(s) for s in sets]), registers(sets)
+                else:
+                    sets, size = [], table["n_shingles"].to_numpy()
+                    rows = np.frombuffer(b"".join(table["registers"].to_pylist()), dtype=np.uint16).reshape(len(node), -1)
+                a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+                open_ = ends - heads > 1
+                if not confirm:  # most groups are settled by their first member
+                    first = np.repeat(heads, ends - heads)
+                    rest = np.flatnonzero((first != np.arange(len(node))) & other & probe)
+                    _, near = _near(threshold, rows[first[rest]], size[first[rest]], rows[rest], size[rest])
+                    alike = np.bincount(np.searchsorted(heads, rest[near], "right") - 1, minlength=len(heads))
+                    star = (alike == ends - heads - 1) & open_
+                    of_star = star[np.searchsorted(heads, rest, "right") - 1]
+                    a.append(first[rest[of_star]])
+                    b.append(rest[of_star])
+                    open_ &= ~star
+                for low, high in zip(heads[open_].tolist(), ends[open_].tolist(), strict=True):
+                    part = slice(low, high)
+                    x, y = of_group(node[part], label[part], probe[part], other[part], size[part], rows[part], sets[part])
+                    a.append(np.array(x, dtype=np.int64) + low)
+                    b.append(np.array(y, dtype=np.int64) + low)
+                yield pa.RecordBatch.from_arrays([pa.array(node[np.concatenate(a)], pa.int64()), pa.array(node[np.concatenate(b)], pa.int64())], names=["a", "b"])
+
+        return run
+
+    return by
 
 
 def _sets(k: int):
@@ -148,59 +203,14 @@ def _sets(k: int):
                 right = [i for i, s in enumerate(sets) if len(s) and _digest(s) == wanted[i]]
                 rows = batch.slice(low, high - low).take(pa.array(right, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("family"), rows.column("node"), rows.column("blocks"), pa.array([sets[i].tobytes() for i in right], pa.binary())],
-                    names=["family", "node", "blocks", "members"],
+                    [*(rows.column(k) for k in ("family", "node", "n", "blocks")), pa.array([sets[i].tobytes() for i in right], pa.binary())],
+                    names=["family", "node", "n", "blocks", "members"],
                 )
 
     return run
 
 
-def _linked(percent: int):
-    """Spanning forest of the pairs of a family that the full sets confirm."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, ["family", "one", "two"]):
-            if group.num_rows < 2:
-                continue
-            node, block = group["node"].to_numpy(), group["block"].to_numpy()
-            sets = [np.frombuffer(x, dtype=np.uint64) for x in group["members"].to_pylist()]
-            size = np.array([len(s) for s in sets])
-            within = group["one"][0].as_py() == group["two"][0].as_py()
-            rows = registers(sets)
-            threshold = percent / 100
-            pairs: list[tuple[float, int, int]] = []
-            for i in range(len(node) - 1):
-                guess, used = estimates(rows[i], size[i], rows[i + 1 :], size[i + 1 :])
-                near = guess >= threshold - SLACK * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1))
-                near &= 100 * np.minimum(size[i], size[i + 1 :]) >= percent * np.maximum(size[i], size[i + 1 :])
-                if not within:
-                    near &= block[i + 1 :] != block[i]
-                pairs += [(-guess[j], i, i + 1 + j) for j in np.flatnonzero(near).tolist()]
-            forest = Forest(len(node))
-            a, b = [], []
-            for _, i, j in sorted(pairs):
-                if forest.root(i) == forest.root(j):
-                    continue
-                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * common >= percent * (size[i] + size[j] - common):
-                    forest.join(i, j)
-                    a.append(node[i])
-                    b.append(node[j])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return run
-
-
-def _block_pairs(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Each row once for each pair of blocks that its own block takes part in."""
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    df = df.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-    df = df.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")}).drop("other", "blocks")
-    return df.repartition(partitions(df.sparkSession), *keys, "one", "two").sortWithinPartitions(*keys, "one", "two")
-
-
-def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     A-Z is lower-cased and words are runs of bytes other than blanks. Two documents are
@@ -211,7 +221,8 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     a null id is kept only where its whole component has null ids.
 
     A linked pair is missed if it shares no band: at a similarity of 0.8 with odds of
-    about 5e-8, and less above.
+    about 5e-8 (1e-6 for sets of a few shingles), and less above. Texts may be of any length:
+    each is worked on whole, in one task, with about 20 bytes of memory a byte of text.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = saved(docs.mapInArrow(_sketch(words), "doc_id long, n_shingles long, digest binary, registers binary"), "sketches")
@@ -224,15 +235,22 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     )
     bands = classes.select("node", "registers").mapInArrow(_bands, "node long, band int, key long")
     shared = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = bands.join(shared, ["band", "key"]).select("band", "key", "node", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
-    members = members.join(classes.select("node", "n_shingles", "registers"), "node")
-    alike = _block_pairs(members, ["band", "key"]).mapInArrow(_alike(percent / 100), "a long, b long")
-    family = saved(components(alike), "families").withColumnRenamed("root", "family")
-    sized = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
-    family = family.join(sized, "family").join(classes.select("node", "low", "digest"), "node")
-    texts = docs.join(family, docs.doc_id.eqNullSafe(family.low)).select("family", "node", "blocks", "digest", "text")
-    sets = texts.mapInArrow(_sets(words), "family long, node long, blocks long, members binary").dropDuplicates(["node"])
-    links = _block_pairs(sets, ["family"]).mapInArrow(_linked(percent), "a long, b long")
+    shared = saved(shared.withColumn("blocks", F.ceil(F.col("n") / block).cast("long")), "buckets")
+
+    def sketched(buckets: DataFrame) -> DataFrame:
+        return bands.join(buckets, ["band", "key"]).join(classes.select("node", "n_shingles", "registers"), "node")
+
+    alike = settled(shared, sketched, ["band", "key"], _forest(percent, False), block)
+    family = saved(components(alike), "families").withColumnRenamed("root", "family").join(classes.select("node", "low", "digest", "n_shingles"), "node")
+    most = F.greatest(F.count(F.lit(1)) / block, F.sum("n_shingles") / MOST_SHINGLES)
+    sized = saved(family.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.ceil(most).cast("long").alias("blocks")), "sizes")
+
+    def full(families: DataFrame) -> DataFrame:
+        wanted = family.join(families, "family").drop("n_shingles")
+        texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.low)).select("family", "node", "n", "blocks", "digest", "text")
+        return texts.mapInArrow(_sets(words), "family long, node long, n long, blocks long, members binary").dropDuplicates(["node"])
+
+    links = settled(sized, full, ["family"], _forest(percent, True), block)
     joined = saved(components(links), "components")
     low = joined.join(classes.select("node", "low"), "node")
     least = low.groupBy("root").agg(F.min("low").alias("component"))
