@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm._groups import runs
+from weft.llm._groups import chunks
 from weft.llm._store import partitions, saved
 from weft.llm._text import _power, byte_column, mixed
 
@@ -289,10 +289,15 @@ def _contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
         names = ["hash", "class", "part", "context", "many", "left", "right"]
+        last = None
         for batch in sliced(batches):
             rows: list[tuple] = []
             data, at = byte_column(batch.column("text"))
+            keys = batch.column("key").to_pylist()
             for i, wanted in enumerate(batch.column("wanted").to_pylist()):
+                if keys[i] == last:  # a copy of the text before
+                    continue
+                last = keys[i]
                 text = data[at[i] : at[i + 1]].tobytes()
                 for w in wanted:
                     p = w["place"]
@@ -327,28 +332,29 @@ def _settle(length: int):
             kinds = [pa.int64(), pa.int64(), pa.list_(span)]
             return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], names=["hash", "context", "spans"])
 
-        for group in runs(batches, ["hash", "class", "part"]):
-            _, first = np.unique(group["context"].to_numpy(), return_index=True)  # equal texts bring equal contexts
-            rows = group.take(pa.array(first))
-            kind, context = rows["class"][0].as_py(), rows["context"].to_pylist()
-            inner, outer, room = (0, 0, reach) if kind < 0 else (kind * step, reach - min(reach, (kind + 1) * step), min(reach, (kind + 1) * step) - kind * step)
-            left = [x[inner : inner + room] for x in rows["left"].to_pylist()]
-            right = [x[outer : outer + room] for x in rows["right"].to_pylist()]
-            many = rows["many"].to_pylist()
-            same: dict[tuple[bytes, bytes], list[int]] = {}
-            for i, pair in enumerate(zip(left, right, strict=True)):
-                same.setdefault(pair, []).append(i)
-            kinds = list(same)
-            found = repeats([k[0] for k in kinds], [k[1] for k in kinds], room) if len(kinds) > 1 else [[]]
-            for k, spans in zip(kinds, found, strict=True):
-                whole = [(max(0, room - len(k[1])), len(k[0]))] if len(k[0]) + len(k[1]) >= room else []
-                for i in same[k]:
-                    mine = whole if many[i] or len(same[k]) > 1 else spans
-                    if mine:
-                        out.append((rows["hash"][0].as_py(), context[i], [{"low": inner + a, "high": inner + b} for a, b in mine]))
-            if len(out) > 5000:
-                yield flush()
-                out.clear()
+        for table, heads in chunks(batches, ["hash", "class", "part"]):
+            hashes, classes = (table[k].to_numpy()[heads].tolist() for k in ("hash", "class"))
+            contexts, every, lefts, rights = (table[k].to_pylist() for k in ("context", "many", "left", "right"))
+            for at, end, own_hash, kind in zip(heads.tolist(), [*heads[1:].tolist(), table.num_rows], hashes, classes, strict=True):
+                first = {contexts[r]: r for r in range(end - 1, at - 1, -1)}  # equal texts bring equal contexts
+                context, rows = list(first), list(first.values())
+                inner, outer, room = (0, 0, reach) if kind < 0 else (kind * step, reach - min(reach, (kind + 1) * step), min(reach, (kind + 1) * step) - kind * step)
+                left, right = [lefts[r][inner : inner + room] for r in rows], [rights[r][outer : outer + room] for r in rows]
+                many = [every[r] for r in rows]
+                same: dict[tuple[bytes, bytes], list[int]] = {}
+                for i, pair in enumerate(zip(left, right, strict=True)):
+                    same.setdefault(pair, []).append(i)
+                kinds = list(same)
+                found = repeats([k[0] for k in kinds], [k[1] for k in kinds], room) if len(kinds) > 1 else [[]]
+                for k, spans in zip(kinds, found, strict=True):
+                    whole = [(max(0, room - len(k[1])), len(k[0]))] if len(k[0]) + len(k[1]) >= room else []
+                    for i in same[k]:
+                        mine = whole if many[i] or len(same[k]) > 1 else spans
+                        if mine:
+                            out.append((own_hash, context[i], [{"low": inner + a, "high": inner + b} for a, b in mine]))
+                if len(out) > 5000:
+                    yield flush()
+                    out.clear()
         yield flush()
 
     return run
@@ -424,7 +430,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     each = each.withColumn("contexts", F.count(F.lit(1)).over(Window.partitionBy("hash")))
     known = saved(each.filter("many or contexts > 1"), "anchors")
     wanted = known.filter("contexts > 1").groupBy("key").agg(F.collect_list(F.struct("hash", "context", "place", "many", "contexts")).alias("wanted"))
-    around = long.select("key", "text").join(wanted, "key").select("text", "wanted")
+    around = long.select("key", "text").join(wanted, "key").select("key", "text", "wanted")
     around = around.mapInArrow(_contexts(length), "hash long, class int, part long, context long, many boolean, left binary, right binary")
     around = around.repartition(n, "hash", "class", "part").sortWithinPartitions("hash", "class", "part")
     settled = saved(around.mapInArrow(_settle(length), "hash long, context long, spans array<struct<low: int, high: int>>"), "settled")
