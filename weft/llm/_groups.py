@@ -76,43 +76,44 @@ def settled(groups: DataFrame, rows_of: Callable[[DataFrame], DataFrame], keys:
     """Edges (a, b) with the same components as all links between members of a group.
 
     groups has the keys and n, the number of members, and blocks, how many blocks they
-    make; rows_of adds the members (node and what match compares). match(keys) is run on
-    rows dealt by keys, block and part: it returns a spanning forest of the links between
-    rows with `probe` and rows with `other`, of different labels.
+    make; rows_of adds the members (node and what match compares). match(cell) is run on
+    rows dealt by keys, block and part, in order of node: it returns a spanning forest of
+    the links between rows with `probe` and rows with `other`, of different labels.
 
     A group of one block is looked at as a whole. A crowded one meets LEADERS of its own
-    members, block by block; of what then is not in the component of most of its group,
-    each part is compared with each block. So a crowd of copies of one thing takes rows in
-    proportion to its size, and only members that are unlike most others take more.
+    members, block by block; of what is not linked with the leader that most are linked
+    with, each part is then compared with each block. So a crowd of copies of one thing
+    takes rows in proportion to its size, and only members that are unlike most take more.
     """
     block = block or BLOCK
     spark = groups.sparkSession
     cell = [*keys, "block", "part"]
 
     def matched(rows: DataFrame) -> DataFrame:
-        rows = rows.repartition(partitions(spark), *cell).sortWithinPartitions(*cell, "node")
-        return rows.mapInArrow(match(cell), "a long, b long")
+        rows = rows.drop("blocks", "n").repartition(partitions(spark), *cell).sortWithinPartitions(*cell, "node")
+        return rows.mapInArrow(match(cell), ", ".join(f"{k} long" for k in (*keys, "a", "b")))
 
     whole = {"label": F.col("node"), "block": F.lit(0), "part": F.lit(0), "probe": F.lit(True), "other": F.lit(True)}
-    direct = matched(rows_of(groups.filter("blocks = 1")).drop("blocks", "n").withColumns(whole))
+    direct = matched(rows_of(groups.filter("blocks = 1")).withColumns(whole)).select("a", "b")
     if groups.filter("blocks > 1").isEmpty():
         return direct
     crowd = saved(rows_of(groups.filter("blocks > 1")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "crowd")
-    heads = crowd.groupBy(*keys).agg(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(LEADERS)]).alias("heads"))
-    heads = heads.select(*keys, F.explode(F.array_distinct("heads")).alias("node"))
+    heads = crowd.groupBy(*keys).agg(F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(LEADERS)])).alias("heads"))
+    heads = heads.select(*keys, F.explode("heads").alias("node"))
     ahead = crowd.drop("block").join(heads, [*keys, "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
     star = {"label": F.col("node"), "part": F.lit(0)}
-    sides = [x.withColumns({**star, "probe": F.lit(p), "other": F.lit(not p)}).drop("blocks", "n") for x, p in ((ahead, True), (crowd, False))]
-    stars = saved(direct.unionByName(matched(sides[0].unionByName(sides[1], allowMissingColumns=True))), "stars")
-    labels = components(stars)
-    labelled = crowd.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    most = labelled.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("c")).groupBy(*keys)
-    most = most.agg(F.max_by("label", "c").alias("most"), F.ceil((F.sum("c") - F.max("c")) / block).cast("int").alias("parts")).filter("parts > 0")
-    left = saved(labelled.join(most, keys), "unlike")
+    sides = [x.withColumns({**star, "probe": F.lit(p), "other": F.lit(not p)}) for x, p in ((ahead, True), (crowd, False))]
+    stars = saved(matched(sides[0].unionByName(sides[1])), "stars")
+    linked = stars.groupBy(*keys, F.col("b").alias("node")).agg(F.min("a").alias("label"))  # a node is linked with few leaders
+    most = linked.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("c")).groupBy(*keys).agg(F.max_by("label", "c").alias("most"), F.max("c").alias("c"))
+    left = groups.filter("blocks > 1").join(most, keys, "left").withColumn("parts", F.ceil((F.col("n") - F.coalesce("c", F.lit(0)) - 1) / block).cast("int"))
+    left = crowd.drop("n").join(left.filter("parts > 0").select(*keys, "most", "parts"), keys).join(linked, [*keys, "node"], "left")
+    with_most = F.col("label").eqNullSafe(F.col("most")) | F.col("node").eqNullSafe(F.col("most"))
+    left = saved(left.withColumn("minor", ~with_most).withColumn("label", F.when(with_most, F.col("most")).otherwise(F.col("node"))).drop("most"), "unlike")
     others = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"probe": F.lit(False), "other": F.lit(True)})
-    probes = left.filter("label <> most").withColumns({"part": F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"), "probe": F.lit(True), "other": F.lit(False)})
+    probes = left.filter("minor").withColumns({"part": F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"), "probe": F.lit(True), "other": F.lit(False)})
     probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-    return stars.unionByName(matched(others.unionByName(probes).drop("blocks", "n", "most", "parts")))
+    return direct.unionByName(stars.select("a", "b")).unionByName(matched(others.unionByName(probes).drop("minor", "parts")).select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -158,6 +158,7 @@ def _forest(percent: int, confirm: bool):
 
     def by(cell: list[str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = [*cell[:-2], "a", "b"]
             for table, heads in chunks(batches, cell, 256 if confirm else 1 << 13):
                 ends = np.r_[heads[1:], table.num_rows]
                 node, label, probe, other = (table[k].to_numpy() for k in ("node", "label", "probe", "other"))
@@ -184,7 +185,9 @@ def _forest(percent: int, confirm: bool):
                     x, y = of_group(node[part], label[part], probe[part], other[part], size[part], rows[part], sets[part])
                     a.append(np.array(x, dtype=np.int64) + low)
                     b.append(np.array(y, dtype=np.int64) + low)
-                yield pa.RecordBatch.from_arrays([pa.array(node[np.concatenate(a)], pa.int64()), pa.array(node[np.concatenate(b)], pa.int64())], names=["a", "b"])
+                one, two = np.concatenate(a), np.concatenate(b)
+                group = [table[k].to_numpy()[one] for k in cell[:-2]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (*group, node[one], node[two])], names=names)
 
         return run
 
