@@ -284,8 +284,7 @@ def test_decontamination_against_scanning(spark):
         w = split(r.text)
         n = min(10, len(w))
         for j in range(len(w) - n + 1 if n else 0):
-            if r.item_id is not None:
-                patterns[tuple(w[j : j + n])].add(r.item_id)
+            patterns[tuple(w[j : j + n])] |= {r.item_id} - {None}  # one without id is found, but not named
     for i, t in enumerate(texts()):
         w, hit, ids = split(t), set(), set()
         for p, owners in patterns.items():
@@ -448,3 +447,20 @@ def test_short_lines_are_linked_too(spark):
     links = {a: sum(a != b and distance(a, b) <= 2 for b in lines) for a in lines}
     got = line_dedup.line_dedup(documents(spark, [(i, x) for i, x in enumerate(lines)])).collect()
     assert {lines[r.doc_id]: r.links for r in got} == links and any(links[x] for x in lines if len(x) == 23)
+
+
+def test_columns_with_odd_names(spark):
+    docs = plain(spark).withColumnsRenamed({"row": "my col", "key": "a.b", "digest": "c`d", "label": "SELECT"})
+    names = docs.columns
+    found = [
+        decontamination.decontaminate(docs, items(spark)),
+        quality.score(docs, quality.fit(docs, labels(spark))),
+        toxicity.score(docs, toxicity.fit(docs, labels(spark))),
+    ]
+    assert all(f.select("row.*").columns == names and f.count() == docs.count() for f in found)
+
+
+def test_quality_without_labels_is_undecided(spark):
+    docs = plain(spark)
+    scores = quality.score(docs, quality.fit(docs, labels(spark).limit(0))).select("score").distinct().collect()
+    assert [r.score for r in scores] == [0.5]

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.llm._text import ALNUM, NOT_BLANK, Words, byte_column, mixed, pieces
 
@@ -94,7 +95,8 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """
     shape = "place long, " + ", ".join(f"v{j} long" for j in range(WIDTH))
     sums = docs.select(F.col(text_col).alias("text")).mapInArrow(_neighbours, shape)
-    rows = sums.groupBy("place").agg(*[F.sum(f"v{j}").alias(f"v{j}") for j in range(WIDTH)]).toPandas().to_numpy()
+    rows = sums.groupBy("place").agg(*[F.sum(f"v{j}").alias(f"v{j}") for j in range(WIDTH)]).toArrow()
+    rows = np.stack([c.to_numpy() for c in rows.columns], axis=1)
     out = np.zeros((VOCABULARY, WIDTH), dtype=np.float32)
     if len(rows):
         values = rows[:, 1:].astype(np.float64)
@@ -152,7 +154,7 @@ def train(x: np.ndarray, y: np.ndarray, steps: int = 1500, batch: int = 512, rat
     x = x.astype(np.float64)
     rng = np.random.default_rng(seed)
     aside = np.arange(len(x)) % 5 == 4
-    mean, scale = x.mean(0), x.std(0) + 1e-6
+    mean, scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     net = Network(mean, scale, rng.normal(0, np.sqrt(2 / x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, np.sqrt(1 / HIDDEN), HIDDEN), 0.0)
     z, t = ((x - mean) / scale)[~aside], y[~aside].astype(np.float64)
     if not len(z) or t.min() == t.max():
@@ -215,17 +217,20 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample:
     """Word vectors of all docs, and a network trained on at most `sample` labelled ones.
 
     Labels of held-out ids and null labels are not looked at. The sample are the labelled
-    ids with the smallest hashes.
+    ids with the smallest hashes. Without any label all scores are 0.5; with one kind of
+    label, its smoothed share.
     """
     spark = docs.sparkSession
     vectors = word_vectors(docs)
     known = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
     known = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "label").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most `sample` rows of two numbers
-    rows = rows.mapInArrow(_pool(spark.sparkContext.broadcast(vectors)), "doc_id long, label int, x binary")
+    shared = spark.sparkContext.broadcast(vectors)
+    rows = rows.mapInArrow(_pool(shared), "doc_id long, label int, x binary")
     got = sorted((r.doc_id, r.label, bytes(r.x)) for r in rows.collect())
+    shared.destroy()
     if not got:
-        return vectors, train(np.zeros((1, 2 * WIDTH + 1)), np.ones(1))
+        return vectors, train(np.zeros((0, 2 * WIDTH + 1)), np.zeros(0))
     order = np.random.default_rng(1).permutation(len(got))
     x = np.frombuffer(b"".join(g[2] for g in got), dtype=np.float32).reshape(len(got), -1)[order]
     y = np.array([g[1] for g in got])[order]
@@ -235,8 +240,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample:
 def score(docs: DataFrame, model: tuple[np.ndarray, Network], text_col: str = "text") -> DataFrame:
     """row (all columns of docs as they are) and score, the probability of label 1.
 
-    Null and wordless texts get the score of a text without tokens. Only the text counts.
+    Null and wordless texts get the score of a text without tokens. Only the text counts,
+    the whole of it: one of any length is worked on in one task.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    return rows.mapInArrow(_score(shared, text_col), f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    rows = docs.select(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("row"))
+    return rows.mapInArrow(_score(shared, text_col), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))

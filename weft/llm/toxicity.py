@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.llm._text import ALNUM, Words, byte_column, pieces
 from weft.llm.quality import held_out
@@ -151,7 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
     column = np.full(PLACES, -1, dtype=np.int32)
     column[kept] = np.arange(len(kept))
     shape = "doc_id long, label int, n_sentences long, columns binary, sentences binary"
-    got = rows.mapInArrow(_bags(spark.sparkContext.broadcast(column)), shape).collect()
+    shared = spark.sparkContext.broadcast(column)
+    got = rows.mapInArrow(_bags(shared), shape).collect()
+    shared.destroy()
     got.sort(key=lambda r: (r.doc_id, r.label, r.n_sentences, bytes(r["columns"])))
     bags = [(r.label, r.n_sentences, np.frombuffer(r["columns"], dtype=np.int32), np.frombuffer(r["sentences"], dtype=np.int32)) for r in got]
     weights = np.zeros(PLACES + 1)
@@ -189,9 +192,11 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataF
     """row (all columns of docs as they are), score, offending.
 
     offending are the sentences (first byte, end, probability) at OFFENDING or above. Texts
-    without words, null ones included, have no sentences and the score 0.
+    without words, null ones included, have no sentences and the score 0. A text of any
+    length is worked on whole, in one task.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    shape = f"row {rows.schema['row'].dataType.simpleString()}, score double, offending array<struct<start: bigint, end: bigint, score: double>>"
-    return rows.mapInArrow(_score(shared, text_col), shape)
+    rows = docs.select(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("row"))
+    kinds = [("start", T.LongType()), ("end", T.LongType()), ("score", T.DoubleType())]
+    span = T.ArrayType(T.StructType([T.StructField(n, k) for n, k in kinds]))
+    return rows.mapInArrow(_score(shared, text_col), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("offending", span)]))
