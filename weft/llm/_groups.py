@@ -72,13 +72,14 @@ BLOCK = 512
 LEADERS = 8
 
 
-def settled(groups: DataFrame, rows_of: Callable[[DataFrame], DataFrame], keys: list[str], match, block: int | None = None) -> DataFrame:
+def settled(groups: DataFrame, rows_of: Callable[[str], DataFrame], keys: list[str], match, block: int | None = None) -> DataFrame:
     """Edges (a, b) with the same components as all links between members of a group.
 
     groups has the keys and n, the number of members, and blocks, how many blocks they
-    make; rows_of adds the members (node and what match compares). match(cell) is run on
-    rows dealt by keys, block and part, in order of node: it returns a spanning forest of
-    the links between rows with `probe` and rows with `other`, of different labels.
+    make; rows_of gives the groups' members where a condition on blocks holds (keys, n,
+    blocks, node and what match compares). match(cell) is run on rows dealt by keys, block
+    and part, in order of node: it returns a spanning forest of the links between rows with
+    `probe` and rows with `other`, of different labels.
 
     A group of one block is looked at as a whole. A crowded one meets LEADERS of its own
     members, block by block; of what is not linked with the leader that most are linked
@@ -94,10 +95,10 @@ def settled(groups: DataFrame, rows_of: Callable[[DataFrame], DataFrame], keys:
         return rows.mapInArrow(match(cell), ", ".join(f"{k} long" for k in (*keys, "a", "b")))
 
     whole = {"label": F.col("node"), "block": F.lit(0), "part": F.lit(0), "probe": F.lit(True), "other": F.lit(True)}
-    direct = matched(rows_of(groups.filter("blocks = 1")).withColumns(whole)).select("a", "b")
+    direct = matched(rows_of("blocks = 1").withColumns(whole)).select("a", "b")
     if groups.filter("blocks > 1").isEmpty():
         return direct
-    crowd = saved(rows_of(groups.filter("blocks > 1")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "crowd")
+    crowd = saved(rows_of("blocks > 1").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "crowd")
     heads = crowd.groupBy(*keys).agg(F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(LEADERS)])).alias("heads"))
     heads = heads.select(*keys, F.explode("heads").alias("node"))
     ahead = crowd.drop("block").join(heads, [*keys, "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm._groups import BLOCK, chunks, components, settled
@@ -28,6 +28,8 @@ BUCKET_BITS = 7
 MANTISSA_BITS = 10
 BAND = 4
 EMPTY = 0xFFFF
+#: Texts are shuffled only where a member of a family has the same one of so many marks.
+MARKS = 1 << 20
 #: Shingles of a block of full sets, unless one set has more.
 MOST_SHINGLES = 1 << 21
 #: Standard deviations of the estimate by which a candidate may fall short.
@@ -213,6 +215,11 @@ def _sets(k: int):
     return run
 
 
+def _mark(name: str) -> Column:
+    """One of MARKS numbers of an id."""
+    return F.pmod(F.xxhash64(name), F.lit(MARKS))
+
+
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -240,20 +247,21 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     shared = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = saved(shared.withColumn("blocks", F.ceil(F.col("n") / block).cast("long")), "buckets")
 
-    def sketched(buckets: DataFrame) -> DataFrame:
-        return bands.join(buckets, ["band", "key"]).join(classes.select("node", "n_shingles", "registers"), "node")
+    def sketched(some: str) -> DataFrame:
+        return bands.join(shared.filter(some), ["band", "key"]).join(classes.select("node", "n_shingles", "registers"), "node")
 
     alike = settled(shared, sketched, ["band", "key"], _forest(percent, False), block)
     family = saved(components(alike), "families").withColumnRenamed("root", "family").join(classes.select("node", "low", "digest", "n_shingles"), "node")
     most = F.greatest(F.count(F.lit(1)) / block, F.sum("n_shingles") / MOST_SHINGLES)
     sized = saved(family.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.ceil(most).cast("long").alias("blocks")), "sizes")
 
-    def full(families: DataFrame) -> DataFrame:
-        wanted = family.join(families, "family").drop("n_shingles")
-        texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.low)).select("family", "node", "n", "blocks", "digest", "text")
-        return texts.mapInArrow(_sets(words), "family long, node long, n long, blocks long, members binary").dropDuplicates(["node"])
-
-    links = settled(sized, full, ["family"], _forest(percent, True), block)
+    wanted = family.join(sized, "family").drop("n_shingles")
+    marked = wanted.select(_mark("low").alias("mark")).distinct()  # MARKS rows at most
+    some = docs.withColumn("mark", _mark("doc_id")).join(F.broadcast(marked), "mark", "left_semi")
+    texts = some.join(wanted, some.doc_id.eqNullSafe(wanted.low)).select("family", "node", "n", "blocks", "digest", "text")
+    sets = texts.mapInArrow(_sets(words), "family long, node long, n long, blocks long, members binary")
+    sets = saved(sets.dropDuplicates(["node"]), "sets")
+    links = settled(sized, sets.filter, ["family"], _forest(percent, True), block)
     joined = saved(components(links), "components")
     low = joined.join(classes.select("node", "low"), "node")
     least = low.groupBy("root").agg(F.min("low").alias("component"))
