@@ -399,6 +399,13 @@ def _dealt(gram: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
+def _dealt_words(word: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same of the sorted hashes of words, by their middle bits."""
+    part = ((word >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
 def _packed(values: np.ndarray) -> bytes:
     """An array compressed, its bytes by place."""
     planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
@@ -428,14 +435,14 @@ def gram_logs(docs: DataFrame, parts: int) -> DataFrame:
     return mixes.select("grams", "p").mapInArrow(_logs(docs.sparkSession.sparkContext.broadcast((where, row, values)), parts), "part int, grams binary, logs binary")
 
 
-PIECE_ROW = "part int, piece long, doc_ids binary, known_ids binary, held binary, n_tokens binary, texts binary, words binary, trained binary, spread binary, owners binary, times binary, grams binary, logs binary"
+PIECE_ROW = "part int, piece long, doc_ids binary, known_ids binary, held binary, n_tokens binary, texts binary, words binary, trained binary, grams binary, logs binary"
 
 
 def _scatter(parts: int):
     """Per piece a row of its texts, by part of the vocabulary its words, by part of the grams its grams.
 
-    A word row has the piece's distinct words of the part, their training counts, and for
-    each the texts that hold it and how often. Parts of grams follow those of the vocabulary.
+    A word row has the piece's distinct words of the part and how often its training texts
+    have them. Parts of grams follow those of the vocabulary.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,31 +460,23 @@ def _scatter(parts: int):
                 number += 1
                 columns = [
                     [(task + number) % parts], [piece], [own.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], [np.asarray(own.is_valid()).tobytes()],
-                    [held.tobytes()], [(words.count + 1).astype(np.int64).tobytes()], [_stored(part, offsets)], [b""], [b""], [b""], [b""], [b""], [None], [None],
+                    [held.tobytes()], [(words.count + 1).astype(np.int64).tobytes()], [_stored(part, offsets)], [None], [None], [None], [None],
                 ]
-                where = (words.hash >> np.uint64(40)) % np.uint64(parts)
-                order = np.lexsort((words.text, words.hash, where))
-                h, t, w = words.hash[order], words.text[order], where[order]
-                pair = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (t[1:] != t[:-1])][: len(h)])
-                times = np.diff(np.r_[pair, len(h)]).astype(np.int32)
-                h, t, w = h[pair], t[pair].astype(np.int32), w[pair]
-                word = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
-                spread = np.diff(np.r_[word, len(h)]).astype(np.int32)
-                trained = np.add.reduceat(np.where(held[t], 0, times), word).astype(np.int64) if len(word) else np.zeros(0, dtype=np.int64)
-                cuts = np.searchsorted(w[word], np.arange(parts + 1))
+                word, place = np.unique(words.hash, return_inverse=True)
+                trained = np.bincount(place, ~held[words.text], len(word)).astype(np.int64)
+                order, cuts = _dealt_words(word, parts)
                 for p in np.flatnonzero(np.diff(cuts)).tolist():
-                    a, b = cuts[p], cuts[p + 1]
-                    x, y = word[a], word[b] if b < len(word) else len(h)
-                    row = [p, piece, None, None, None, None, None, h[word[a:b]].tobytes(), *(_packed(v) for v in (trained[a:b], spread[a:b], t[x:y], times[x:y])), None, None]
+                    own = order[cuts[p] : cuts[p + 1]]
+                    row = [p, piece, *[None] * 5, word[own].tobytes(), _packed(trained[own]), None, None]
                     for column, value in zip(columns, row, strict=True):
                         column.append(value)
                 gram = np.unique(keyed(words)[0])
                 order, cuts = _dealt(gram, parts)
                 for p in np.flatnonzero(np.diff(cuts)).tolist():
-                    row = [parts + p, piece, *[None] * 10, _packed(gram[order[cuts[p] : cuts[p + 1]]]), None]
+                    row = [parts + p, piece, *[None] * 7, _packed(gram[order[cuts[p] : cuts[p + 1]]]), None]
                     for column, value in zip(columns, row, strict=True):
                         column.append(value)
-                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 12]
+                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 9]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PIECE_ROW.split(", ")])
 
     return run
@@ -495,63 +494,61 @@ def _restored(stored: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(pa.decompress(stored[16 + 8 * n :], decompressed_size=size, codec="zstd", asbytes=True), dtype=np.uint8), at
 
 
-SUM_ROW = "piece long, doc_ids binary, known_ids binary, held binary, n_tokens binary, texts binary, owners binary, logs binary, known binary, vocabulary long, tokens long, part int, grams binary"
+SUM_ROW = "piece long, doc_ids binary, known_ids binary, held binary, n_tokens binary, texts binary, vocabulary long, tokens long, part int, words binary, grams binary"
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per part, the words' training counts; per piece the texts' sums of log10(count + 1).
+    """Of a part of the vocabulary or of the grams, what each piece asks for, in its order.
 
-    Of a part of the grams, the log probabilities of those that each piece has, in its order.
+    That is the training counts of words and the log probabilities of grams.
     """
     names = [x.split()[0] for x in SUM_ROW.split(", ")]
-    kinds = [pa.int64(), *[pa.binary()] * 8, pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), *[pa.binary()] * 5, pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
     for group in runs(batches, ["part"]):
         rows = group.to_pylist()
         some = [r for r in rows if r["words"]]
-        out = [[r["piece"], r["doc_ids"], r["known_ids"], r["held"], r["n_tokens"], r["texts"], None, None, None, 0, 0, None, None] for r in rows if r["doc_ids"] is not None]
+        out = [[r["piece"], r["doc_ids"], r["known_ids"], r["held"], r["n_tokens"], r["texts"], 0, 0, None, None, None] for r in rows if r["doc_ids"] is not None]
         table = [r for r in rows if r["logs"]]
         if table:
             gram = np.concatenate([np.frombuffer(r["grams"], dtype=np.int64) for r in table])
             order = np.argsort(gram)
             gram, logs = gram[order], np.concatenate([np.frombuffer(r["logs"], dtype=np.float32) for r in table])[order]
-            out += [[r["piece"], *[None] * 8, 0, 0, r["part"], _packed(logs[np.searchsorted(gram, _unpacked(r["grams"], np.int64))])] for r in rows if not r["logs"] and r["grams"]]
+            out += [[r["piece"], *[None] * 5, 0, 0, r["part"], None, _packed(logs[np.searchsorted(gram, _unpacked(r["grams"], np.int64))])] for r in rows if not r["logs"] and r["grams"]]
         if some:
             words = [np.frombuffer(r["words"], dtype=np.uint64) for r in some]
             distinct, place = np.unique(np.concatenate(words), return_inverse=True)
             trained = np.concatenate([_unpacked(r["trained"], np.int64) for r in some])
-            count = np.bincount(place, trained, len(distinct))
+            count = np.bincount(place, trained, len(distinct)).astype(np.int64)
             at = 0
             for r, w in zip(some, words, strict=True):
-                own = count[place[at : at + len(w)]]
+                out.append([r["piece"], *[None] * 5, 0, 0, r["part"], _packed(count[place[at : at + len(w)]]), None])
                 at += len(w)
-                each = np.repeat(own, _unpacked(r["spread"], np.int32))
-                owner, times = _unpacked(r["owners"], np.int32), _unpacked(r["times"], np.int32)
-                texts, spot = np.unique(owner, return_inverse=True)
-                logs = np.bincount(spot, np.log10(each + 1) * times, len(texts))
-                known = np.bincount(spot, (each > 0) * times, len(texts)).astype(np.int32)
-                out.append([r["piece"], None, None, None, None, None, _packed(texts.astype(np.int32)), logs.tobytes(), _packed(known), 0, 0, None, None])
-            out[-1][9:11] = [int((count > 0).sum()), int(count.sum())]
+            out[-1][6:8] = [int((count > 0).sum()), int(count.sum())]
         for low in range(0, len(out), 256):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[low : low + 256], strict=True), kinds, strict=True)], names=names)
 
 
 def _gather(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """The texts of each piece with their sums over all parts; the first has the piece's totals."""
+    """The texts of each piece, scored by the answers to its words and grams; the first has the piece's totals."""
+
+    def answers(rows: list[dict], name: str, kind) -> np.ndarray:
+        some = sorted((r["part"], r[name]) for r in rows if r[name] is not None)
+        return np.concatenate([np.zeros(0, dtype=kind), *(_unpacked(x[1], kind) for x in some)])
+
     for group in runs(batches, ["piece"]):
         rows = group.to_pylist()
         head = next(r for r in rows if r["doc_ids"] is not None)
         ids = np.frombuffer(head["doc_ids"], dtype=np.int64)
-        logs, known = np.zeros(len(ids)), np.zeros(len(ids), dtype=np.int64)
-        for r in rows:
-            if r["owners"] is not None:
-                owner = _unpacked(r["owners"], np.int32)
-                logs[owner] += np.frombuffer(r["logs"])
-                known[owner] += _unpacked(r["known"], np.int32)
-        key, size = keyed(Words(*_restored(head["texts"]), NOT_BLANK))
+        words = Words(*_restored(head["texts"]), NOT_BLANK)
+        word, place = np.unique(words.hash, return_inverse=True)
+        count = np.zeros(len(word), dtype=np.int64)
+        count[_dealt_words(word, parts)[0]] = answers(rows, "words", np.int64)
+        logs = np.bincount(words.text, np.log10(count + 1.0)[place], len(ids))
+        known = np.bincount(words.text, (count > 0)[place], len(ids)).astype(np.int64)
+        key, size = keyed(words)
         gram, place = np.unique(key, return_inverse=True)
         log10 = np.empty(len(gram), dtype=np.float32)
-        answers = sorted((r["part"], r["grams"]) for r in rows if r["grams"] is not None)
-        log10[_dealt(gram, parts)[0]] = np.concatenate([_unpacked(x[1], np.float32) for x in answers])
+        log10[_dealt(gram, parts)[0]] = answers(rows, "grams", np.float32)
         scores = np.add.reduceat(log10[place].astype(np.float64), np.cumsum(size) - size)
         missing = ~np.frombuffer(head["known_ids"], dtype=bool)
         yield pa.RecordBatch.from_arrays(
@@ -583,9 +580,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     end alone. Rows stand for themselves, repeated ones too. Without training texts all
     bytes are equally likely.
 
-    The vocabulary grows with the corpus, so its counts are shuffled: by parts of the
-    vocabulary, as one row per part and piece of text, and back by piece of text. The grams
-    of the tree go the same way.
+    The vocabulary grows with the corpus, so its counts are shuffled: the distinct words of
+    each piece of text by parts of the vocabulary, and their counts back by piece of text.
+    The grams of the tree go the same way. A text of any length is one piece at most.
     """
     spark = docs.sparkSession
     n = partitions(spark)
