@@ -227,3 +227,30 @@ def test_sources_sinks_and_stream(spark, tmp_path):
     for _ in range(2):
         ingest.import_files(spark, str(tmp_path / "in"), "k long, v string", str(tmp_path / "t"), ["k"], str(tmp_path / "cp"))
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [1, 2, 3]
+
+
+def test_canonical_folds_forms_and_case(spark):
+    assert one(spark, "Ｑ：Straße？", text.canonical) == "qstrasse"
+    assert one(spark, "ＡＢ c", text.canonical) == one(spark, "ab C", text.canonical) == "abc"
+
+
+def test_lcs_of_common_ends():
+    from weft.functions.similarity import _lcs
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b, 1):
+                new.append(row[j - 1] + 1 if x == y else max(row[j], new[-1]))
+            row = new
+        return row[-1]
+
+    for a, b in (("", ""), ("aba", "ababa"), ("abcxdef", "abcydef"), ("aaaa", "aa"), ("xabc", "abcx"), ("same", "same")):
+        assert _lcs(a, b) == plain(a, b)
+
+
+def test_signs_of_bad_ocr(spark):
+    rows = [("a□□�b", True), ("□□", False), ("漢" * 9, True), ("漢" * 8, False), ("---------", False)]
+    got = spark.createDataFrame(rows, "text string, bad boolean").select("bad", audit.quality(F.col("text"))["suspected_ocr"].alias("x")).collect()
+    assert all(r.bad == r.x for r in got)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +26,16 @@ def bigram_f1(rows: DataFrame, key: list[str], a: Column, b: Column) -> DataFram
 
 
 def _lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a bit per character of a."""
+    """Length of the longest common subsequence, a bit per character of a.
+
+    Common characters in front and at the end belong to one and are counted first.
+    """
+    if a == b:
+        return len(a)
+    front = len(os.path.commonprefix([a, b]))
+    a, b = a[front:], b[front:]
+    back = len(os.path.commonprefix([a[::-1], b[::-1]]))
+    a, b = a[: len(a) - back], b[: len(b) - back]
     places: dict[str, int] = {}
     for i, ch in enumerate(a):
         places[ch] = places.get(ch, 0) | 1 << i
@@ -33,7 +44,7 @@ def _lcs(a: str, b: str) -> int:
     for ch in b:
         hit = row & places.get(ch, 0)
         row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+    return front + back + len(a) - row.bit_count()
 
 
 @F.pandas_udf(DoubleType())

@@ -37,8 +37,14 @@ def without_think(c: Column, anywhere: bool = True) -> Column:
 
 
 def canonical(c: Column) -> Column:
-    """Lower case without white space and punctuation, to compare questions by."""
-    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), rf"{SPACE}|\p{{P}}", "")
+    """Normal form KC, case folded, without white space and punctuation, to compare questions by.
+
+    Only texts beyond ASCII go to Python, as in ASCII folding is lower-casing.
+    """
+    text = F.coalesce(c, F.lit(""))
+    wide = F.regexp_like(text, F.lit(r"[^\x00-\x7F]"))
+    folded = F.when(wide, nfkc_casefold_udf(F.when(wide, text))).otherwise(F.lower(text))
+    return F.regexp_replace(folded, rf"{SPACE}|\p{{P}}", "")
 
 
 def no_space(c: Column) -> Column:

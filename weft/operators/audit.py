@@ -22,6 +22,9 @@ NUMERALS = "一二三四五六七八九"
 FIRST_MODERN_YEAR = 1912
 HEADER_CHARS, SCRIPT_CHARS, SHORT_CHARS = 5000, 20000, 200
 
+#: Fixed value: signs of bad OCR.
+SUSPECTED_OCR = r"[□\uFFFD]{3,}|([\u4e00-\u9fff])\1{8,}"
+
 
 def _group(c: Column, pattern: str, i: int) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
@@ -87,7 +90,7 @@ def text_type(title: Column, year: Column, text: Column, modern=None, reference=
 
 
 def language_style(kind: Column) -> Column:
-    return F.when(kind == "modern_book", "modern").when(kind.isin("ancient_classical", "commentary", "medical_case"), "classical").otherwise("unknown")
+    return F.when(kind == "modern_book", "modern_chinese").when(kind.isin("ancient_classical", "commentary", "medical_case"), "classical_chinese").otherwise("unknown")
 
 
 def script(text: Column) -> Column:
@@ -115,7 +118,7 @@ def quality(text: Column) -> Column:
         F.size(lines).cast("long").alias("line_count"),
         F.round(empty / F.size(lines), 5).alias("empty_line_ratio"),
         (F.char_length(text) - F.char_length(F.replace(text, F.lit("�"), F.lit("")))).cast("long").alias("replacement_char_count"),
-        F.regexp_like(text, F.lit(r"[□■]{3,}|([㐀-鿿])\1{8,}")).alias("suspected_ocr"),
+        F.regexp_like(text, F.lit(SUSPECTED_OCR)).alias("suspected_ocr"),
     )
 
 

@@ -91,13 +91,16 @@ def near_copies(candidates: DataFrame, others: DataFrame, similar: Column | None
     """Pairs (id, other_id, a, b) of canonical texts that share their head or tail.
 
     Texts of fewer than `least` characters are not compared; lengths differ by at most `gap`.
-    Both block keys are equi-joins whose results are united before anything is compared.
+    Both block keys are equi-joins of ids and lengths; the pairs are made distinct before
+    any text is fetched.
     """
     prepared = lambda df, i, t: df.select(F.col("id").alias(i), canonical(F.col("text")).alias(t)).filter(F.char_length(t) >= least)
     left, right = prepared(candidates, "id", "a"), prepared(others, "other_id", "b")
-    by = lambda f: left.withColumn("k", f(F.col("a"), F.lit(block))).join(right.withColumn("k", f(F.col("b"), F.lit(block))), "k").drop("k")
-    close = F.abs(F.char_length("a") - F.char_length("b")) <= gap * F.greatest(F.char_length("a"), F.char_length("b"))
-    return by(F.left).unionByName(by(F.right)).filter(close & (F.col("id") != F.col("other_id"))).distinct()
+    keyed = lambda df, i, t, n, f: df.select(i, F.char_length(t).alias(n), f(F.col(t), F.lit(block)).alias("k"))
+    close = F.abs(F.col("n") - F.col("m")) <= gap * F.greatest("n", "m")
+    by = lambda f: keyed(left, "id", "a", "n", f).join(keyed(right, "other_id", "b", "m", f), "k").filter(close & (F.col("id") != F.col("other_id"))).select("id", "other_id")
+    pairs = by(F.left).unionByName(by(F.right)).distinct()
+    return pairs.join(left, "id").join(right, "other_id").select("id", "other_id", "a", "b").distinct()
 
 
 def token_histogram(rows: DataFrame, tokens: Column, edges: tuple[int, ...] = (128, 256, 512, 1024, 2048)) -> DataFrame:

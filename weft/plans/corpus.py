@@ -24,17 +24,19 @@ def query(sql: str | None = None):
     return keep
 
 
-@query("""
+@query(r"""
 SELECT doc_id, upper(substr(sha256(coalesce(text, '')), 1, 16)) AS document_id, sha256(coalesce(text, '')) AS text_sha256,
        CAST(strlen(coalesce(text, '')) AS BIGINT) AS byte_count, CAST(length(coalesce(text, '')) AS BIGINT) AS character_count,
        CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS line_count,
        round(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) = '')) / len(string_split(coalesce(text, ''), chr(10))), 5) AS empty_line_ratio,
-       CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(65533), '')) AS BIGINT) AS replacement_char_count
+       CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(65533), '')) AS BIGINT) AS replacement_char_count,
+       regexp_matches(coalesce(text, ''), '[□' || chr(65533) || ']{3,}') OR CASE WHEN regexp_matches(coalesce(text, ''), '[\x{4E00}-\x{9FFF}]{9}') THEN len(list_filter(range(1, length(text) - 7),
+         lambda i: unicode(substr(text, i, 1)) BETWEEN 19968 AND 40959 AND substr(text, i, 9) = repeat(substr(text, i, 1), 9))) > 0 ELSE false END AS suspected_ocr
 FROM documents
 """)
 def audit_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identity and quality of every document."""
-    return audit.profile(table(spark, sf_dir, "documents")).drop("suspected_ocr")
+    return audit.profile(table(spark, sf_dir, "documents"))
 
 
 @query("""
@@ -69,7 +71,7 @@ def dup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.keep_first(docs, F.col("h"), ["doc_id"]).drop("h")
 
 
-_CANON = r"regexp_replace(lower(coalesce(text, '')), '[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\pP]', '', 'g')"
+_CANON = r"regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\pP]', '', 'g')"
 
 
 @query(f"""
@@ -124,14 +126,14 @@ def _latin(docs: DataFrame) -> DataFrame:
 
 
 @query(r"""
-WITH u AS (SELECT doc_id, i, trim(p[i]) AS t FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS p FROM documents), unnest(range(1, len(p) + 1)) AS r(i)),
+WITH u AS (SELECT doc_id, i, trim(p[i]) AS t FROM (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [''] ELSE regexp_extract_all(text, '[^\n]*\n|[^\n]+') END AS p FROM documents), unnest(range(1, len(p) + 1)) AS r(i)),
 v AS (SELECT doc_id, CAST(i AS INTEGER) AS line_no, trim(replace(t, chr(10), '')) AS t FROM u)
 SELECT doc_id, line_no, CASE WHEN t = '' THEN 'break' WHEN NOT contains(t, ' ') OR length(t) <= 60 THEN 'heading' ELSE 'text' END AS kind,
        CAST(CASE WHEN t = '' THEN NULL WHEN NOT contains(t, ' ') THEN 1 WHEN length(t) <= 40 THEN 2 WHEN length(t) <= 60 THEN 3 END AS INTEGER) AS rank FROM v
 """)
 def heading_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of lines of all documents, by Latin forms."""
-    return _latin(table(spark, sf_dir, "documents").filter("text <> ''")).select("doc_id", "line_no", "kind", "rank")
+    return _latin(table(spark, sf_dir, "documents")).select("doc_id", "line_no", "kind", "rank")
 
 
 @query()
@@ -180,9 +182,9 @@ def translation_units_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions: benchmark items with an id divisible by 20; terms: their words of 8 letters or more."""
+    """Questions: benchmark items with an id divisible by 20; terms: their words of two letters or more."""
     items = table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0")
-    return items.select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(words(F.col("text")))).alias("term")).filter(F.char_length("term") >= 8)
+    return items.select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(words(F.col("text")))).alias("term")).filter(F.char_length("term") >= 2)
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,14 +193,16 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LEXICAL = r"""
 q AS (SELECT DISTINCT item_id AS qid, unnest(regexp_split_to_array(lower(text), '[^\pL\pN]+')) AS term FROM benchmark WHERE item_id % 20 = 0),
-t AS (SELECT qid, term FROM q WHERE length(term) >= 8),
+t AS (SELECT qid, term FROM q WHERE length(term) >= 2),
 dw AS (SELECT DISTINCT doc_id AS id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+')) AS w FROM documents),
 dg AS (SELECT DISTINCT id, substr('  ' || w || ' ', i, 3) AS g FROM dw, unnest(range(1, length(w) + 2)) AS r(i) WHERE w <> ''),
 tg AS (SELECT DISTINCT qid, term, substr('  ' || term || ' ', i, 3) AS g FROM t, unnest(range(1, length(term) + 2)) AS r(i)),
 dn AS (SELECT id, count(*) AS n FROM dg GROUP BY id),
 tn AS (SELECT qid, term, count(*) AS m FROM tg GROUP BY qid, term),
 sh AS (SELECT qid, term, id, count(*) AS c FROM dg JOIN tg USING (g) GROUP BY qid, term, id),
-sm AS (SELECT qid, id, max(c / (n + m - c)::DOUBLE) AS sim, list(term) AS terms FROM sh JOIN dn USING (id) JOIN tn USING (qid, term) GROUP BY qid, id),
+ca AS (SELECT qid, term, id, c / (n + m - c)::DOUBLE AS sim FROM sh JOIN dn USING (id) JOIN tn USING (qid, term)
+  UNION ALL SELECT qid, term, doc_id, 0 FROM documents JOIN t ON length(term) = 2 AND contains(text, term)),
+sm AS (SELECT qid, id, max(sim) AS sim, list(DISTINCT term) AS terms FROM ca GROUP BY qid, id),
 sc AS (SELECT qid, id, sim, CASE WHEN len(list_filter(terms, lambda x: contains(text, x))) > 0 THEN 1 ELSE 0 END AS hit FROM sm JOIN documents ON id = doc_id),
 lx AS (SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank
@@ -241,7 +245,7 @@ def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {_LEXICAL}, {_VECTOR},
-l AS (SELECT qid, id, rank, 0 AS channel FROM lx UNION ALL SELECT qid, id, rank, 1 FROM vt WHERE qid IN (SELECT qid FROM t)),
+l AS (SELECT qid, id, rank, 0 AS channel FROM lx UNION ALL SELECT qid, id, rank, 1 FROM vt WHERE qid IN (SELECT item_id FROM benchmark)),
 f AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, count(DISTINCT channel) AS n_channels, min(channel * 1000 + rank) AS seen FROM l GROUP BY qid, id)
 SELECT qid, id, rrf, CAST(n_channels AS INTEGER) AS n_channels, CAST(place AS INTEGER) AS place FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, seen, id) AS place FROM f) WHERE place <= 40
@@ -249,7 +253,7 @@ SELECT qid, id, rrf, CAST(n_channels AS INTEGER) AS n_channels, CAST(place AS IN
 def rag_hybrid_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical and vector lists of each question, fused by reciprocal rank."""
     terms = _terms(spark, sf_dir)
-    near = _nearest(spark, sf_dir).join(terms.select("qid").distinct(), "qid", "left_semi")
+    near = _nearest(spark, sf_dir).join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid")), "qid", "left_semi")
     fused = retrieval.fuse([retrieval.lexical(_chunks(spark, sf_dir), terms), near])
     return fused.select("qid", "id", "rrf", F.size("channels").alias("n_channels"), "place")
 

@@ -127,7 +127,7 @@ def text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH s AS (SELECT doc_id AS row, left(text, 200) AS question, text AS answer FROM documents),
+WITH s AS (SELECT doc_id AS row, text AS question, text AS answer FROM documents),
 k AS (SELECT * FROM s WHERE NOT coalesce({_DRAW.format("question || chr(10) || answer")} < 0.1963, false) AND length(question) BETWEEN 12 AND 2000 AND length(answer) >= 15),
 c AS (SELECT *, {_CANON.replace("text", "question")} AS canon FROM k),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY canon ORDER BY row) AS n FROM c WHERE canon <> '') WHERE n = 1),
@@ -136,8 +136,8 @@ b AS (SELECT DISTINCT {_CANON} AS canon FROM benchmark)
 SELECT sha256(canon) AS id, question, answer AS reference, row AS original_row FROM p WHERE canon NOT IN (SELECT canon FROM b) ORDER BY digest, canon LIMIT 100
 """)
 def heldout_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """100 held-out items whose question (a document's opening) no benchmark item asks."""
-    rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("row"), F.left("text", F.lit(200)).alias("question"), F.col("text").alias("answer"))
+    """100 held-out items whose question (a document's text) no benchmark item asks."""
+    rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("row"), F.col("text").alias("question"), F.col("text").alias("answer"))
     return samples.heldout(rows, table(spark, sf_dir, "benchmark").select(F.col("text").alias("question")), limit=100)
 
 
@@ -231,12 +231,13 @@ _RULES = [(r"\d{3}-\d{4}|@", "contact"), (r"(?i)apache|license", "license"), (r"
 
 
 @query(r"""
-SELECT conv_id, turn, CASE WHEN regexp_matches(coalesce(text, ''), '\d{3}-\d{4}|@') OR regexp_matches(coalesce(text, ''), '(?i)apache|license') THEN 'emergency' ELSE 'knowledge_only' END AS level,
-       CASE WHEN regexp_matches(coalesce(text, ''), '\d{3}-\d{4}|@') OR regexp_matches(coalesce(text, ''), '(?i)apache|license') THEN 'urgent_message' ELSE 'analyse' END AS route FROM conversations
+SELECT conv_id, turn, CASE WHEN f THEN 'emergency' ELSE 'knowledge_only' END AS level, CASE WHEN f THEN 'urgent_message' ELSE 'analyse' END AS route FROM (
+  SELECT conv_id, turn, regexp_matches(coalesce(text, ''), '\d{3}-\d{4}|@') OR regexp_matches(coalesce(text, ''), '(?i)apache|license')
+         OR len(list_filter(range(1, length(coalesce(text, '')) - 3), lambda i: substr(text, i, 5) = repeat(substr(text, i, 1), 5) AND substr(text, i, 1) NOT IN (chr(10), chr(13), chr(133), chr(8232), chr(8233)))) > 0 AS f FROM conversations)
 """)
 def red_flag_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Level and route of every turn under two rules."""
-    return rules.triage(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), F.col("text"), _RULES[:2]).select("conv_id", "turn", "level", "route")
+    """Level and route of every turn under three rules."""
+    return rules.triage(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), F.col("text"), _RULES).select("conv_id", "turn", "level", "route")
 
 
 @query("""
