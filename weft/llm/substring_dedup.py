@@ -366,17 +366,22 @@ def _covered(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1024):
+            plain = np.asarray(batch.column("places").is_null()) & np.asarray(batch.column("spans").is_null())
+            key, place, right = (batch.column(k).to_numpy()[plain].astype(np.int64) for k in ("key", "place", "right"))
+            low, high = reach - right, np.minimum(reach, place)
+            some = low <= high
             keys, starts, ends = [], [], []
-            for r in batch.to_pylist():
+            for r in batch.filter(pa.array(~plain)).to_pylist():
                 places = np.frombuffer(r["places"], dtype=np.int32).tolist() if r["places"] is not None else [r["place"]]
                 spans = [(s["low"], s["high"]) for s in r["spans"]] if r["spans"] is not None else [(reach - r["right"], min(reach, r["place"]))]
                 for p in places:
-                    for low, high in spans:
-                        if low <= high:
+                    for x, y in spans:
+                        if x <= y:
                             keys.append(r["key"])
-                            starts.append(p - high)
-                            ends.append(p - low + length)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["key", "start", "end"])
+                            starts.append(p - y)
+                            ends.append(p - x + length)
+            columns = ((key, keys), ((place - high), starts), ((place - low + length), ends))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([v[some], np.array(w, dtype=np.int64)])) for v, w in columns], names=["key", "start", "end"])
 
     return run
 
