@@ -28,7 +28,7 @@ BUCKET_BITS = 7
 MANTISSA_BITS = 10
 BAND = 4
 EMPTY = 0xFFFF
-#: Texts are shuffled only where a member of a family has the same one of so many marks.
+#: Texts and sketches are shuffled only where one that is wanted has the same one of so many marks.
 MARKS = 1 << 20
 #: Shingles of a block of full sets, unless one set has more.
 MOST_SHINGLES = 1 << 21
@@ -245,10 +245,17 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     )
     bands = classes.select("node", "registers").mapInArrow(_bands, "node long, band int, key long")
     shared = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = saved(shared.withColumn("blocks", F.ceil(F.col("n") / block).cast("long")), "buckets")
+    members = saved(bands.join(saved(shared.select("band", "key"), "repeated"), ["band", "key"]), "members")
+    # Near copies share many bands: of buckets with the very same members one is enough.
+    alone = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    alone = alone.groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("at"))
+    shared = saved(alone.select("at.band", "at.key", "n", F.ceil(F.col("n") / block).cast("long").alias("blocks")), "buckets")
 
     def sketched(some: str) -> DataFrame:
-        return bands.join(shared.filter(some), ["band", "key"]).join(classes.select("node", "n_shingles", "registers"), "node")
+        rows = members.join(shared.filter(some), ["band", "key"])
+        marked = rows.select(_mark("node").alias("mark")).distinct()  # MARKS rows at most
+        asked = classes.select("node", "n_shingles", "registers", _mark("node").alias("mark")).join(F.broadcast(marked), "mark", "left_semi").drop("mark")
+        return rows.join(asked, "node")
 
     alike = settled(shared, sketched, ["band", "key"], _forest(percent, False), block)
     family = saved(components(alike), "families").withColumnRenamed("root", "family").join(classes.select("node", "low", "digest", "n_shingles"), "node")
