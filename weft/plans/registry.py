@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.plans import corpus, training
+from weft.plans import corpus, records, training
 
-QUERIES: dict = {**corpus.QUERIES, **training.QUERIES}
-ORACLE: dict = {**corpus.ORACLE, **training.ORACLE}
+QUERIES: dict = {**corpus.QUERIES, **training.QUERIES, **records.QUERIES}
+ORACLE: dict = {**corpus.ORACLE, **training.ORACLE, **records.ORACLE}
