@@ -74,3 +74,25 @@ def test_best_last_newest_first(spark):
     assert {r.g: r["at"] for r in records.newest(rows, "g", ["at"]).collect()} == {"a": 3, "b": 4}
     assert [r["at"] for r in records.first_units(rows, ["at"], 2).collect()] == [1, 2]
     assert spark.range(1).select(records.throughput(F.lit(3.0), F.lit(0.0)).alias("t")).first().t == pytest.approx(3e9)
+
+
+def test_near_ratio_loses_no_near_pair():
+    from weft.functions import similarity
+
+    rnd = random.Random(11)
+    for _ in range(400):
+        a = "".join(rnd.choice("abcdef") for _ in range(rnd.randint(1, 120)))
+        b = list(a)
+        for _ in range(rnd.randint(0, 12)):
+            at = rnd.randrange(len(b) + 1)
+            b[at : at + rnd.randint(0, 1)] = rnd.choice(["", "x", "a"])
+        b = "".join(b) or "a"
+        assert similarity._bound(a, b) >= 2 * similarity._lcs(a, b) / (len(a) + len(b)) - 1e-12
+
+
+def test_near_ratio_values(spark):
+    from weft.functions.similarity import near_ratio_udf
+
+    rows = [("abcd" * 20, "abcd" * 20), ("abcd" * 20, "abcd" * 19 + "abxd"), ("abcd" * 20, "dcba" * 20), (None, "a"), ("a", "aaaa"), ("", "")]
+    got = [r.v for r in spark.createDataFrame(rows, "a string, b string").select(near_ratio_udf(0.93)("a", "b").alias("v")).collect()]
+    assert got == [1.0, 158 / 160, None, None, None, 1.0]

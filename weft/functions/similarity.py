@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,3 +52,50 @@ def _lcs(a: str, b: str) -> int:
 def lcs_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 * LCS / (length + length); 1 for two empty texts, null if either is null."""
     return pd.Series([None if x is None or y is None else 2 * _lcs(x, y) / (len(x) + len(y)) if x or y else 1.0 for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+GRAM = 6
+
+
+def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the grams of GRAM characters, sorted, and how often each occurs."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    n = max(len(codes) - GRAM + 1, 0)
+    out = np.zeros(n, dtype=np.uint64)
+    for i in range(GRAM):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n]
+    return np.unique(out, return_counts=True)
+
+
+def _bound(a: str, b: str) -> float:
+    """No less than the LCS ratio of a and b, neither being empty.
+
+    A character outside the LCS touches GRAM grams of its own text at most, and parts
+    GRAM - 1 of the other's; grams that share a hash only raise the bound.
+    """
+    (x, nx), (y, ny) = _grams(a), _grams(b)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    total = len(a) + len(b)
+    lost = total - 2 * (GRAM - 1) - 2 * int(np.minimum(nx[i], ny[j]).sum())
+    return 1 - max(lost, 0) / ((2 * GRAM - 1) * total)
+
+
+def near_ratio_udf(least: float):
+    """The LCS ratio where it is `least` or more, else null; most others cost no LCS."""
+
+    def ratio(x: str | None, y: str | None) -> float | None:
+        if x is None or y is None:
+            return None
+        if x == y:
+            return 1.0
+        total = len(x) + len(y)
+        if 2 * min(len(x), len(y)) / total < least or _bound(x, y) < least - 1e-9:
+            return None
+        out = 2 * _lcs(x, y) / total
+        return out if out >= least else None
+
+    @F.pandas_udf(DoubleType())
+    def near_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return near_ratio
