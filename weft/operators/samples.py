@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.hashing import draw
@@ -54,6 +54,23 @@ def exactly(rows: DataFrame, text: Column, n: int, seed: str = "42") -> DataFram
     return rows.withColumn("__d", digest).dropDuplicates(["__d"]).orderBy("__d").limit(n).drop("__d")
 
 
+def smallest(rows: DataFrame, digest: Column, n: int, tie: str = "id") -> DataFrame:
+    """The n rows with the smallest hexadecimal digests, by any n, without a sort of all rows.
+
+    Counts by the first four digits (65536 groups at most) tell the group in which the n-th
+    lies; only that one is numbered.
+    """
+    group = F.left("__d", F.lit(4))
+    keyed = rows.withColumn("__d", digest)
+    counts = keyed.groupBy(group.alias("g")).agg(F.count(F.lit(1)).alias("c"))
+    before = F.sum("c").over(Window.orderBy("g")) - F.col("c")
+    last = counts.withColumn("b", before).filter(F.col("b") < n).agg(F.max(F.struct("g", "b")).alias("at")).first()["at"]
+    if last is None:
+        return rows.limit(0)
+    edge = keyed.filter(group == last.g).withColumn("__n", F.row_number().over(Window.orderBy("__d", tie))).filter(F.col("__n") <= n - last.b)
+    return keyed.filter(group < last.g).unionByName(edge.drop("__n")).drop("__d")
+
+
 def split_of(text: Column, test: float = 0.001, validation: float = 0.001, seed: str = "42") -> Column:
     p = draw(seed, text)
     return F.when(p < test, "test").when(p < test + validation, "validation").otherwise("train")
@@ -68,7 +85,7 @@ def without_overlap(general: DataFrame, domain: DataFrame, key: Column, order: l
 
 def mixture_target(domain_rows: Column, available: Column, share: float = 0.1) -> Column:
     """Rows of the general set that make up `share` of the mixture, as far as there are."""
-    return F.least(F.ceil(domain_rows * share / (1 - share)), available)
+    return F.least(F.ceil(F.round(domain_rows * share / (1 - share), 6)), available)
 
 
 def heldout(candidates: DataFrame, splits: DataFrame, limit: int, pool_factor: int = 10, least: int = 12, most: int = 2000, least_answer: int = 15, rate: float = 0.1963, seed: str = "42") -> DataFrame:

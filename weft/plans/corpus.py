@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.similarity import near_ratio_udf
 from weft.functions.text import canonical, trigrams, words
-from weft.operators import audit, retrieval, rules, store, structure
+from weft.operators import audit, preparation, retrieval, rules, store, structure
 from weft.session import table
 
 QUERIES: dict = {}
@@ -85,21 +85,23 @@ def overlap_with_benchmark_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(items, "c", "left_anti").select("doc_id", "source")
 
 
-@query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON len(string_split(b.text, ' ')) > 3 AND contains(d.text, b.text)")
+@query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def overlap_with_benchmark_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a whole benchmark item of four words or more.
+    """Documents that hold a whole benchmark item.
 
-    An item's second and third words stand between blanks, so that any document that holds
-    it has them as neighbouring words: an equi-join key before the literal test.
+    The second and third word of an item of four or more stand between blanks, so that any
+    document that holds it has them as neighbouring words: an equi-join key before the
+    literal test. Shorter items are found by their first characters.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), F.split("text", " ").alias("w")).filter(F.size("w") > 3)
-    items = items.withColumn("key", F.array_join(F.slice("w", 2, 2), " ")).drop("w")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), F.split("text", " ").alias("w"))
+    long = items.filter(F.size("w") > 3).withColumn("key", F.array_join(F.slice("w", 2, 2), " "))
     w = F.split("text", " ")
     pairs = F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
-    keyed = docs.select("doc_id", F.explode(F.array_distinct(pairs)).alias("key")).join(items.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    found = keyed.join(docs, "doc_id").join(items.select("item_id", "item"), "item_id")
-    return found.filter(F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    keyed = docs.select("doc_id", F.explode(F.array_distinct(pairs)).alias("key")).join(long.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+    found = keyed.join(docs, "doc_id").join(long.select("item_id", "item"), "item_id")
+    found = found.filter(F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    return found.unionByName(preparation.containing(docs, items.filter(F.size("w") <= 3)))
 
 
 @query(r"""

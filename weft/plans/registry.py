@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.plans import corpus, records, training
+from weft.plans import corpus, preparation, records, training
 
-QUERIES: dict = {**corpus.QUERIES, **training.QUERIES, **records.QUERIES}
-ORACLE: dict = {**corpus.ORACLE, **training.ORACLE, **records.ORACLE}
+QUERIES: dict = {**corpus.QUERIES, **training.QUERIES, **records.QUERIES, **preparation.QUERIES}
+ORACLE: dict = {**corpus.ORACLE, **training.ORACLE, **records.ORACLE, **preparation.ORACLE}

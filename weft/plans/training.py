@@ -71,7 +71,7 @@ def mixture_10pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "lang")
     size = docs.agg(F.count_if(F.col("lang") == "en").alias("d"), F.count_if(F.col("lang") != "en").alias("g")).select(samples.mixture_target(F.col("d"), F.col("g")).alias("n")).first().n
     digest = F.sha2(F.concat(F.lit("42:"), F.col("doc_id").cast("string")), 256)
-    return docs.filter("lang = 'en'").unionByName(docs.filter("lang <> 'en'").orderBy(digest).limit(int(size)))
+    return docs.filter("lang = 'en'").unionByName(samples.smallest(docs.filter("lang <> 'en'"), digest, int(size), "doc_id"))
 
 
 @query("""
