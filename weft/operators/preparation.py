@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.operators import samples
-from weft.operators.audit import keep_first
+from weft.sources.scratch import written
 
 #: The classes of a wrong answer, in the order in which they are looked for.
 ERRORS = ["NO_DATA", "STRUCTURE_ERROR", "TRANSLATION_ERROR", "METADATA_ERROR", "RETRIEVAL_MISS", "RERANK_ERROR", "CONTEXT_ERROR", "GENERATION_ERROR"]
@@ -47,24 +47,27 @@ def mixture(domain: list[tuple[str, DataFrame, float]], general: DataFrame, toke
     and id. General rows are normalised, kept up to `most` tokens of question and answer,
     freed of each other's copies and of what the domain has, and drawn until they make up
     `share` of the whole, as far as there are. Splits depend on the sample alone.
+
+    Samples are written once; which stay is decided on their digests, by combined aggregates.
     """
 
-    def normal(rows: DataFrame, origin: str) -> DataFrame:
-        m = samples.messages(rows).select(F.lit(origin).alias("origin"), "id", F.get("messages", 0)["content"].alias("question"), F.get("messages", 1)["content"].alias("answer"))
+    def normal(rows: DataFrame, origin: str, place: int) -> DataFrame:
+        m = samples.messages(rows).select(F.lit(origin).alias("origin"), F.lit(place).alias("place"), "id", F.get("messages", 0)["content"].alias("question"), F.get("messages", 1)["content"].alias("answer"))
         return m.withColumn("sample", F.sha2(F.concat_ws("\n", "question", "answer"), 256))
 
-    sets = None
+    last = len(domain)
+    every = within_tokens(normal(general, "general", last), tokens(F.concat_ws("\n", "question", "answer")), most)
     for i, (origin, rows, rate) in enumerate(domain):
-        part = normal(rows, origin).withColumn("place", F.lit(i))
-        part = part if rate >= 1 else samples.sampled(part, F.col("sample"), rate, seed)
-        sets = part if sets is None else sets.unionByName(part)
-    own = keep_first(sets, F.col("sample"), ["place", "id"]).drop("place")
-    other = within_tokens(normal(general, "general"), tokens(F.concat_ws("\n", "question", "answer")), most)
-    other = samples.without_overlap(other, own, F.col("sample"), ["id"])
-    room = own.agg(F.count(F.lit(1)).alias("d")).crossJoin(other.agg(F.count(F.lit(1)).alias("g")))  # one row each
-    n = int(room.select(samples.mixture_target(F.col("d"), F.col("g"), share).alias("n")).first().n)
-    drawn = samples.smallest(other, F.sha2(F.concat(F.lit(f"{seed}:"), "sample"), 256), n)
-    return own.unionByName(drawn).withColumn("split", samples.split_of(F.col("sample"), test, validation, seed)).drop("sample")
+        part = normal(rows, origin, i)
+        every = every.unionByName(part if rate >= 1 else samples.sampled(part, F.col("sample"), rate, seed))
+    every = written(every.withColumn("row", F.monotonically_increasing_id()))
+    first = written(every.groupBy("sample").agg(F.min(F.struct("place", "id", "row")).alias("at")).select("sample", "at.place", "at.row"))
+    own = F.col("place") < last
+    size = first.agg(F.count_if(own).alias("d"), F.count_if(~own).alias("g"))
+    n = int(size.select(samples.mixture_target(F.col("d"), F.col("g"), share).alias("n")).first().n)
+    drawn = samples.smallest(first.filter(~own), F.sha2(F.concat(F.lit(f"{seed}:"), "sample"), 256), n, "row")
+    chosen = first.filter(own).unionByName(drawn).select("row", samples.split_of(F.col("sample"), test, validation, seed).alias("split"))
+    return every.join(chosen, "row").select("origin", "id", "question", "answer", "split")
 
 
 def contract(requests: DataFrame, responses: DataFrame, batch: str, unit: str, order: str) -> DataFrame:
