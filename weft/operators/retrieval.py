@@ -172,7 +172,12 @@ def metrics(results: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
     results: qid, id, rank; relevant: qid, id.
     """
     total = relevant.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
-    found = results.filter(F.col("rank") <= k).join(relevant.withColumn("r", F.lit(1)), ["qid", "id"])
+    return graded(results.join(relevant, ["qid", "id"]), total, k)
+
+
+def graded(found: DataFrame, total: DataFrame, k: int = 10) -> DataFrame:
+    """As metrics(), from the relevant results (qid, rank) and how many items are relevant (qid, n)."""
+    found = found.filter(F.col("rank") <= k)
     per = found.groupBy("qid").agg(F.count(F.lit(1)).alias("hits"), F.min("rank").alias("first"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))
     rows = total.join(per, "qid", "left").select(

@@ -90,13 +90,16 @@ def tree(classified: DataFrame) -> DataFrame:
     # A heading owns all lines up to the next heading of its rank or a smaller one.
     texts = paragraphs.select("doc_id", F.col("node").alias("at"), F.lit(None).cast("int").alias("rank"), F.col("end").alias("reach"))
     marks = merged.select("doc_id", F.col("node").alias("at"), "rank", F.col("own_end").alias("reach")).unionByName(texts)
-    line = Window.partitionBy("doc_id").orderBy("at").rowsBetween(1, Window.unboundedFollowing)
+    back = Window.partitionBy("doc_id").orderBy(F.desc("at"))
+    later = back.rowsBetween(Window.unboundedPreceding, -1)
+    marks = marks.withColumns({"prior": F.lead("reach").over(back), "all": F.first("reach").over(back)})
     for r in RANKS.values():
-        marks = marks.withColumn(f"stop{r}", F.min(F.when(F.col("rank") <= r, F.col("at"))).over(line))
+        marks = marks.withColumn(f"stop{r}", F.last(F.when(F.col("rank") <= r, F.struct("at", "prior")), ignorenulls=True).over(later))
     stop = F.coalesce(*[F.when(F.col("rank") == r, F.col(f"stop{r}")) for r in RANKS.values()])
-    spans = marks.filter("rank is not null").select("doc_id", F.col("at").alias("node"), stop.alias("stop"))
-    inside = spans.join(marks.select("doc_id", "at", "reach"), "doc_id").filter("at >= node and (stop is null or at < stop)")
-    ends = inside.groupBy("doc_id", "node").agg(F.max("reach").alias("end"))
+    # Lines end in their order, so what stands right before the stop reaches furthest; only a
+    # continued volume has a later end of its own.
+    reach = F.when(stop.isNull(), F.col("all")).otherwise(stop["prior"])
+    ends = marks.filter("rank is not null").select("doc_id", F.col("at").alias("node"), F.greatest("reach", reach).alias("end"))
     nodes = merged.join(ends, ["doc_id", "node"]).select("doc_id", "node", kinds.alias("type"), "content", "parent", "start", "end")
     nodes = nodes.unionByName(paragraphs.select("doc_id", "node", F.lit("paragraph").alias("type"), F.col("text").alias("content"), "parent", "start", "end"))
     return nodes.withColumn("number", F.row_number().over(Window.partitionBy("doc_id", "type").orderBy("node")))

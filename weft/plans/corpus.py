@@ -291,8 +291,10 @@ SELECT count(*) AS questions, round(avg(coalesce(hits / n::DOUBLE, 0)), 6) AS re
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of the vector search: items of the question's label are relevant."""
     labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    relevant = labels.filter("id % 20 = 0").select(F.col("id").alias("qid"), "label").join(labels, "label").select("qid", "id")
-    return retrieval.metrics(_nearest(spark, sf_dir), relevant)
+    asked = labels.filter("id % 20 = 0").select(F.col("id").alias("qid"), F.col("label").alias("wanted"))
+    total = asked.join(labels.groupBy(F.col("label").alias("wanted")).agg(F.count(F.lit(1)).alias("n")), "wanted")
+    found = _nearest(spark, sf_dir).join(labels, "id").join(asked, "qid").filter(F.col("label") == F.col("wanted"))
+    return retrieval.graded(found.select("qid", "rank"), total.select("qid", "n"))
 
 
 @query(r"SELECT conv_id, turn, CAST(len(list_distinct(regexp_extract_all(text, '\[S(\d+)\]', 1))) AS BIGINT) AS n_cited FROM conversations")
