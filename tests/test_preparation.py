@@ -102,3 +102,15 @@ def test_token_filter_by_a_tokenizer(spark, tmp_path):
     counted = df.withColumn("n", preparation.token_count_udf(path)("text"))
     assert [r.n for r in counted.collect()] == [3, 2, 0, 0]
     assert preparation.within_tokens(counted, F.col("n"), 2).count() == 3
+
+
+def test_metrics_of_rankings(spark):
+    from weft.operators import retrieval
+
+    results = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 12, 3), (2, 10, 1), (4, 10, 1)], "qid long, id long, rank int")
+    relevant = spark.createDataFrame([(1, 11), (1, 12), (1, 99), (2, 77), (3, 10)], "qid long, id long")
+    got = retrieval.metrics(results, relevant, 2).first()
+    dcg, ideal = 1 / math.log2(3), 1 + 1 / math.log2(3)
+    assert got.questions == 3
+    assert got.recall_at_k == pytest.approx((1 / 3) / 3, abs=1e-6) and got.mrr == pytest.approx(0.5 / 3, abs=1e-6)
+    assert got.ndcg_at_k == pytest.approx(dcg / ideal / 3, abs=1e-6)
