@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import decontamination, exact_dedup, line_dedup, lm_scoring, mixing, near_dedup, quality, sharding, substring_dedup, toxicity
+from weft.llm import decontamination, exact_dedup, line_dedup, lm_scoring, mixing, near_dedup, quality, sharding, simhash_dedup, substring_dedup, toxicity
 from weft.session import table
 
 
@@ -83,6 +83,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents: SimHash of three-word shingles, two bits apart at most."""
+    return simhash_dedup.simhash_dedup(table(spark, sf_dir, "documents"), words=3, distance=2)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_substring_dedup": op2_substring_dedup,
@@ -94,6 +99,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
+    "op11_simhash": op11_simhash,
 }
 ORACLE = {
     "op6_decontamination": decontamination.ORACLE_SQL,
