@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import decontamination, exact_dedup, line_dedup, lm_scoring, mixing, near_dedup, quality, sharding, simhash_dedup, substring_dedup, toxicity
+from weft.llm import decontamination, exact_dedup, line_dedup, lm_scoring, mixing, near_dedup, periodic_runs, quality, sharding, simhash_dedup, substring_dedup, toxicity
 from weft.session import table
 
 
@@ -88,6 +90,35 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_dedup(table(spark, sf_dir, "documents"), words=3, distance=2)
 
 
+def _looped(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a document; those of every tenth end in a loop, as its number says."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, and what is left without repeats."""
+    found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), _looped)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    found = found.withColumn("longest", longest)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.period")).alias("period"),
+        F.expr("1000 * longest.length div -longest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_substring_dedup": op2_substring_dedup,
@@ -100,9 +131,11 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
     "op11_simhash": op11_simhash,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 ORACLE = {
     "op6_decontamination": decontamination.ORACLE_SQL,
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
+    "op12_periodic_runs": periodic_runs.ORACLE_SQL,
 }
