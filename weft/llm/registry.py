@@ -7,7 +7,8 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import decontamination, exact_dedup, line_dedup, lm_scoring, mixing, near_dedup, periodic_runs, quality, sharding, simhash_dedup, substring_dedup, toxicity
+from weft.llm import decontamination, exact_dedup, line_dedup, lm_scoring, mixing, near_dedup, periodic_runs, prefix_trie, quality, sharding, simhash_dedup, substring_dedup, toxicity
+from weft.llm._store import saved
 from weft.session import table
 
 
@@ -119,6 +120,65 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations that share first turns, as trie() takes them: turns and conversations.
+
+    Conversation c starts with the first crc32(c) % 4 turns of conversation c - c % 20, in
+    place of as many of its own.
+    """
+    turns = saved(turns, "turns")
+    own = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("own"))
+    own = own.withColumns({"h": F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4, "host": F.col("conv_id") - F.col("conv_id") % 20})
+    heads = turns.filter("conv_id % 20 = 0 and place <= 3").groupBy(F.col("conv_id").alias("host"))
+    heads = heads.agg(F.sort_array(F.collect_list(F.struct("place", "digest", "words"))).alias("head"))  # three at most
+    convs = own.join(heads, "host", "left").withColumn("head", F.slice(F.coalesce("head", F.array()), 1, F.col("h").cast("int")))
+    convs = saved(convs.withColumn("n", F.size("head") + F.greatest(F.col("own") - F.col("h"), F.lit(0))), "conversations")
+    lent = convs.select("conv_id", "n", F.explode("head").alias("t")).select("conv_id", F.col("t.place").alias("depth"), "n", "t.digest", "t.words")
+    kept = turns.join(convs.select("conv_id", "h", "n", F.size("head").alias("lent")), "conv_id").filter("place > h")
+    kept = kept.select("conv_id", (F.col("place") - F.col("h") + F.col("lent")).alias("depth"), "n", "digest", "words")
+    return lent.unionByName(kept), convs.select("conv_id", "n")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt so that many share their first turns."""
+    return prefix_trie.trie(*_rebuilt(prefix_trie.numbered(table(spark, sf_dir, "conversations"))))
+
+
+#: Of op13_prefix_trie: paths as joined digests; a node's subtree by the paths of the members that are smallest in theirs.
+PREFIX_TRIE_SQL = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS tab
+), turns AS (
+  SELECT conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), numbered AS (
+  SELECT conv_id, digest, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS place FROM turns
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS host, xor(list_reduce(list_transform(string_split(conv_id::varchar, ''), lambda s: ascii(s)::bigint),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM numbered), crc
+), parts AS (
+  SELECT c.conv_id, 0 AS part, place, digest, words FROM convs c JOIN numbered t ON t.conv_id = c.host AND t.place <= c.h
+  UNION ALL SELECT c.conv_id, 1, place, digest, words FROM convs c JOIN numbered t ON t.conv_id = c.conv_id AND t.place > c.h
+), paths AS (
+  SELECT conv_id, row_number() OVER o AS depth, words, string_agg(digest, '') OVER o AS path FROM parts
+  WINDOW o AS (PARTITION BY conv_id ORDER BY part, place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), sizes AS (SELECT conv_id, max(depth) AS n FROM paths GROUP BY conv_id
+), nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, max(n) = depth AS leaf,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256
+  FROM paths JOIN sizes USING (conv_id) GROUP BY path, depth
+), below AS (
+  SELECT p.path, count(*) FILTER (WHERE v.leaf) AS n_leaves, count(*) FILTER (WHERE v.depth = p.depth + 1) AS n_children, sum((v.n_convs - 1) * v.words) AS saved_tokens
+  FROM nodes v JOIN paths p ON p.conv_id = v.conv_id AND p.depth <= v.depth GROUP BY p.path
+)
+SELECT u.conv_id, u.depth, p.conv_id AS parent_conv_id, u.n_convs, n_children, n_leaves, saved_tokens::bigint AS saved_tokens, u.ends_sha256
+FROM nodes u JOIN below USING (path) LEFT JOIN nodes p ON u.depth > 0 AND p.path = left(u.path, -64)
+"""
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_substring_dedup": op2_substring_dedup,
@@ -132,10 +192,12 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_simhash": op11_simhash,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE = {
     "op6_decontamination": decontamination.ORACLE_SQL,
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
     "op12_periodic_runs": periodic_runs.ORACLE_SQL,
+    "op13_prefix_trie": PREFIX_TRIE_SQL,
 }
