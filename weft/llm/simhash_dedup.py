@@ -31,6 +31,8 @@ from weft.llm._text import byte_column
 BITS = 64
 #: Shingles hashed at once; longer texts take several rounds.
 ROUND = 1 << 15
+#: A fingerprint is heavy if one row in so many has it.
+HEAVY = 1024
 #: The lower bit of each segment of two.
 LOW = 0x5555555555555555
 
@@ -135,7 +137,7 @@ def simhash_dedup(docs: DataFrame, words: int = 3, distance: int = 2, blocks: in
         raise ValueError("distance must be even, blocks a divisor of 64 above the distance")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prints = saved(docs.mapInArrow(_prints(words), "doc_id long, fingerprint long"), "prints")
-    nodes = saved(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("low")), "nodes")
+    nodes = saved(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows")), "nodes")
     cells = nodes.select("fingerprint", _cells(_counts(F.col("fingerprint")), distance, blocks))
     sized = cells.groupBy("choice", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("fingerprint").alias("a"), F.max("fingerprint").alias("b"))
     sized = saved(sized.filter("n > 1"), "cells")
@@ -155,7 +157,11 @@ def simhash_dedup(docs: DataFrame, words: int = 3, distance: int = 2, blocks: in
     joined = components(links.distinct()).withColumnRenamed("node", "fingerprint")
     low = joined.join(nodes, "fingerprint")
     named = low.join(low.groupBy("root").agg(F.min("low").alias("component")), "root").select("fingerprint", "component")
-    named = nodes.join(named, "fingerprint", "left").select("fingerprint", F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("component")).alias("component_id"))
-    out = prints.join(named, "fingerprint")
+    named = nodes.join(named, "fingerprint", "left").select("fingerprint", "rows", F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("component")).alias("component_id"))
+    # Of fingerprints with over one row in HEAVY there are fewer than HEAVY; their rows stay where they are.
+    named = saved(named.withColumn("heavy", F.col("rows") > prints.count() // HEAVY).drop("rows"), "named")
+    heavy = F.broadcast(named.filter("heavy").drop("heavy"))
+    light = prints.join(heavy, "fingerprint", "left_anti").join(named.filter("not heavy").drop("heavy"), "fingerprint")
+    out = prints.join(heavy, "fingerprint").unionByName(light)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), BITS // 4, "0")).alias("fingerprint"), "component_id")
 
