@@ -77,9 +77,13 @@ def pieces(data: np.ndarray, at: np.ndarray, size: int = PIECE) -> Iterator[tupl
 
 
 class Words:
-    """The words of a run of texts: hash, text number, first byte, end, and words per text."""
+    """The words of a run of texts: hash, text number, first byte, end, and words per text.
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, kind: np.ndarray):
+    Where hashes stand for the words themselves, key is a number that nobody can know before
+    the call, so that no words can be made up that share a hash.
+    """
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, kind: np.ndarray, key: int = 0):
         n, texts = len(data), len(at) - 1
         low = LOWER[data]
         inside = kind[low]
@@ -95,12 +99,13 @@ class Words:
         self.count = np.bincount(self.text, minlength=texts)
         padded = np.concatenate([low, np.zeros(8, dtype=np.uint8)])
         self._eights = np.ndarray((n + 1,), dtype="<u8", buffer=padded, strides=(1,))
+        self.key = np.uint64(key)
         self.hash = self._hashed(self.start, self.end)
 
     def _hashed(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of stretches of bytes, eight bytes a round; equal sizes of up to eight never collide."""
         size = end - start
-        out = mixed(size.astype(np.uint64) + np.uint64(_BASE))
+        out = mixed(mixed(size.astype(np.uint64) + np.uint64(_BASE)) ^ self.key) if self.key else mixed(size.astype(np.uint64) + np.uint64(_BASE))
         going = np.flatnonzero((size <= LONG) & (size > 0))
         done = 0
         while len(going):
@@ -110,7 +115,8 @@ class Words:
             done += 8
             going = going[left > 8]
         for i in np.flatnonzero(size > LONG).tolist():
-            out[i] = int.from_bytes(hashlib.blake2b(self.bytes[start[i] : end[i]], digest_size=8).digest(), "little")
+            secret = int(self.key).to_bytes(8, "little") if self.key else b""
+            out[i] = int.from_bytes(hashlib.blake2b(self.bytes[start[i] : end[i]], digest_size=8, key=secret).digest(), "little")
         return out
 
     def __len__(self) -> int:

@@ -17,6 +17,7 @@ shuffled to the grams' log probabilities, and these back to the texts.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -438,7 +439,7 @@ def gram_logs(docs: DataFrame, parts: int) -> DataFrame:
 PIECE_ROW = "part int, piece long, doc_ids binary, known_ids binary, held binary, n_tokens binary, texts binary, words binary, trained binary, grams binary, logs binary"
 
 
-def _scatter(parts: int):
+def _scatter(parts: int, secret: int):
     """Per piece a row of its texts, by part of the vocabulary its words, by part of the grams its grams.
 
     A word row has the piece's distinct words of the part and how often its training texts
@@ -453,7 +454,7 @@ def _scatter(parts: int):
             ids = batch.column("doc_id")
             held_all = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             for low, high, part, offsets in pieces(data, at, ASKING):
-                words = Words(part, offsets, NOT_BLANK)
+                words = Words(part, offsets, NOT_BLANK, secret)
                 held = held_all[low:high]
                 own = ids.slice(low, high - low)
                 piece = task << 32 | number
@@ -528,7 +529,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[low : low + 256], strict=True), kinds, strict=True)], names=names)
 
 
-def _gather(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+def _gather(batches: Iterator[pa.RecordBatch], parts: int, secret: int) -> Iterator[pa.RecordBatch]:
     """The texts of each piece, scored by the answers to its words and grams; the first has the piece's totals."""
 
     def answers(rows: list[dict], name: str, kind) -> np.ndarray:
@@ -539,7 +540,7 @@ def _gather(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
         rows = group.to_pylist()
         head = next(r for r in rows if r["doc_ids"] is not None)
         ids = np.frombuffer(head["doc_ids"], dtype=np.int64)
-        words = Words(*_restored(head["texts"]), NOT_BLANK)
+        words = Words(*_restored(head["texts"]), NOT_BLANK, secret)
         word, place = np.unique(words.hash, return_inverse=True)
         count = np.zeros(len(word), dtype=np.int64)
         count[_dealt_words(word, parts)[0]] = answers(rows, "words", np.int64)
@@ -559,9 +560,10 @@ def _gather(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
                 pa.array(known),
                 pa.array(logs),
                 pa.array(scores),
+                pa.array(size.astype(np.int64)),
                 *(pa.array([sum(r[k] for r in rows), *[0] * (len(ids) - 1)], pa.int64()) for k in ("vocabulary", "tokens")),
             ],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "vocabulary", "tokens"],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "n_bytes", "vocabulary", "tokens"],
         )
 
 
@@ -572,9 +574,10 @@ def held_out(doc_id) -> F.Column:
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
-    score.
+    score, bits_per_byte.
 
-    Tokens are the words and one end. score is the tree's log10 probability of the text,
+    bits_per_byte is the code length of the text under the tree over the bytes it reads.
+    Words are told apart by 64-bit hashes of their bytes under a random key. Tokens are the words and one end. score is the tree's log10 probability of the text,
     base_score the sum of log10((c + 1) / (N + V + 1)) over tokens, with counts c, N tokens
     and V distinct ones in the texts that are not held out. Null and wordless texts are an
     end alone. Rows stand for themselves, repeated ones too. Without training texts all
@@ -585,13 +588,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     The grams of the tree go the same way. A text of any length is one piece at most.
     """
     spark = docs.sparkSession
-    n = partitions(spark)
+    n, secret = partitions(spark), secrets.randbits(64)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
     parts = PARTS * n
-    rows = docs.mapInArrow(_scatter(parts), PIECE_ROW).unionByName(gram_logs(docs, parts), allowMissingColumns=True)
+    rows = docs.mapInArrow(_scatter(parts, secret), PIECE_ROW).unionByName(gram_logs(docs, parts), allowMissingColumns=True)
     sums = rows.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_counted, SUM_ROW)
     texts = sums.repartition(n, "piece").sortWithinPartitions("piece").mapInArrow(
-        lambda batches: _gather(batches, parts), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, vocabulary long, tokens long"
+        lambda batches: _gather(batches, parts, secret), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, n_bytes long, vocabulary long, tokens long"
     )
     texts = saved(texts, "texts")
     ends = docs.agg(F.count_if(~F.col("held_out")).alias("ends"))
@@ -608,4 +611,5 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("logs") + end - F.col("n_tokens") * unit).alias("base_score"),
         "score",
+        (-F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )

@@ -13,6 +13,7 @@ members all meet a few leaders first; only those that are then unlike most are c
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,12 +75,12 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _sketch(k: int):
+def _sketch(k: int, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = byte_column(batch.column("text"))
             for low, high, part, offsets in pieces(data, at):
-                sets = shingles(Words(part, offsets, NOT_BLANK), k)
+                sets = shingles(Words(part, offsets, NOT_BLANK, key), k)
                 rows = registers(sets)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -196,14 +197,14 @@ def _forest(percent: int, confirm: bool):
     return by
 
 
-def _sets(k: int):
+def _sets(k: int, key: int):
     """The full sets of the family members, each of the very text its sketch came from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = byte_column(batch.column("text"))
             for low, high, part, offsets in pieces(data, at):
-                sets = shingles(Words(part, offsets, NOT_BLANK), k)
+                sets = shingles(Words(part, offsets, NOT_BLANK, key), k)
                 wanted = batch.column("digest").slice(low, high - low).to_pylist()
                 right = [i for i, s in enumerate(sets) if len(s) and _digest(s) == wanted[i]]
                 rows = batch.slice(low, high - low).take(pa.array(right, pa.int64()))
@@ -227,15 +228,18 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     linked when 100 * common >= percent * united shingles; component_id is the smallest id
     reachable over links. Null and wordless texts have no shingles and are linked with
     nothing; texts of fewer than `words` words have their whole sequence as one shingle.
-    Rows with the same id count as what their texts are; kept is doc_id = component_id, and
+    Ids are of any type that can be ordered. Rows with the same id count as what their texts are; kept is doc_id = component_id, and
     a null id is kept only where its whole component has null ids.
 
     A linked pair is missed if it shares no band: at a similarity of 0.8 with odds of
     about 5e-8 (1e-6 for sets of a few shingles), and less above. Texts may be of any length:
     each is worked on whole, in one task, with about 20 bytes of memory a byte of text.
+    Shingles are told apart by 64-bit hashes of their words' bytes under a random key.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = saved(docs.mapInArrow(_sketch(words), "doc_id long, n_shingles long, digest binary, registers binary"), "sketches")
+    key = secrets.randbits(64)
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sketches = saved(docs.mapInArrow(_sketch(words, key), f"doc_id {kind}, n_shingles long, digest binary, registers binary"), "sketches")
     classes = saved(
         sketches.filter("digest is not null")
         .groupBy("digest")
@@ -266,7 +270,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     marked = wanted.select(_mark("low").alias("mark")).distinct()  # MARKS rows at most
     some = docs.withColumn("mark", _mark("doc_id")).join(F.broadcast(marked), "mark", "left_semi")
     texts = some.join(wanted, some.doc_id.eqNullSafe(wanted.low)).select("family", "node", "n", "blocks", "digest", "text")
-    sets = texts.mapInArrow(_sets(words), "family long, node long, n long, blocks long, members binary")
+    sets = texts.mapInArrow(_sets(words, key), "family long, node long, n long, blocks long, members binary")
     sets = saved(sets.dropDuplicates(["node"]), "sets")
     links = settled(sized, sets.filter, ["family"], _forest(percent, True), block)
     joined = saved(components(links), "components")
