@@ -187,12 +187,12 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text
     lines; null ids come first. Lines of
     repeated rows are kept together.
 
-    Lines are told apart by 64-bit digests. Of a line held by very many documents only one
+    Lines are told apart by the first 128 bits of their SHA-256. Of a line held by very many documents only one
     occurrence enters the join.
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    every = lines_of(docs, id_col, text_col).withColumn("node", F.xxhash64("line"))
+    every = lines_of(docs, id_col, text_col).withColumn("node", F.unhex(F.substring(F.sha2("line", 256), 1, 32)))
     place = F.struct(F.col("doc_id"), F.col("line_no"))
     nodes = saved(every.groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")), "lines")
     total = nodes.agg(F.sum("copies")).first()[0] or 0
