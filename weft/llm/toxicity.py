@@ -112,8 +112,10 @@ def train(bags: list[tuple[int, int, np.ndarray, np.ndarray]], width: int, steps
     """Weights and bias from (label, number of sentences, columns, sentence numbers)."""
     w, bias = np.zeros(width), -6.0
     label = np.array([b[0] for b in bags])
-    if not len(label) or label.min() == label.max():
-        return w, 1.0 if len(label) and label[0] == 1 else bias
+    if not len(label):
+        return w, np.nan
+    if label.min() == label.max():
+        return w, 1.0 if label[0] == 1 else bias
     count = np.array([max(1, b[1]) for b in bags])
     base = np.cumsum(count) - count
     col = np.concatenate([b[2] for b in bags])
@@ -138,7 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
     """Weights of all places and, last, the bias.
 
     At most `sample` labelled documents train it, those whose ids have the smallest hashes.
-    Held-out ids and null labels are not looked at.
+    Held-out ids and null labels are not looked at. Without any label all scores are 0.5
+    (the bias is then no number); with one kind of label they are near that label.
     """
     spark = docs.sparkSession
     known = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
@@ -183,7 +186,7 @@ def _score(shared, text_col: str):
                 for s in np.flatnonzero(chance >= OFFENDING).tolist():
                     start = offsets[of[s]]
                     spans[of[s]].append({"start": int(words.start[first[s]] - start), "end": int(words.end[last[s]] - start), "score": float(chance[s])})
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(low, high - low), pa.array(-np.expm1(-total), pa.float64()), pa.array(spans, pa.list_(span))], names=["row", "score", "offending"])
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(low, high - low), pa.array(np.where(np.isnan(weights[-1]), 0.5, -np.expm1(-total)), pa.float64()), pa.array(spans, pa.list_(span))], names=["row", "score", "offending"])
 
     return run
 
@@ -192,7 +195,7 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataF
     """row (all columns of docs as they are), score, offending.
 
     offending are the sentences (first byte, end, probability) at OFFENDING or above. Texts
-    without words, null ones included, have no sentences and the score 0. A text of any
+    without words, null ones included, have no sentences and the score 0 (0.5 without labels). A text of any
     length is worked on whole, in one task.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
