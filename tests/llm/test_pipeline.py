@@ -64,5 +64,18 @@ def test_empty_corpus(spark, tmp_path):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES) == list(range(1, 14))
     assert set(registry.ORACLE) <= set(registry.QUERIES)
+
+
+def test_repeated_and_null_ids_and_a_column_called_size(spark, tmp_path):
+    text = " ".join(f"v{i}" for i in range(60))
+    near = [text + " one", text + " two", text + " three"]
+    rows = [(1, near[0]), (5, near[1]), (5, near[2]), (None, near[0]), (None, near[1]), (6, "something else"), (6, "other words"), (7, None), (7, None), (8, "")]
+    docs = documents(spark, rows)
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, docs, "").collect())
+    assert sum(n for (_, t), n in got.items() if t in near) == 1
+    assert got[(6, "something else")] == got[(6, "other words")] == got[(7, None)] == got[(8, "")] == 1
+    many = spark.createDataFrame([(i, " ".join(f"u{i}x{j}" for j in range(9)), "a", 999, "kept") for i in range(20)], "doc_id long, text string, source string, size int, words string")
+    out = corpus_pipeline.mixed(spark, many, "").collect()
+    assert out and {r["size"] for r in out} == {999} and {r["words"] for r in out} == {"kept"}
