@@ -6,7 +6,7 @@ columns of documents. Stages judge their own input only, which may hold repeated
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.llm import decontamination, mixing, near_dedup, quality, sharding
@@ -19,6 +19,11 @@ SHARDS = 40
 ORACLE_SQL = None
 
 
+def _row(docs: DataFrame) -> Column:
+    """All columns as they are, whatever their names."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of LEAST_QUALITY or more."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -28,11 +33,14 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8).
 
-    That with the smallest id stays; of rows repeated with id and text, one.
+    That with the smallest id stays, null before others; of rows repeated with id and text,
+    one. Rows are known by id and digest of both, so that repeated and null ids are no trouble.
     """
-    ids = near_dedup.near_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(ids, docs.doc_id.eqNullSafe(ids.kept_id), "left_semi")
-    return kept.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    digest = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")), F.isnull("text").cast("string")), 256)
+    rows = docs.select(_row(docs).alias("row"), digest.alias("digest"))
+    one = rows.select(F.struct("row.doc_id", "digest").alias("id"), F.col("row.text").alias("text"))
+    kept = near_dedup.near_dedup(one, id_col="id").filter("kept").select("doc_id.digest").distinct()
+    return rows.join(kept, "digest", "left_semi").dropDuplicates(["digest"]).select("row.*")
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,15 +51,13 @@ def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of the sources takes it."""
-    key = ["doc_id", "source", "size"]
-    copies = mixing.mix(docs).groupBy(*key).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies"))  # one entry per repeated row
-    copies = copies.select(*[F.col(k).alias(f"__{k}") for k in key], F.col("copies").alias("__copies"))
-    rows = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long"))
-    rows = rows.join(copies, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size")))
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text")))
-    rows = rows.withColumn("__n", F.when(F.size("__copies") > 1, nth).otherwise(1))
-    taken = F.element_at("__copies", F.col("__n")).cast("int")
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), taken))).select(*docs.columns)
+    size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long")
+    rows = docs.select(_row(docs).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("of"), size.alias("words"))
+    copies = mixing.mix(docs).groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies"))  # one entry per repeated row
+    rows = rows.join(copies, F.col("id").eqNullSafe(F.col("doc_id")) & F.col("of").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size")))
+    nth = F.row_number().over(Window.partitionBy("id", "of", "words").orderBy(F.xxhash64("row.text")))
+    taken = F.element_at("copies", F.when(F.size("copies") > 1, nth).otherwise(1)).cast("int")
+    return rows.withColumn("taken", taken).select("row", F.explode(F.array_repeat(F.lit(1), F.col("taken")))).select("row.*")
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
