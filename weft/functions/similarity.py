@@ -99,3 +99,58 @@ def near_ratio_udf(least: float):
         return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     return near_ratio
+
+
+class NearPool:
+    """Texts of a bounded pool, by the grams they hold, to find those near a given text.
+
+    With the pool's grams in order of rarity, a text that shares at least t of its g grams
+    with another must share one of its g - t + 1 rarest ones: only those are looked up. What
+    they find is counted in full, and what the count leaves is compared exactly.
+    """
+
+    def __init__(self, texts: list[str], least: float, length: int, gap: float, block: int | None):
+        self.texts, self.least, self.length, self.gap, self.block = texts, least, length, gap, block
+        found = [_grams(t) for t in texts]
+        owner = np.repeat(np.arange(len(texts)), [len(g) for g, _ in found])
+        gram = np.concatenate([np.zeros(0, dtype=np.uint64), *(g for g, _ in found)])
+        order = np.argsort(gram, kind="stable")
+        self.owner, self.times = owner[order], np.concatenate([np.zeros(0, dtype=np.int64), *(n for _, n in found)])[order]
+        self.gram, self.start, self.held = np.unique(gram[order], return_index=True, return_counts=True)
+        self.size = np.array([len(t) for t in texts], dtype=np.int64)
+
+    def needed(self, total: np.ndarray | float) -> np.ndarray | float:
+        """Grams that two texts of so many characters together share if their LCS ratio is `least`."""
+        return (total * (1 - (2 * GRAM - 1) * (1 - self.least)) - 2 * (GRAM - 1)) / 2 - 1e-9
+
+    def near(self, text: str) -> list[tuple[int, float]]:
+        """Position and LCS ratio of the pool's texts that are near this one."""
+        m = len(text)
+        if m < self.length or not len(self.gram):
+            return []
+        grams, times = _grams(text)
+        at = np.minimum(np.searchsorted(self.gram, grams), len(self.gram) - 1)
+        known = self.gram[at] == grams
+        held = np.where(known, self.held[at], 0)
+        rare = np.argsort(held, kind="stable")
+        t = max(1, int(np.ceil(self.needed(m + np.ceil((1 - self.gap) * m)))))
+        before = np.cumsum(times[rare]) - times[rare]
+        looked = rare[(before < times.sum() - t + 1) & known[rare]]
+        some = [self.owner[self.start[k] : self.start[k] + self.held[k]] for k in at[looked].tolist()]
+        if not some:
+            return []
+        mates = np.unique(np.concatenate(some))
+        mates = mates[np.abs(self.size[mates] - m) <= self.gap * np.maximum(self.size[mates], m)]
+        mates = mates[self.size[mates] >= self.length]
+        if self.block:
+            head, tail = text[: self.block], text[-self.block :]
+            mates = mates[[self.texts[i].startswith(head) or self.texts[i].endswith(tail) for i in mates.tolist()]] if len(mates) else mates
+        if not len(mates):
+            return []
+        shared = np.zeros(len(self.texts), dtype=np.int64)
+        for k, n in zip(at[known].tolist(), times[known].tolist(), strict=True):
+            rows = slice(self.start[k], self.start[k] + self.held[k])
+            shared[self.owner[rows]] += np.minimum(self.times[rows], n)
+        mates = mates[shared[mates] >= self.needed(self.size[mates] + m)]
+        ratios = [(i, 2 * _lcs(self.texts[i], text) / (len(self.texts[i]) + m)) for i in mates.tolist()]
+        return [(i, r) for i, r in ratios if r >= self.least]

@@ -126,11 +126,3 @@ def containing(docs: DataFrame, items: DataFrame, head: int = 8) -> DataFrame:
     both = pairs.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", "item"), "item_id")
     return both.filter(F.contains("text", F.col("item"))).select("doc_id", "item_id")
 
-
-def entities(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """doc_id, name, type, first (characters from 1), times: dictionary names in texts, not overlapping with themselves."""
-    named = dictionary.select("name", "type").filter("name <> ''").distinct()
-    found = containing(docs, named.select(F.col("name").alias("item_id"), F.col("name").alias("item")).distinct())
-    rows = found.withColumnRenamed("item_id", "name").join(named, "name").join(docs.select("doc_id", "text"), "doc_id")
-    times = (F.char_length("text") - F.char_length(F.replace("text", F.col("name"), F.lit("")))) / F.char_length("name")
-    return rows.select("doc_id", "name", "type", F.position("name", "text").cast("long").alias("first"), times.cast("long").alias("times"))

@@ -88,22 +88,6 @@ def mixture_target(domain_rows: Column, available: Column, share: float = 0.1) -
     return F.least(F.ceil(F.round(domain_rows * share / (1 - share), 6)), available)
 
 
-def heldout(candidates: DataFrame, splits: DataFrame, limit: int, pool_factor: int = 10, least: int = 12, most: int = 2000, least_answer: int = 15, rate: float = 0.1963, seed: str = "42") -> DataFrame:
-    """Held-out items from (row, question, answer) that no split row (question) asks.
-
-    Rows that the training sample took are left out, then those of other lengths; of equal
-    canonical questions the first row counts. The limit * pool_factor questions with the
-    smallest digests are candidates; those asked in a split go, and limit remain.
-    """
-    rows = sampled(candidates, F.concat_ws("\n", "question", "answer"), rate, seed, keep=False)
-    rows = rows.filter(F.char_length("question").between(least, most) & (F.char_length("answer") >= least_answer))
-    rows = rows.withColumn("canon", canonical(F.col("question"))).filter("canon <> ''")
-    pool = keep_first(rows, F.col("canon"), ["row"]).withColumn("digest", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("canon")), 256))
-    pool = pool.orderBy("digest", "canon").limit(limit * pool_factor)
-    asked = splits.select(canonical(F.col("question")).alias("canon")).filter("canon <> ''").distinct()
-    return pool.join(asked, "canon", "left_anti").orderBy("digest", "canon").limit(limit).select(F.sha2("canon", 256).alias("id"), "question", F.col("answer").alias("reference"), F.col("row").alias("original_row"))
-
-
 def near_copies(candidates: DataFrame, others: DataFrame, similar: Column | None = None, block: int = 18, least: int = 45, gap: float = 0.1) -> DataFrame:
     """Pairs (id, other_id, a, b) of canonical texts that share their head or tail.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.operators import preparation, structure
+from weft.operators import entities, preparation, structure
 from weft.session import table
 
 QUERIES: dict = {}
@@ -128,12 +128,18 @@ def metric_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preparation.metric_lines(rows, "p_type", ["price", "large"])
 
 
-@query("""
-WITH e AS (SELECT DISTINCT string_split(text, ' ')[i] AS name, 'place ' || i AS type FROM benchmark, unnest([1, 2, 7]) AS r(i) WHERE item_id % 20 = 0 AND string_split(text, ' ')[i] <> '')
-SELECT doc_id, name, type, strpos(text, name) AS first, ((length(text) - length(replace(text, name, ''))) // length(name))::BIGINT AS times FROM documents, e WHERE contains(text, name)
+_NAMES = r"e AS (SELECT name, 'type ' || (length(name) % 8) AS type FROM (SELECT DISTINCT unnest(regexp_split_to_array(coalesce(text, ''), '[^\pL\pN]+')) AS name FROM benchmark) WHERE length(name) >= 6)"
+
+
+@query(f"""
+WITH {_NAMES}, p AS (SELECT string_agg(name, '|' ORDER BY length(name) DESC, name) AS p FROM e),
+t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), p) AS n, string_split_regex(coalesce(text, ''), p) AS s FROM documents, p),
+m AS (SELECT r, doc_id, n[i] AS name, list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(n[1:i - 1], lambda x: length(x))), 0) + 1 AS start FROM t, unnest(range(1, len(n) + 1)) AS u(i))
+SELECT doc_id, name, type, min(start)::BIGINT AS first, count(*) AS times FROM m JOIN e USING (name) GROUP BY doc_id, name, type
 """)
 def dictionary_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names in all documents, and where: three words of the benchmark items whose id is divisible by 20."""
-    w = table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select(F.split("text", " ").alias("w"))
-    names = w.select(F.explode(F.array(*[F.struct(F.get("w", i - 1).alias("name"), F.lit(f"place {i}").alias("type")) for i in (1, 2, 7)])).alias("e")).select("e.*")
-    return preparation.entities(table(spark, sf_dir, "documents").select("doc_id", "text"), names)
+    """Names in all documents, and where: the benchmark's words of six letters or more, in eight types."""
+    w = F.split(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}]+")
+    names = table(spark, sf_dir, "benchmark").select(F.explode(w).alias("name")).filter(F.char_length("name") >= 6).distinct()
+    names = names.withColumn("type", F.concat(F.lit("type "), F.char_length("name") % 8))
+    return entities.entities(table(spark, sf_dir, "documents").select("doc_id", "text"), names)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.plans import corpus, preparation, records, training
+from weft.plans import corpus, leakage, preparation, records, search, training
 
-QUERIES: dict = {**corpus.QUERIES, **training.QUERIES, **records.QUERIES, **preparation.QUERIES}
-ORACLE: dict = {**corpus.ORACLE, **training.ORACLE, **records.ORACLE, **preparation.ORACLE}
+QUERIES: dict = {**corpus.QUERIES, **training.QUERIES, **records.QUERIES, **preparation.QUERIES, **search.QUERIES, **leakage.QUERIES}
+ORACLE: dict = {**corpus.ORACLE, **training.ORACLE, **records.ORACLE, **preparation.ORACLE, **search.ORACLE, **leakage.ORACLE}

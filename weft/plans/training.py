@@ -126,21 +126,6 @@ def text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(clean_text(F.col("html")), 256).alias("cleaned_sha256"))
 
 
-@query(f"""
-WITH s AS (SELECT doc_id AS row, text AS question, text AS answer FROM documents),
-k AS (SELECT * FROM s WHERE NOT coalesce({_DRAW.format("question || chr(10) || answer")} < 0.1963, false) AND length(question) BETWEEN 12 AND 2000 AND length(answer) >= 15),
-c AS (SELECT *, {_CANON.replace("text", "question")} AS canon FROM k),
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY canon ORDER BY row) AS n FROM c WHERE canon <> '') WHERE n = 1),
-p AS (SELECT *, sha256('42:' || canon) AS digest FROM f ORDER BY digest, canon LIMIT 1000),
-b AS (SELECT DISTINCT {_CANON} AS canon FROM benchmark)
-SELECT sha256(canon) AS id, question, answer AS reference, row AS original_row FROM p WHERE canon NOT IN (SELECT canon FROM b) ORDER BY digest, canon LIMIT 100
-""")
-def heldout_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """100 held-out items whose question (a document's text) no benchmark item asks."""
-    rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("row"), F.col("text").alias("question"), F.col("text").alias("answer"))
-    return samples.heldout(rows, table(spark, sf_dir, "benchmark").select(F.col("text").alias("question")), limit=100)
-
-
 @query(f"""
 WITH b AS (SELECT DISTINCT {_CANON} AS c FROM benchmark), d AS (SELECT doc_id, lang, {_CANON} AS c FROM documents)
 SELECT doc_id FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY doc_id) AS n FROM d WHERE lang <> 'en' AND c NOT IN (SELECT c FROM d WHERE lang = 'en')) WHERE n = 1
