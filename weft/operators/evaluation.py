@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.functions.hashing import draw
 from weft.functions.text import formula_safe
+from weft.sources.scratch import written
 
 
 def paired_means(rows: DataFrame, base: Column, other: Column) -> DataFrame:
@@ -15,22 +21,81 @@ def paired_means(rows: DataFrame, base: Column, other: Column) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("a"), 6).alias("base_mean"), F.round(F.avg("b"), 6).alias("other_mean"), F.round(F.avg(F.col("b") - F.col("a")), 6).alias("difference"))
 
 
+#: A resample holds a value k times if its draw is at least this in k places (Poisson of mean 1).
+POISSON = np.cumsum([1 / math.factorial(k) for k in range(7)]) / math.e
+#: Draws of four bytes that one digest gives.
+PER_DIGEST = 8
+
+
+def _resampled(seed: str, resamples: int):
+    """Per task, for each resample the sum of the values it holds and their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n = np.zeros(resamples), np.zeros(resamples, dtype=np.int64)
+        for batch in batches:
+            for key, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                digests = b"".join(hashlib.sha256(f"{seed}:{k}:{key}".encode()).digest() for k in range(-(-resamples // PER_DIGEST)))
+                times = np.searchsorted(POISSON, np.frombuffer(digests, dtype=">u4")[:resamples] / 2**32, "right")
+                sums += times * v
+                n += times
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(sums), pa.array(n)], names=["b", "total", "n"])
+
+    return run
+
+
 def bootstrap(values: DataFrame, seed: str = "42", resamples: int = 1000) -> DataFrame:
     """mean, low, high: 95 % interval of the mean of (id, v) by Poisson bootstrap.
 
     A resample holds each value as often as a Poisson(1) draw from its id says, so values
-    are never gathered or numbered: one pass gives every row its `resamples` weights, and
-    partial sums per resample are what is shuffled. The ends are order statistics.
+    are never gathered or numbered. Each task adds up all resamples over its values; what is
+    shuffled are these sums, `resamples` rows a task whatever the number of values. The ends
+    are order statistics, as of a sorted list of the resamples' means. Null values are left
+    out; without values all three are null.
     """
-    e = 0.36787944117144233
-    cuts = [e * x for x in (1, 2, 2.5, 2.6666666666666665, 2.7083333333333335, 2.716666666666667, 2.7180555555555554)]
-    u = draw(seed, F.concat_ws(":", F.col("b").cast("string"), F.col("id").cast("string")))
-    rows = values.filter("v is not null").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("u", u)
-    times = sum((F.when(F.col("u") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    means = rows.groupBy("b").agg((F.sum(times * F.col("v")) / F.nullif(F.sum(times), F.lit(0))).alias("m"))
+    values = values.filter("v is not null").select(F.col("id").cast("string").alias("id"), F.col("v").cast("double").alias("v"))
+    parts = values.mapInArrow(_resampled(seed, resamples), "b long, total double, n long")
+    means = parts.groupBy("b").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
     low, high = int(0.025 * (resamples - 1)), int(0.975 * (resamples - 1))
-    sorted_means = means.agg(F.array_sort(F.collect_list(F.round("m", 9))).alias("m"))  # one number per resample
-    return sorted_means.crossJoin(values.agg(F.round(F.avg("v"), 9).alias("mean"))).select("mean", F.get("m", low).alias("low"), F.get("m", high).alias("high"))
+    ordered = means.agg(F.array_sort(F.collect_list(F.round("m", 9))).alias("m"))  # one number per resample
+    return ordered.crossJoin(values.agg(F.round(F.avg("v"), 9).alias("mean"))).select("mean", F.get("m", low).alias("low"), F.get("m", high).alias("high"))
+
+
+def paired_bootstrap(rows: DataFrame, key: Column, base: Column, other: Column, seed: str = "42", resamples: int = 1000) -> DataFrame:
+    """As bootstrap(), of the differences other - base of the pairs that have both."""
+    return bootstrap(rows.select(key.alias("id"), (other.cast("double") - base.cast("double")).alias("v")), seed, resamples)
+
+
+#: Bins into which a range of values is cut at once.
+BINS = 1024
+
+
+def medians(rows: DataFrame, group: Column, value: Column) -> DataFrame:
+    """grp, median of the values of each group, exact, without gathering a group's values.
+
+    The one or two middle ranks are looked for in a histogram of the group's range; the bin
+    that holds a rank is cut again until all its values are equal. Each pass reads the rows
+    once and shuffles BINS counts a group and task at most. Null values do not count; a group
+    of nulls has a null median.
+    """
+    rows = rows.select(group.alias("grp"), value.cast("double").alias("v"))
+    data = rows.filter("v is not null")
+    sizes = data.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    ranks = F.array_distinct(F.array(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1))
+    state = written(sizes.select("grp", F.explode(ranks).alias("rank"), F.lit(0).cast("long").alias("below"), "low", "high"))
+    while not state.filter("low < high").isEmpty():
+        open_ = state.filter("low < high").withColumnRenamed("grp", "of")
+        inside = data.join(open_, F.col("grp").eqNullSafe(F.col("of")) & F.col("v").between(F.col("low"), F.col("high")))
+        # Halved, so that the width of the widest range is a number.
+        place = F.floor((F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * BINS)
+        bins = inside.groupBy("grp", "rank", "below", F.least(place, F.lit(BINS - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
+        upto = Window.partitionBy("grp", "rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # BINS rows
+        bins = bins.withColumn("upto", F.col("below") + F.sum("c").over(upto))
+        holds = (F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("c") < F.col("rank"))
+        found = bins.filter(holds).select("grp", "rank", (F.col("upto") - F.col("c")).alias("below"), "low", "high")
+        state = written(state.filter("low >= high").unionByName(found))
+    middle = state.groupBy(F.col("grp").alias("of")).agg(F.avg("low").alias("median"))
+    every = rows.select("grp").distinct()
+    return every.join(middle, F.col("grp").eqNullSafe(F.col("of")), "left").select("grp", "median")
 
 
 def win_rates(rows: DataFrame, winner: Column) -> DataFrame:

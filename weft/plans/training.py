@@ -168,16 +168,17 @@ def rouge_l_char(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT doc_id AS id, quality::DOUBLE AS v FROM labels WHERE quality IS NOT NULL), b AS (SELECT unnest(range(0, 1000)) AS b),
-d AS (SELECT b, v, ('0x' || substr(sha256('42:' || b::VARCHAR || ':' || id::VARCHAR), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE AS u FROM r, b),
-e AS (SELECT 0.36787944117144233::DOUBLE AS e),
-t AS (SELECT b, v, (u >= e)::INT + (u >= e * 2)::INT + (u >= e * 2.5::DOUBLE)::INT + (u >= e * 2.6666666666666665::DOUBLE)::INT + (u >= e * 2.7083333333333335::DOUBLE)::INT + (u >= e * 2.716666666666667::DOUBLE)::INT + (u >= e * 2.7180555555555554::DOUBLE)::INT AS k FROM d, e),
+WITH r AS (SELECT doc_id AS id, toxic::DOUBLE - quality AS v FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL),
+h AS (SELECT id, v, k, sha256('42:' || k || ':' || id) AS h FROM r, unnest(range(0, 125)) AS u(k)),
+d AS (SELECT k * 8 + j AS b, v, ('0x' || substr(h, 8 * j + 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM h, unnest(range(0, 8)) AS w(j)),
+c AS (SELECT list_transform([1, 2, 2.5, 2.6666666666666665, 2.7083333333333335, 2.716666666666667, 2.7180555555555554], lambda x: x::DOUBLE / 2.718281828459045::DOUBLE) AS c),
+t AS (SELECT b, v, len(list_filter(c, lambda x: u >= x)) AS k FROM d, c),
 m AS (SELECT b, round(sum(k * v) / sum(k), 9) AS m FROM t GROUP BY b), o AS (SELECT list_sort(list(m)) AS m FROM m)
 SELECT round((SELECT avg(v) FROM r), 9) AS mean, m[25] AS low, m[975] AS high FROM o
 """)
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval of the mean quality label."""
-    return evaluation.bootstrap(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("v")))
+    """Interval of the mean difference between the two labels of a document."""
+    return evaluation.paired_bootstrap(table(spark, sf_dir, "labels"), F.col("doc_id"), F.col("quality"), F.col("toxic"))
 
 
 _WINNER = "CASE WHEN quality > toxic THEN 'base' WHEN quality < toxic THEN 'other' ELSE 'tie' END"
@@ -295,7 +296,24 @@ def paired_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.paired_means(table(spark, sf_dir, "labels"), F.col("quality"), F.col("toxic"))
 
 
-@query("SELECT l_shipmode_group AS grp, mean_price, median_price, max_price FROM (SELECT l_returnflag AS l_shipmode_group, round(avg(l_extendedprice), 4) AS mean_price, median(l_extendedprice) AS median_price, max(l_extendedprice) AS max_price FROM lineitem GROUP BY 1)")
+@query("""
+SELECT l_shipmode AS grp, count(*) AS lines, round(avg(r), 6) AS mean_ratio, round(median(r), 9) AS median_ratio, max(r) AS max_ratio
+FROM (SELECT l_returnflag || l_linestatus AS l_shipmode, l_tax / nullif(l_discount, 0) AS r FROM lineitem) GROUP BY 1
+""")
 def ratio_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean, median and maximum per group."""
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("grp")).agg(F.round(F.avg("l_extendedprice"), 4).alias("mean_price"), F.median("l_extendedprice").alias("median_price"), F.max("l_extendedprice").alias("max_price"))
+    """Mean, exact median and maximum of tax over discount, per flag and status of the lines."""
+    rows = table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("grp"), (F.col("l_tax") / F.nullif(F.col("l_discount"), F.lit(0))).alias("r"))
+    means = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("lines"), F.round(F.avg("r"), 6).alias("mean_ratio"), F.max("r").alias("max_ratio"))
+    return means.join(evaluation.medians(rows, F.col("grp"), F.col("r")).withColumn("median_ratio", F.round("median", 9)).drop("median"), "grp")
+
+
+@query("""
+SELECT grp, place, l_orderkey, l_linenumber, ratio FROM (SELECT l_returnflag || l_linestatus AS grp, l_orderkey, l_linenumber, round(l_extendedprice / l_quantity, 6) AS ratio,
+  CAST(row_number() OVER (PARTITION BY l_returnflag || l_linestatus ORDER BY round(l_extendedprice / l_quantity, 6) DESC, l_orderkey, l_linenumber) AS INTEGER) AS place FROM lineitem) WHERE place <= 10
+""")
+def ratio_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten lines of each flag and status with the largest price a piece; each task keeps ten a group."""
+    ratio = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 6)
+    rows = table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("grp"), "l_orderkey", "l_linenumber", ratio.alias("ratio"))
+    place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("ratio"), "l_orderkey", "l_linenumber"))
+    return rows.withColumn("place", place).filter(F.col("place") <= 10)
