@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.text import clean_line
+from weft.sources.scratch import written
 
 # The heading forms of the source texts.
 MARKER = r"^<(目录|篇名)>\s*(.*?)\s*$"
@@ -20,19 +25,28 @@ BREAKS = r"\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}"
 RANKS = {"volume": 1, "chapter": 2, "section": 3}
 
 
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ends = "\n\r\x0b\f\x1c\x1d\x1e\x85\u2028\u2029"
+    pattern = re.compile(rf"[^{ends}]*(?:\r\n|[{ends}])|[^{ends}]+")
+    for batch in batches:
+        for i, text in enumerate(batch.column("text").to_pylist()):
+            found = [(m.start(), m[0].rstrip("\r\n")) for m in pattern.finditer(text or "")] or [(0, "")]
+            n = len(found)
+            start = pa.array([s for s, _ in found], pa.int64())
+            end = pa.array([s + len(r) for s, r in found], pa.int64())
+            ids = batch.column("doc_id").take(pa.array([i] * n, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(range(1, n + 1), pa.int32()), start, end, pa.array([r for _, r in found], pa.string())], names=["doc_id", "line_no", "start", "end", "raw"])
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 1), start, end (characters, without the break), raw.
 
     Breaks are those of Unicode text; a break at the end does not open another line, and an
-    empty or null text is one empty line.
+    empty or null text is one empty line. Each row is split on its own, so rows with one
+    doc_id do not mix and nothing is shuffled.
     """
-    pattern = rf"[^{BREAKS}]*(?:\r\n|[{BREAKS}])|[^{BREAKS}]+"
-    parts = docs.select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), 0).alias("p"))
-    parts = parts.select("doc_id", F.posexplode(F.when(F.size("p") > 0, F.col("p")).otherwise(F.array(F.lit("")))).alias("pos", "raw"))
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.char_length("raw")).over(before), F.lit(0))
-    text = F.regexp_replace("raw", r"[\r\n]+$", "")
-    return parts.select("doc_id", (F.col("pos") + 1).alias("line_no"), start.alias("start"), (start + F.char_length(text)).alias("end"), text.alias("raw"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(_split, f"doc_id {kind}, line_no int, start long, end long, raw string")
 
 
 def heading(line: Column) -> Column:
@@ -105,6 +119,56 @@ def tree(classified: DataFrame) -> DataFrame:
     return nodes.withColumn("number", F.row_number().over(Window.partitionBy("doc_id", "type").orderBy("node")))
 
 
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ancestors of headings that come in order: a stack of the open ones, of rising rank."""
+    doc, stack = None, []
+    kind = pa.list_(pa.struct([("node", pa.int64()), ("type", pa.string()), ("title", pa.string())]))
+    for batch in batches:
+        paths = []
+        for d, node, rank, type_, title in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "node", "rank", "type", "title")), strict=True):
+            if d != doc:
+                doc, stack = d, []
+            while rank is not None and stack and stack[-1][0] >= rank:
+                stack.pop()
+            paths.append([x for _, x in stack])
+            if rank is not None:
+                stack.append((rank, {"node": node, "type": type_, "title": title}))
+        if paths:
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "node", "rank", "type", "title")] + [pa.array(paths, kind)], names=["doc_id", "node", "rank", "type", "title", "path"])
+
+
+def ancestors(rows: DataFrame) -> DataFrame:
+    """Headings and texts (doc_id, node, rank, type, title) with their path, from the root down.
+
+    node orders the rows of a document. A heading closes all open ones of its rank or a
+    larger one and lies under the rest; a row without rank lies under all open ones. path is
+    an array of (node, type, title). Ranks are any numbers. One ordered pass: a task keeps
+    the open headings only, however long the document.
+    """
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    ordered = rows.select("doc_id", F.col("node").cast("long").alias("node"), F.col("rank").cast("int").alias("rank"), "type", "title").repartition("doc_id").sortWithinPartitions("doc_id", "node")
+    return ordered.mapInArrow(_fold, f"doc_id {kind}, node long, rank int, type string, title string, path array<struct<node: long, type: string, title: string>>")
+
+
+def lineage(nodes: DataFrame) -> DataFrame:
+    """Nodes (doc_id, node, parent, type, content) with their path, as ancestors(), from the parents alone.
+
+    Each round every path is extended by that of the node it has reached, so it doubles and
+    the rounds grow with the logarithm of the depth. A parent that is no node ends the path;
+    parents must not form a circle.
+    """
+    one = F.array(F.struct(F.col("node").cast("long").alias("node"), "type", F.col("content").alias("title")))
+    state = written(nodes.select("doc_id", "node", F.col("parent").alias("jump"), F.slice(one, 1, 0).alias("path"), one.alias("own")))
+    while not state.filter("jump is not null").isEmpty():
+        of = state.select(F.col("doc_id").alias("d"), F.col("node").alias("at"), F.col("jump").alias("next"), F.concat("path", "own").alias("above"))
+        done = state.filter("jump is null")
+        going = state.filter("jump is not null").join(of, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("jump") == F.col("at")), "left")
+        # What is above the node reached comes first; its own jump is the next to take.
+        going = going.select("doc_id", "node", F.col("next").alias("jump"), F.concat(F.coalesce("above", F.slice("path", 1, 0)), "path").alias("path"), "own")
+        state = written(done.unionByName(going))
+    return nodes.join(state.select(F.col("doc_id").alias("d"), F.col("node").alias("at"), "path"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("node") == F.col("at"))).drop("d", "at")
+
+
 def classify_lines(docs: DataFrame) -> DataFrame:
     """The lines of documents with kind, title and rank, by the fixed heading forms."""
     rows = lines(docs).withColumn("clean", clean_line(F.col("raw")))
