@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -220,3 +222,93 @@ def chunks(nodes: DataFrame, target: int = 600, overlap: int = 80) -> DataFrame:
     n = F.greatest(F.ceil((F.char_length("content") - overlap) / step), F.lit(1)).cast("int")
     rows = nodes.select("doc_id", "node", "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("sequence"))
     return rows.select("doc_id", "node", "sequence", (F.col("sequence") * step).alias("start"), F.substring("content", F.col("sequence") * step + 1, F.lit(target)).alias("text"))
+
+
+def _bounded(target: int, least: int, most: int, overlap: int):
+    marks = re.compile(r"[.!?\n\u3002\uff01\uff1f]+")
+
+    def cut(text: str) -> list[tuple[int, int]]:
+        ends, out, start, n = [m.end() for m in marks.finditer(text)], [], 0, len(text)
+        while True:
+            end = n
+            if n - start > target:
+                last = bisect_right(ends, start + target) - 1
+                after = bisect_right(ends, start + target)
+                if last >= 0 and ends[last] >= start + least:
+                    end = ends[last]
+                elif after < len(ends) and ends[after] <= start + most:
+                    end = ends[after]
+                else:
+                    end = min(start + most, n)
+                if n - start <= most and n - end < least:
+                    end = n
+            out.append((start, end))
+            if end == n:
+                return out
+            start = end - overlap
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column("content").to_pylist()):
+                found = cut(text or "")
+                at = pa.array([i] * len(found), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(at), batch.column("node").take(at), pa.array(range(len(found)), pa.int32()), pa.array([a for a, _ in found], pa.int64()), pa.array([(text or "")[a:b] for a, b in found], pa.string())],
+                    names=["doc_id", "node", "sequence", "start", "text"],
+                )
+
+    return run
+
+
+def bounded_chunks(nodes: DataFrame, target: int = 600, least: int = 200, most: int = 1200, overlap: int = 80) -> DataFrame:
+    """doc_id, node, sequence, start, text: chunks of (doc_id, node, content) that end with sentences.
+
+    A chunk ends at the last sentence end that leaves it `least` to `target` characters, else
+    at the first one up to `most`, else after `most`. What is left at a node's end is taken
+    along if it is shorter than `least` and fits. So no chunk is longer than `most`, and only
+    a node's last one shorter than `least`. The next chunk starts `overlap` characters before
+    the end; none crosses a node. An empty or null content is one empty chunk.
+    """
+    if not 0 <= overlap < least <= target <= most:
+        raise ValueError("overlap < least <= target <= most is asked for")
+    kinds = {f.name: f.dataType.simpleString() for f in nodes.schema}
+    return nodes.select("doc_id", "node", "content").mapInArrow(_bounded(target, least, most, overlap), f"doc_id {kinds['doc_id']}, node {kinds['node']}, sequence int, start long, text string")
+
+
+def _swept(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, kept_id, kept = None, None, None
+        for batch in batches:
+            stays, like, scores = [], [], []
+            for g, i, v in zip(batch.column("grp").to_pylist(), batch.column("id").to_pylist(), batch.column("v"), strict=True):
+                v = None if v.as_py() is None else v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                if g != group:
+                    group, kept_id, kept = g, None, None
+                score = None
+                if v is not None and kept is not None and len(v) == len(kept):
+                    size = np.linalg.norm(v) * np.linalg.norm(kept)
+                    score = round(float(v @ kept / size), 9) if size else 0.0
+                stays.append(score is None or score < least)
+                like.append(kept_id if score is not None else None)
+                scores.append(score)
+                if stays[-1] and v is not None:
+                    kept_id, kept = i, v
+            if stays:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("grp"), batch.column("id"), pa.array(stays), pa.array(like, pa.int64()), pa.array(scores, pa.float64())], names=["grp", "id", "kept", "compared_with", "score"]
+                )
+
+    return run
+
+
+def neighbour_dedup(rows: DataFrame, order: list[str], least: float = 0.9) -> DataFrame:
+    """grp, id, kept, compared_with, score: of neighbours (grp, id, v) that say the same, the first.
+
+    Rows of a group are taken in order; one goes if its vector's cosine similarity with the
+    last row kept before it is `least` or more, so that what is kept depends on what was kept.
+    Rows without a vector, or with one of another length, stay and are compared with nothing.
+    A task keeps one vector of a group, however many rows that has.
+    """
+    kind = rows.schema["grp"].dataType.simpleString()
+    ordered = rows.withColumn("id", F.col("id").cast("long")).repartition("grp").sortWithinPartitions("grp", *order).select("grp", "id", "v")
+    return ordered.mapInArrow(_swept(least), f"grp {kind}, id long, kept boolean, compared_with long, score double")

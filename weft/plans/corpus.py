@@ -157,16 +157,6 @@ def heading_review_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.review_candidates(structure.classify_lines(table(spark, sf_dir, "documents")))
 
 
-@query("""
-WITH n AS (SELECT doc_id, text, greatest(ceil((length(text) - 80) / 520.0), 1)::INTEGER AS n FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, CAST(i AS INTEGER) AS sequence, CAST(i * 520 AS INTEGER) AS start, substr(text, i * 520 + 1, 600) AS text FROM n, unnest(range(0, n)) AS r(i)
-""")
-def chunked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping chunks of all documents, each document one node."""
-    nodes = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.lit(0).alias("node"), F.col("text").alias("content"))
-    return structure.chunks(nodes).drop("node")
-
-
 @query()
 def greedy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of every document in batches of at most 2000 characters."""
