@@ -100,6 +100,12 @@ class Automaton:
             return tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
+    def present(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Text and name number of the names that occur, each once a text."""
+        of, _, name = self.occurrences(texts)
+        pairs = np.unique(of * max(1, len(self.names)) + name)
+        return np.divmod(pairs, max(1, len(self.names)))
+
     def leftmost_longest(self, texts: list[str]) -> list[tuple[int, int, int]]:
         """Text, start and name number of occurrences that do not overlap: at each place the longest."""
         of, start, name = self.occurrences(texts)

@@ -2,50 +2,173 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.functions.text import bigrams, trigrams
+from weft.functions.automaton import Automaton
+from weft.operators.records import of_dimension
 
 FUZZY = 0.3
 RRF_K = 60
+WORDS = regex.compile(r"[\p{L}\p{N}]+")
 #: Query vectors that are sent to all tasks at once.
 QUERY_BLOCK = 4096
 
 
-def lexical(chunks: DataFrame, terms: DataFrame, k: int = 30) -> DataFrame:
+#: Characters of terms that are sent to all tasks at once.
+TERM_BLOCK = 1 << 20
+#: Words whose trigrams a task remembers.
+KNOWN_WORDS = 1 << 17
+
+
+@dataclass(frozen=True)
+class Filters:
+    """Which chunks each question may be given: distinct conditions, and the one of each question.
+
+    A condition has texts that columns contain, in any case and with % and _ as wildcards, and
+    lists of values that columns are among. Questions without a condition may be given all.
+    """
+
+    conditions: tuple[dict, ...]
+    of: dict[int, int]
+
+    def allowed(self, batch: pa.RecordBatch, qids: np.ndarray) -> np.ndarray:
+        """Rows of the batch by questions."""
+        every = [np.ones(batch.num_rows, dtype=bool)]
+        for condition in self.conditions:
+            ok = every[0].copy()
+            for column, value in condition.items():
+                values = batch.column(column)
+                fits = pc.is_in(values, pa.array(value, values.type)) if isinstance(value, (list, tuple)) else pc.match_like(values, f"%{value}%", ignore_case=True)
+                ok &= pc.fill_null(fits, False).to_numpy(zero_copy_only=False)
+            every.append(ok)
+        return np.stack(every, axis=1)[:, [self.of.get(int(q), -1) + 1 for q in qids]]
+
+
+def filters(plans: DataFrame, contains: list[str], any_of: list[str] | None = None) -> Filters:
+    """The conditions of plans (qid and columns of chunks); null and empty ones are left out.
+
+    Distinct conditions are few beside the questions; both are held by the driver.
+    """
+    of, known = {}, {}
+    for r in plans.select("qid", *contains, *(any_of or [])).collect():
+        condition = {c: r[c] for c in contains if r[c]} | {c: tuple(r[c]) for c in any_of or [] if r[c]}
+        if condition:
+            of[r.qid] = known.setdefault(tuple(sorted(condition.items())), len(known))
+    return Filters(tuple(dict(k) for k in known), of)
+
+
+class _Best:
+    """The k best ids for each question, ties by id."""
+
+    def __init__(self, qids: np.ndarray, k: int):
+        self.qids, self.k = qids, k
+        self.best = [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(qids)
+
+    def add(self, j: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        i, s = np.r_[self.best[j][0], ids], np.r_[self.best[j][1], scores]
+        top = np.lexsort((i, -s))[: self.k]
+        self.best[j] = i[top], s[top]
+
+    def batch(self) -> pa.RecordBatch:
+        counts = [len(b[0]) for b in self.best]
+        columns = [np.concatenate([np.zeros(0, dtype=t), *(b[c] for b in self.best)]) for c, t in ((0, np.int64), (1, np.float64))]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.qids, counts)), *map(pa.array, columns)], names=["qid", "id", "score"])
+
+
+class _Grams:
+    """Trigrams of texts as numbers; words that come again are not cut again."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.words: dict[str, list[int]] = {}
+
+    def of(self, text: str) -> set[int]:
+        out: set[int] = set()
+        for w in set(WORDS.findall(text.lower())):
+            grams = self.words.get(w)
+            if grams is None:
+                padded = f"  {w} "
+                grams = [self.number.setdefault(padded[i : i + 3], len(self.number)) for i in range(len(padded) - 2)]
+                if len(self.words) < KNOWN_WORDS:
+                    self.words[w] = grams
+            out.update(grams)
+        return out
+
+
+def _lexical(shared, k: int, conditions: Filters | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, machine = shared.value  # (qid, term) in order; the automaton of the terms
+        qids, first = np.unique([q for q, _ in asked], return_index=True)
+        of_name = defaultdict(list)
+        for t, (q, term) in enumerate(asked):
+            of_name[term].append(int(np.searchsorted(qids, q)))
+        asking = [np.array(of_name[n]) for n in machine.names]
+        cut = _Grams()
+        of_term = [cut.of(term) for _, term in asked]
+        kept = dict(cut.number)
+        size = np.array([len(g) for g in of_term], dtype=np.float64)
+        holders = defaultdict(list)
+        for t, grams in enumerate(of_term):
+            for g in grams:
+                holders[g].append(t)
+        holders = {g: np.array(t) for g, t in holders.items()}
+        best = _Best(qids, k)
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            hit = np.zeros((len(texts), len(qids)), dtype=bool)
+            for i, name in zip(*machine.present(texts), strict=True):
+                hit[i, asking[name]] = True
+            sim = np.zeros(hit.shape)
+            for i, text in enumerate(texts):
+                grams = cut.of(text)
+                there = [holders[g] for g in grams if g in holders]
+                if there:
+                    common = np.bincount(np.concatenate(there), minlength=len(asked))
+                    sim[i] = np.maximum.reduceat(common / np.maximum(len(grams) + size - common, 1), first)
+                if len(cut.number) > 8 * KNOWN_WORDS:  # forget all but the terms' grams
+                    cut.number, cut.words = dict(kept), {}
+            ok = hit | (sim >= FUZZY)
+            if conditions:
+                ok &= conditions.allowed(batch, qids)
+            ids = batch.column("id").to_numpy()
+            scores = np.round(hit + sim, 9)
+            for j in np.flatnonzero(ok.any(0)).tolist():
+                best.add(j, ids[ok[:, j]], scores[ok[:, j], j])
+        yield best.batch()
+
+    return run
+
+
+def lexical(chunks: DataFrame, terms: DataFrame, k: int = 30, conditions: Filters | None = None) -> DataFrame:
     """qid, id, score, rank of the k best chunks (id, text) per question (qid, term).
 
     The score is 1 if any term occurs literally, plus the largest trigram similarity of a
-    term to the chunk; chunks with neither a hit nor a similarity of FUZZY are left out.
-    Terms of fewer than two characters are ignored. Trigrams are an inverted index: joined
-    by equality and counted, so no chunk is compared with a term it shares nothing with.
+    term to the chunk; chunks with neither a hit nor a similarity of FUZZY are left out, and
+    so are those that the conditions do not allow. Terms of fewer than two characters are
+    ignored. Terms go to the tasks in blocks of TERM_BLOCK characters, with an automaton for
+    literal occurrences and their trigrams; each task keeps the k best of its chunks per
+    question, so neither texts nor grams are shuffled. Null texts count as empty.
     """
-    terms = terms.filter(F.char_length(F.trim("term")) >= 2).select("qid", "term").distinct()
-    grams = chunks.select("id", trigrams(F.col("text")).alias("g")).withColumn("n", F.size("g"))
-    asked = terms.select("qid", "term", trigrams(F.col("term")).alias("g")).withColumn("m", F.size("g"))
-    shared = (
-        grams.select("id", "n", F.explode("g").alias("gram"))
-        .join(asked.select("qid", "term", "m", F.explode("g").alias("gram")), "gram")
-        .groupBy("qid", "term", "id", "n", "m")
-        .count()
-        .withColumn("sim", F.col("count") / (F.col("n") + F.col("m") - F.col("count")))
-    )
-    # Where a term of three characters or more occurs, even within a word, some of its
-    # trigrams do; terms of two characters are looked up among the bigrams.
-    pairs = chunks.select("id", F.explode(F.array_distinct(bigrams(F.col("text")))).alias("term"))
-    short = pairs.join(terms.filter(F.char_length("term") == 2), "term").select("qid", "term", "id", F.lit(0.0).alias("sim"))
-    both = shared.select("qid", "term", "id", "sim").unionByName(short)
-    candidates = both.groupBy("qid", "id").agg(F.max("sim").alias("sim"), F.collect_set("term").alias("terms"))
-    texts = candidates.join(chunks.select("id", "text"), "id")
-    hit = F.exists("terms", lambda t: F.contains(F.col("text"), t))
-    scored = texts.withColumn("hit", hit.cast("int")).filter((F.col("hit") == 1) | (F.col("sim") >= FUZZY))
-    scored = scored.select("qid", "id", F.round(F.col("hit") + F.col("sim"), 9).alias("score"))
-    return ranked(scored, k)
+    spark = chunks.sparkSession
+    terms = terms.filter((F.char_length(F.trim("term")) >= 2) & F.col("qid").isNotNull()).select("qid", "term").distinct()
+    blocks = -(-(terms.agg(F.sum(F.char_length("term"))).first()[0] or 0) // TERM_BLOCK)
+    found = spark.createDataFrame([], "qid long, id long, score double")
+    more = sorted({c for x in conditions.conditions for c in x} - {"id", "text"}) if conditions else []
+    for b in range(blocks):
+        asked = sorted((r.qid, r.term) for r in terms.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).collect())
+        if asked:
+            shared = spark.sparkContext.broadcast((asked, Automaton(sorted({t for _, t in asked}))))
+            found = found.unionByName(chunks.select(F.col("id").cast("long").alias("id"), "text", *more).mapInArrow(_lexical(shared, k, conditions), "qid long, id long, score double"))
+    return ranked(found, k)
 
 
 def ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -54,44 +177,40 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _nearest(shared, k: int):
+def _nearest(shared, k: int, conditions: Filters | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, matrix = shared.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(qids)
+        best = _Best(qids, k)
         for batch in batches:
             flat = batch.column("v")
-            size = np.diff(flat.offsets.to_numpy())
-            right = size == matrix.shape[1]
-            if not right.any():
+            if not len(flat):
                 continue
-            values = flat.filter(pa.array(right)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, matrix.shape[1])
-            ids = batch.column("id").to_numpy()[right]
+            values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, matrix.shape[1])
+            ids = batch.column("id").to_numpy()
             norm = np.linalg.norm(values, axis=1)
             scores = np.round((values / np.where(norm > 0, norm, 1)[:, None]) @ matrix.T, 9) + 0.0
+            ok = conditions.allowed(batch, qids) if conditions else None
             for j in range(len(qids)):
-                i, s = np.r_[best[j][0], ids], np.r_[best[j][1], scores[:, j]]
-                top = np.lexsort((i, -s))[:k]
-                best[j] = i[top], s[top]
-        counts = [len(b[0]) for b in best]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(qids, counts)), pa.array(np.concatenate([b[0] for b in best]) if best else np.zeros(0, dtype=np.int64)), pa.array(np.concatenate([b[1] for b in best]) if best else np.zeros(0))],
-            names=["qid", "id", "score"],
-        )
+                some = slice(None) if ok is None else ok[:, j]
+                best.add(j, ids[some], scores[some, j])
+        yield best.batch()
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 30, conditions: Filters | None = None) -> DataFrame:
     """qid, id, score, rank of the k vectors (id, v) most cosine-similar to each query (qid, v).
 
     Exact. Queries go to the tasks in blocks of QUERY_BLOCK; each task keeps the k best of
-    its rows per query, so k rows per query and task are shuffled. Vectors of another length
-    than the queries' are left out; a zero vector has the similarity 0.
+    its rows per query, so k rows per query and task are shuffled. Queries and vectors of
+    different lengths are an error; a zero vector has the similarity 0. The conditions leave
+    out rows (by further columns of vectors) before the k best are taken.
     """
     spark = vectors.sparkSession
     queries = queries.filter(F.col("v").isNotNull() & F.col("qid").isNotNull())
     blocks = -(-queries.count() // QUERY_BLOCK) or 1
     found = None
+    more = sorted({c for x in conditions.conditions for c in x} - {"id", "v"}) if conditions else []
     for b in range(blocks):
         rows = sorted((r.qid, r.v) for r in queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).select("qid", "v").collect())
         if not rows:
@@ -99,13 +218,29 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
         matrix = np.array([r[1] for r in rows], dtype=np.float64)
         norm = np.linalg.norm(matrix, axis=1, keepdims=True)
         shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows], dtype=np.int64), matrix / np.where(norm > 0, norm, 1)))
-        part = vectors.filter("v is not null").select("id", "v").mapInArrow(_nearest(shared, k), "qid long, id long, score double")
+        same = vectors.filter("v is not null").select(F.col("id").cast("long").alias("id"), of_dimension(F.col("v"), matrix.shape[1]).alias("v"), *more)
+        part = same.mapInArrow(_nearest(shared, k, conditions), "qid long, id long, score double")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "qid long, id long, score double")
     return ranked(found, k)
 
 
+def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            n = len(batch.column("v")[0])
+            a, b = (batch.column(x).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n) for x in ("v", "asked"))
+            size = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+            score = np.round((a * b).sum(1) / np.where(size > 0, size, 1), 9) + 0.0
+            yield pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("id"), pa.array(score)], names=["qid", "id", "score"])
+
+
+def cosines(pairs: DataFrame) -> DataFrame:
+    """qid, id, score of pairs of vectors (qid, id, v, asked) of one length."""
+    return pairs.select("qid", "id", "v", "asked").mapInArrow(_cosines, "qid long, id long, score double")
+
+
 def fuse(channels: list[DataFrame], limit: int = 40, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of ranked lists: qid, id, rrf, channels (list numbers), place.
 
@@ -184,3 +319,34 @@ def graded(found: DataFrame, total: DataFrame, k: int = 10) -> DataFrame:
         F.coalesce(F.col("hits") / F.col("n"), F.lit(0.0)).alias("recall"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"), F.coalesce(F.col("dcg") / ideal, F.lit(0.0)).alias("ndcg")
     )
     return rows.agg(F.count(F.lit(1)).alias("questions"), F.round(F.avg("recall"), 6).alias("recall_at_k"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("ndcg"), 6).alias("ndcg_at_k"))
+
+
+def ablation(channels: dict[str, DataFrame], configurations: dict[str, list[str]], relevant: DataFrame, total: DataFrame, rerank: DataFrame | None = None, reranked_: tuple[str, ...] = (), limit: int = 40, k: int = 10, rrf_k: int = RRF_K) -> DataFrame:
+    """configuration, questions, recall_at_k, mrr, ndcg_at_k of subsets of channels, fused.
+
+    channels are ranked lists (qid, id, rank); a configuration names those it fuses by
+    reciprocal rank, of which `limit` a question go on. Those in reranked_ are put in order of
+    rerank (qid, id, score) first. relevant is (qid, id), total (qid, n) how many there are.
+    Every channel is computed once: its rows are tagged with the configurations that use them.
+    """
+    lists = None
+    for i, (name, rows) in enumerate(channels.items()):
+        users = [c for c, names in configurations.items() if name in names]
+        one = rows.select("qid", "id", "rank", F.lit(i).alias("channel"), F.explode(F.array(*map(F.lit, users))).alias("configuration"))
+        lists = one if lists is None else lists.unionByName(one)
+    sums = lists.groupBy("configuration", "qid", "id").agg(F.round(F.sum(1.0 / (rrf_k + F.col("rank"))), 9).alias("score"), F.min(F.struct("channel", "rank")).alias("seen"))
+    by = Window.partitionBy("configuration", "qid")
+    fused = sums.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "seen", "id"))).filter(F.col("rank") <= limit).select("configuration", "qid", "id", "rank")
+    if rerank is not None and reranked_:
+        told = fused.join(rerank.select("qid", "id", F.col("score").alias("told")), ["qid", "id"], "left")
+        chosen = F.when(F.col("configuration").isin(*reranked_), F.col("told"))
+        fused = told.withColumn("rank", F.row_number().over(by.orderBy(F.desc_nulls_last(chosen), "rank"))).drop("told")
+    hits = fused.filter(F.col("rank") <= k).join(relevant.select("qid", "id"), ["qid", "id"])
+    per = hits.groupBy("configuration", "qid").agg(F.count(F.lit(1)).alias("hits"), F.min("rank").alias("first"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))
+    every = total.select("qid", "n", F.explode(F.array(*map(F.lit, configurations))).alias("configuration"))
+    rows = every.join(per, ["configuration", "qid"], "left").select(
+        "configuration", F.coalesce(F.col("hits") / F.col("n"), F.lit(0.0)).alias("recall"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"), F.coalesce(F.col("dcg") / ideal, F.lit(0.0)).alias("ndcg")
+    )
+    mean = lambda c, name: F.round(F.avg(c), 6).alias(name)
+    return rows.groupBy("configuration").agg(F.count(F.lit(1)).alias("questions"), mean("recall", "recall_at_k"), mean("rr", "mrr"), mean("ndcg", "ndcg_at_k"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators.records import of_dimension
-from weft.operators.retrieval import nearest, ranked
+from weft.operators.retrieval import cosines, nearest, ranked
 from weft.sources.scratch import written
 
 #: Vectors that train the centroids, those whose ids have the smallest hashes; all are indexed.
@@ -184,16 +184,6 @@ def _scan(centroids, k: int):
     return run
 
 
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            n = len(batch.column("v")[0])
-            a, b = (batch.column(x).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n) for x in ("v", "asked"))
-            size = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
-            score = np.round((a * b).sum(1) / np.where(size > 0, size, 1), 9) + 0.0
-            yield pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("id"), pa.array(score)], names=["qid", "id", "score"])
-
-
 def search(index: VectorIndex, vectors: DataFrame, queries: DataFrame, k: int = 30, probes: int | None = None) -> DataFrame:
     """qid, id, score, rank of about the k vectors (id, v) most similar to each query (qid, v).
 
@@ -217,4 +207,4 @@ def search(index: VectorIndex, vectors: DataFrame, queries: DataFrame, k: int =
     rows = probing.unionByName(members).repartition("list", "block", "part").sortWithinPartitions("list", "block", "part", "member")
     near = ranked(rows.mapInArrow(_scan(shared, SPARE * k), "qid long, id long, score double"), SPARE * k).select("qid", "id")
     pairs = near.join(vectors.select("id", "v"), "id").join(queries.select("qid", F.col("v").alias("asked")), "qid")
-    return ranked(pairs.select("qid", "id", "v", "asked").mapInArrow(_exact, "qid long, id long, score double"), k)
+    return ranked(cosines(pairs), k)

@@ -174,9 +174,9 @@ def translation_units_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions: benchmark items with an id divisible by 20; terms: their words of two letters or more."""
+    """Questions: benchmark items with an id divisible by 20; terms: their words of two letters or more, and they as a whole."""
     items = table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0")
-    return items.select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(words(F.col("text")))).alias("term")).filter(F.char_length("term") >= 2)
+    return items.select(F.col("item_id").alias("qid"), F.explode(F.array_append(words(F.col("text")), F.col("text"))).alias("term")).filter(F.char_length(F.trim("term")) >= 2).distinct()
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,21 +184,20 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LEXICAL = r"""
-q AS (SELECT DISTINCT item_id AS qid, unnest(regexp_split_to_array(lower(text), '[^\pL\pN]+')) AS term FROM benchmark WHERE item_id % 20 = 0),
-t AS (SELECT qid, term FROM q WHERE length(term) >= 2),
+q AS (SELECT item_id AS qid, unnest(regexp_split_to_array(lower(text), '[^\pL\pN]+')) AS term FROM benchmark WHERE item_id % 20 = 0 UNION SELECT item_id, text FROM benchmark WHERE item_id % 20 = 0),
+t AS (SELECT DISTINCT qid, term FROM q WHERE length(trim(term)) >= 2),
 dw AS (SELECT DISTINCT doc_id AS id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+')) AS w FROM documents),
 dg AS (SELECT DISTINCT id, substr('  ' || w || ' ', i, 3) AS g FROM dw, unnest(range(1, length(w) + 2)) AS r(i) WHERE w <> ''),
-tg AS (SELECT DISTINCT qid, term, substr('  ' || term || ' ', i, 3) AS g FROM t, unnest(range(1, length(term) + 2)) AS r(i)),
+tw AS (SELECT DISTINCT qid, term, unnest(regexp_split_to_array(lower(term), '[^\pL\pN]+')) AS w FROM t),
+tg AS (SELECT DISTINCT qid, term, substr('  ' || w || ' ', i, 3) AS g FROM tw, unnest(range(1, length(w) + 2)) AS r(i) WHERE w <> ''),
 dn AS (SELECT id, count(*) AS n FROM dg GROUP BY id),
 tn AS (SELECT qid, term, count(*) AS m FROM tg GROUP BY qid, term),
 sh AS (SELECT qid, term, id, count(*) AS c FROM dg JOIN tg USING (g) GROUP BY qid, term, id),
-ca AS (SELECT qid, term, id, c / (n + m - c)::DOUBLE AS sim FROM sh JOIN dn USING (id) JOIN tn USING (qid, term)
-  UNION ALL SELECT qid, term, doc_id, 0 FROM documents JOIN t ON length(term) = 2 AND contains(text, term)),
-sm AS (SELECT qid, id, max(sim) AS sim, list(DISTINCT term) AS terms FROM ca GROUP BY qid, id),
-sc AS (SELECT qid, id, sim, CASE WHEN len(list_filter(terms, lambda x: contains(text, x))) > 0 THEN 1 ELSE 0 END AS hit FROM sm JOIN documents ON id = doc_id),
+ca AS (SELECT qid, id, c / (n + m - c)::DOUBLE AS sim, 0 AS hit FROM sh JOIN dn USING (id) JOIN tn USING (qid, term)
+  UNION ALL SELECT qid, doc_id, 0, 1 FROM documents JOIN t ON contains(text, term)),
 lx AS (SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank
-  FROM (SELECT qid, id, round(hit + sim, 9) AS score FROM sc WHERE hit = 1 OR sim >= 0.3)) WHERE rank <= 30)
+  FROM (SELECT qid, id, round(max(hit) + max(sim), 9) AS score, max(hit) AS hit, max(sim) AS sim FROM ca GROUP BY qid, id) WHERE hit = 1 OR sim >= 0.3) WHERE rank <= 30)
 """
 _VECTOR = """
 v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
