@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weft.operators import preparation, samples
+from weft.operators import entities, preparation, samples
 
 ROWS = "id long, instruction string, input string, output string"
 
@@ -65,7 +65,7 @@ def test_containing_and_entities(spark):
         expected = [(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if t is not None and x is not None and x in t]
         assert sorted((r.doc_id, r.item_id) for r in got) == expected
     dictionary = spark.createDataFrame([("aa", "x"), ("aa", "y"), ("aa", "x"), ("long item", "x"), ("", "x"), (None, "x")], "name string, type string")
-    got = sorted(tuple(r) for r in preparation.entities(docs, dictionary).collect())
+    got = sorted(tuple(r) for r in entities.entities(docs, dictionary).collect())
     assert got == [(2, "aa", "x", 5, 2), (2, "aa", "y", 5, 2), (3, "long item", "x", 8, 1), (4, "long item", "x", 10, 1)]
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.functions import hashing, similarity, text
-from weft.operators import audit, evaluation, retrieval, rules, samples, store, structure
+from weft.operators import audit, evaluation, leakage, retrieval, rules, samples, store, structure
 from weft.sources import readers, writers
 from weft.streaming import ingest
 
@@ -159,10 +159,10 @@ def test_samples(spark):
     assert sorted(m.messages[1].content for m in got.collect()) == ["ok", "答"]
     assert got.select(samples.valid(F.col("messages")).alias("v")).distinct().collect()[0].v
     base = spark.createDataFrame([(i, f"question number {i} asks something", "a long enough answer") for i in range(200)], "row long, question string, answer string")
-    leaked = samples.heldout(base, base.limit(0), 10).collect()
+    leaked = leakage.heldout(base, base.limit(0), 10)[0].collect()
     assert len(leaked) == 10
     split = spark.createDataFrame([(leaked[0].question.upper() + "?!",)], "question string")
-    again = samples.heldout(base, split, 10, pool_factor=20).collect()
+    again = leakage.heldout(base, split, 10, pool_factor=20)[0].collect()
     assert len(again) == 10 and leaked[0].id not in {r.id for r in again}
     kept = samples.sampled(base, F.col("question"), 0.2).count()
     assert kept + samples.sampled(base, F.col("question"), 0.2, keep=False).count() == 200 and 15 < kept < 70

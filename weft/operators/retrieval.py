@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.automaton import Automaton
-from weft.operators.records import of_dimension
 
 FUZZY = 0.3
 RRF_K = 60
@@ -202,8 +201,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 30, conditions: Fil
     """qid, id, score, rank of the k vectors (id, v) most cosine-similar to each query (qid, v).
 
     Exact. Queries go to the tasks in blocks of QUERY_BLOCK; each task keeps the k best of
-    its rows per query, so k rows per query and task are shuffled. Queries and vectors of
-    different lengths are an error; a zero vector has the similarity 0. The conditions leave
+    its rows per query, so k rows per query and task are shuffled. Vectors of another length
+    than the queries' are no candidates; a zero vector has the similarity 0. The conditions leave
     out rows (by further columns of vectors) before the k best are taken.
     """
     spark = vectors.sparkSession
@@ -218,7 +217,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 30, conditions: Fil
         matrix = np.array([r[1] for r in rows], dtype=np.float64)
         norm = np.linalg.norm(matrix, axis=1, keepdims=True)
         shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows], dtype=np.int64), matrix / np.where(norm > 0, norm, 1)))
-        same = vectors.filter("v is not null").select(F.col("id").cast("long").alias("id"), of_dimension(F.col("v"), matrix.shape[1]).alias("v"), *more)
+        same = vectors.filter(F.size("v") == matrix.shape[1]).select(F.col("id").cast("long").alias("id"), "v", *more)
         part = same.mapInArrow(_nearest(shared, k, conditions), "qid long, id long, score double")
         found = part if found is None else found.unionByName(part)
     if found is None:
