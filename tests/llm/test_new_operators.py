@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.data import documents, empty, texts
-from weft.llm import lm_scoring, near_dedup, periodic_runs, prefix_trie, registry, simhash_dedup, toxicity
+from weft.llm import line_dedup, lm_scoring, near_dedup, periodic_runs, prefix_trie, registry, simhash_dedup, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -233,3 +233,30 @@ def test_toxicity_without_labels_is_even(spark):
     docs = spark.createDataFrame([(1, "one. two"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, none)).collect()} == {0.5}
+
+
+def lines_with_one_hash():
+    """Two lines of 64 characters with one 64-bit hash: the second stripe makes up for the first."""
+    m, p1, p2 = 2**64, 11400714785074694791, 14029467366897019727
+    rnd = random.Random(8)
+    word = lambda: bytes(rnd.randrange(97, 123) for _ in range(8))
+
+    def after(block):
+        x = (42 + p1 + p2 + int.from_bytes(block, "little") * p2) % m
+        return (x << 31 | x >> 33) * p1 % m
+
+    while True:
+        a1, b1, a2 = word(), word(), word()
+        b2 = ((int.from_bytes(a2, "little") + (after(a1) - after(b1)) * pow(p2, -1, m)) % m).to_bytes(8, "little")
+        if all(32 <= c < 127 for c in b2):
+            rest = b"x" * 24
+            return (a1 + rest + a2 + rest).decode(), (b1 + rest + b2 + rest).decode()
+
+
+def test_lines_made_to_share_a_hash(spark):
+    one, two = lines_with_one_hash()
+    assert one != two and xxhash.xxh64_intdigest(one.encode(), 42) == xxhash.xxh64_intdigest(two.encode(), 42)
+    docs = spark.createDataFrame([(1, one + "\n" + one), (2, two), (3, two[:-1] + "y")], "doc_id long, text string")
+    got = {(r.doc_id, r.line_no): (r.class_doc_id, r.copies, r.links, r.kept) for r in line_dedup.line_dedup(docs).collect()}
+    first = min(n for d, n in got if d == 1)
+    assert got[(1, first)] == (1, 2, 0, True) and got[(2, first)] == (2, 1, 1, True) and got[(3, first)] == (2, 1, 1, False)

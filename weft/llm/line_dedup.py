@@ -187,14 +187,26 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text
     lines; null ids come first. Lines of
     repeated rows are kept together.
 
-    Lines are told apart by the first 128 bits of their SHA-256. Of a line held by very many documents only one
+    Lines are told apart by 64-bit hashes, and where two share one, by their SHA-256. Of a line held by very many documents only one
     occurrence enters the join.
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    every = lines_of(docs, id_col, text_col).withColumn("node", F.unhex(F.substring(F.sha2("line", 256), 1, 32)))
+    every = lines_of(docs, id_col, text_col).withColumn("node", F.xxhash64("line"))
     place = F.struct(F.col("doc_id"), F.col("line_no"))
-    nodes = saved(every.groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")), "lines")
+    check = F.xxhash64(F.sha2("line", 256))
+
+    def counted() -> DataFrame:
+        sums = [F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.min(check).alias("low"), F.max(check).alias("high")]
+        return saved(every.groupBy("node").agg(*sums), "lines")
+
+    nodes = counted()
+    twins = nodes.filter("low <> high").select(F.col("node").alias("twin"))
+    if not twins.isEmpty():  # unlike lines with one hash: these go by their SHA-256
+        every = every.join(twins, F.col("node") == F.col("twin"), "left")
+        every = every.withColumn("node", F.when(F.col("twin").isNull(), F.col("node")).otherwise(F.xxhash64(F.lit(1), F.sha2("line", 256)))).drop("twin")
+        nodes = counted()
+    nodes = nodes.drop("low", "high")
     total = nodes.agg(F.sum("copies")).first()[0] or 0
     often = nodes.filter(F.col("copies") > max(64, total // (16 * n))).select(F.col("node").alias("often"), F.col("first").alias("at"))
     once = every.join(F.broadcast(often), F.col("node") == F.col("often"), "left")  # fewer than 16n rows
