@@ -98,6 +98,23 @@ def medians(rows: DataFrame, group: Column, value: Column) -> DataFrame:
     return every.join(middle, F.col("grp").eqNullSafe(F.col("of")), "left").select("grp", "median")
 
 
+def paired_report(pairs: DataFrame, metrics: list[str], seed: str = "42", resamples: int = 1000) -> DataFrame:
+    """metric, n, means, difference with its interval, medians of pairs (id, metric, base, other).
+
+    Pairs that lack a side do not count; a metric without pairs has no row. pairs is read a
+    few times a metric, so it should be a table.
+    """
+    both = pairs.filter("base is not null and other is not null")
+    means = both.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("base"), 4).alias("base_mean"), F.round(F.avg("other"), 4).alias("other_mean"), F.round(F.avg(F.col("other") - F.col("base")), 4).alias("difference"))
+    bounds = None
+    for m in metrics:
+        one = paired_bootstrap(both.filter(F.col("metric") == m), F.col("id"), F.col("base"), F.col("other"), seed, resamples)
+        one = one.select(F.lit(m).alias("metric"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+        bounds = one if bounds is None else bounds.unionByName(one)
+    middle = lambda side: medians(both, F.col("metric"), F.col(side)).select(F.col("grp").alias("metric"), F.round("median", 4).alias(f"{side}_median"))
+    return means.join(F.broadcast(bounds), "metric").join(middle("base"), "metric").join(middle("other"), "metric")  # a row per metric
+
+
 def win_rates(rows: DataFrame, winner: Column) -> DataFrame:
     """Wins of each side, ties, and the other side's rate with half a win per tie."""
     w = rows.select(winner.alias("w")).filter(F.col("w").isin("base", "other", "tie"))

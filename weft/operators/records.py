@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.sources.scratch import written
+
 #: Numbers of an id are taken modulo this, and leave so many places for kinds.
 SEQUENCE_MODULUS, KIND_PLACES = 20_000_000, 100
 SHORTEST_TIME = 1e-9
@@ -121,3 +123,19 @@ def sibling_sequence(node_id: Column, rank: Column | int) -> Column:
     number = F.when(digits != "", digits.try_cast("decimal(38,0)"))
     number = F.coalesce(number, F.conv(F.substring(F.sha2(node_id, 256), 1, 12), 16, 10).cast("decimal(38,0)"))
     return (F.pmod(number, F.lit(SEQUENCE_MODULUS)).cast("long") * KIND_PLACES + rank).cast("long")
+
+
+def numbered(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """Rows with `number`, their place (from 1) in the group by order, which is unique there.
+
+    Rows are dealt in ranges of group and order; each range numbers its own, and the counts
+    of the ranges before it are added, so that a group of most rows is spread.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(rows.repartitionByRange(n, group, order).withColumn("__range", F.spark_partition_id()))
+    counts = dealt.groupBy(F.col(group).alias("__g"), F.col("__range").alias("__r")).agg(F.count(F.lit(1)).alias("c"))
+    before = Window.partitionBy("__g").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    before = counts.select("__g", "__r", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy(group, "__range").orderBy(order))
+    out = dealt.withColumn("__own", own).join(before, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__range") == F.col("__r")))
+    return out.withColumn("number", F.col("__own") + F.col("__before")).drop("__own", "__before", "__range", "__g", "__r")

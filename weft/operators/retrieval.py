@@ -273,14 +273,37 @@ def reranked(fused: DataFrame, scores: DataFrame | None, limit: int = 8) -> Data
     return known.unionByName(first.join(known.select("qid").distinct(), "qid", "left_anti"))
 
 
-def neighbours(hits: DataFrame, chunks: DataFrame, radius: int = 1) -> DataFrame:
-    """Chunks of a hit's node whose sequence is at most `radius` away: hit, node, sequence.
+def neighbours(hits: DataFrame, chunks: DataFrame, radius: int = 1, kind: str | None = None) -> DataFrame:
+    """Chunks of a hit's node, and of its kind of text, whose sequence is at most `radius` away.
 
-    hits and chunks have node and sequence; equality on the node keeps it a hash or merge join.
+    hits and chunks have node and sequence, and with kind a column of that name; the result
+    has the hits' columns and neighbour. Equality on the node keeps it a hash or merge join.
     """
-    near = chunks.select(F.col("node").alias("n"), F.col("sequence").alias("s"))
+    near = chunks.select(F.col("node").alias("n"), F.col("sequence").alias("s"), *([F.col(kind).alias("k")] if kind else []))
     on = (F.col("node") == F.col("n")) & F.col("s").between(F.greatest(F.col("sequence") - radius, F.lit(0)), F.col("sequence") + radius)
-    return hits.join(near, on).drop("n").withColumnRenamed("s", "neighbour")
+    if kind:
+        on = on & (F.col(kind) == F.col("k"))
+    return hits.join(near, on).drop("n", "k").withColumnRenamed("s", "neighbour")
+
+
+def rendered(title: Column, section: Column, text: Column) -> Column:
+    """A source as the answer sees it, after its label: title, section if there is one, text."""
+    return F.concat(F.lit("\u300a"), F.coalesce(title, F.lit("")), F.lit("\u300b"), F.when(section != "", F.concat(F.lit(" \u00b7 "), section)).otherwise(""), F.lit("\n"), F.coalesce(text, F.lit("")), F.lit("\n"))
+
+
+def context(hits: DataFrame, chunks: DataFrame, room: int = 12_000, radius: int = 1) -> DataFrame:
+    """qid, ids, size of the chunks that fit into `room` characters, each hit before its neighbours.
+
+    hits: qid, id, place; chunks: id, node, sequence, kind, title, section, text. Neighbours
+    are of the hit's node and kind. What does not fit is skipped, what comes again counts once.
+    """
+    of = hits.select("qid", "id", "place").join(chunks.select("id", "node", "sequence", "kind"), "id")
+    around = neighbours(of, chunks, radius, "kind").filter("neighbour <> sequence").select("qid", "place", "node", "kind", F.col("neighbour").alias("sequence"))
+    around = around.join(chunks.select(F.col("id").alias("item"), "node", "kind", "sequence"), ["node", "kind", "sequence"]).select("qid", "place", F.lit(1).alias("after"), "sequence", "item")
+    every = of.select("qid", "place", F.lit(0).alias("after"), "sequence", F.col("id").alias("item")).unionByName(around)
+    sized = every.join(chunks.select(F.col("id").alias("item"), F.char_length(rendered(F.col("title"), F.col("section"), F.col("text"))).cast("long").alias("size")), "item")
+    rows = sized.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "after", "sequence", "item", "size"))), lambda x: F.struct(x["item"].alias("id"), x["size"].alias("size"))).alias("x"))
+    return rows.select("qid", packed(F.col("x"), room).alias("p")).select("qid", F.col("p.ids").alias("ids"), F.col("p.size").alias("size"))
 
 
 def packed(ordered: Column, room: int) -> Column:

@@ -14,6 +14,10 @@ RED_FLAGS = [
     (r"自杀|不想活|伤害自己", "自伤风险"),
 ]
 FORMULA_REQUEST = r"开方|处方|方剂|配药|剂量|几克|怎么煎|怎么服"
+# Its message for questions that leave the normal flow, by level.
+NO_FLAG = "可能需要紧急评估的症状"
+ACTIONS = {"emergency": "请立即联系当地急救服务或尽快前往急诊", "urgent": "请尽快（最好当天）联系医疗机构进行评估；如症状加重，请直接前往急诊"}
+URGENT_MESSAGE = ("你描述的情况包含需要优先处理的信号（", "）。", "，不要等待中医辨证或自行用药。如果身边有人，请让对方陪同并准备好当前用药和过敏信息。")
 PROTECTED = ("schema_version", "user_id", "updated_at")
 
 
@@ -42,17 +46,35 @@ def formula_gate(question: Column, candidates: Column, needed: Column) -> Column
     )
 
 
-def merged(base: DataFrame, patch: DataFrame, key: str, fields: list[str]) -> DataFrame:
+def urgent_message(level: Column, flags: Column) -> Column:
+    """What a question is answered that leaves the normal flow; null for other levels."""
+    reasons = F.array_join(flags, "、")
+    told = F.when(F.coalesce(reasons, F.lit("")) != "", reasons).otherwise(NO_FLAG)
+    action = F.when(level == "emergency", ACTIONS["emergency"]).when(level == "urgent", ACTIONS["urgent"])
+    return F.concat(F.lit(URGENT_MESSAGE[0]), told, F.lit(URGENT_MESSAGE[1]), action, F.lit(URGENT_MESSAGE[2]))
+
+
+def merged(base: DataFrame, patch: DataFrame, key: str, fields: list[str], nested: list[str] | None = None) -> DataFrame:
     """Base rows with the patch's non-null values, and the names of the fields that changed.
 
-    Protected fields are never patched; a null changes nothing.
+    Protected fields are never patched; a null changes nothing. Nested fields are maps, of
+    which the patch's keys replace the base's one by one; a null value changes nothing there.
     """
-    open_ = [f for f in fields if f not in PROTECTED and f != key]
-    p = patch.select(F.col(key), *[F.col(f).alias(f"__{f}") for f in open_ if f in patch.columns])
-    there = [f for f in open_ if f in patch.columns]
-    differs = {f: F.col(f"__{f}").isNotNull() & ~F.col(f).eqNullSafe(F.col(f"__{f}")) for f in there}
-    out = base.join(p, key, "left").withColumn("changed", F.array_compact(F.array(*[F.when(d, F.lit(f)) for f, d in differs.items()])) if there else F.array().cast("array<string>"))
-    return out.withColumns({f: F.coalesce(F.col(f"__{f}"), F.col(f)) for f in there}).drop(*[f"__{f}" for f in there])
+    open_ = [f for f in [*fields, *(nested or [])] if f not in PROTECTED and f != key and f in patch.columns]
+    p = patch.select(F.col(key), *[F.col(f).alias(f"__{f}") for f in open_])
+    rows = base.join(p, key, "left")
+    new = {}
+    for f in open_:
+        if f in (nested or []):
+            told = F.map_filter(F.col(f"__{f}"), lambda k, v: v.isNotNull())
+            rest = F.map_filter(F.col(f), lambda k, v, told=told: ~F.map_contains_key(told, k))
+            new[f] = F.when(F.col(f"__{f}").isNull() | (F.size(told) == 0), F.col(f)).when(F.col(f).isNull(), told).otherwise(F.map_concat(rest, told))
+        else:
+            new[f] = F.coalesce(F.col(f"__{f}"), F.col(f))
+    plain = lambda f, c: F.array_sort(F.map_entries(c)) if f in (nested or []) else c
+    differs = [F.when(~plain(f, c).eqNullSafe(plain(f, F.col(f))), F.lit(f)) for f, c in new.items()]
+    out = rows.withColumns({"changed": F.array_compact(F.array(*differs)) if differs else F.array().cast("array<string>"), **{f"__new_{f}": c for f, c in new.items()}})
+    return out.withColumns({f: F.col(f"__new_{f}") for f in new}).drop(*[f"__{f}" for f in new], *[f"__new_{f}" for f in new])
 
 
 def cited(answer: Column, label: str = "S") -> Column:

@@ -249,22 +249,13 @@ def rag_hybrid_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused.select("qid", "id", "rrf", F.size("channels").alias("n_channels"), "place")
 
 
-@query()
-def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fused documents that fit into 12000 characters, per question."""
-    fused = rag_hybrid_fused(spark, sf_dir)
-    sized = fused.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("size")), "id")
-    rows = sized.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id", "size"))), lambda x: F.struct(x["id"].alias("id"), x["size"].alias("size"))).alias("x"))
-    return rows.select("qid", retrieval.packed(F.col("x"), 12_000).alias("p")).select("qid", F.col("p.ids").alias("ids"), F.col("p.size").alias("size"))
-
-
 @query("""
-SELECT a.conv_id, a.turn, b.turn AS neighbour FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN greatest(a.turn - 1, 0) AND a.turn + 1 WHERE a.role = 'user'
+SELECT a.conv_id, a.turn, b.turn AS neighbour FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.role = a.role AND b.turn BETWEEN greatest(a.turn - 2, 0) AND a.turn + 2 WHERE a.role = 'user'
 """)
 def neighbour_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The turns around every user turn, conversations as nodes."""
+    """The turns of the same role around every user turn, conversations as nodes."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("node"), F.col("turn").alias("sequence"), "role")
-    out = retrieval.neighbours(turns.filter("role = 'user'"), turns)
+    out = retrieval.neighbours(turns.filter("role = 'user'"), turns, 2, "role")
     return out.select(F.col("node").alias("conv_id"), F.col("sequence").alias("turn"), "neighbour")
 
 

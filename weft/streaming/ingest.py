@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.sources.writers import append_absent
+from weft.sources.writers import append_batch
 
 
 def import_files(spark: SparkSession, folder: str, schema: str, table: str, key: list[str], checkpoint: str):
     """Import the folder's new JSON-lines files once; records already stored are skipped.
 
-    The checkpoint remembers the files, the anti-join the keys, so a batch that runs twice
-    after a failure adds nothing.
+    The checkpoint numbers the batches and remembers their files; a batch that runs again
+    after a failure replaces what it wrote, so every key is stored once.
     """
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
     stream = spark.readStream.schema(schema).json(folder)
-    query = stream.writeStream.foreachBatch(lambda batch, _: append_absent(batch, table, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(lambda batch, number: append_batch(batch, f"{name}-{number}", table, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
