@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.functions.similarity import near_ratio_udf
 from weft.functions.text import canonical, trigrams, words
 from weft.operators import audit, preparation, retrieval, rules, store, structure
 from weft.session import table
@@ -283,19 +282,6 @@ def source_cards_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(rules.cited(F.col("text"))).cast("long").alias("n_cited"))
 
 
-@query()
-def near_copy_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items of which documents are near copies (LCS ratio 0.93 or more)."""
-    from weft.operators.samples import near_copies
-
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    items = table(spark, sf_dir, "benchmark").select((-F.col("item_id") - 1).alias("id"), "text")
-    pairs = near_copies(docs, items.unionByName(docs)).filter("id < other_id or other_id < 0")  # of two documents one order is compared
-    near = pairs.withColumn("ratio", F.round(near_ratio_udf(0.93 - 5e-7)("a", "b"), 6)).filter("ratio >= 0.93")
-    both = F.when(F.col("other_id") < 0, F.array(F.struct("id", "other_id"))).otherwise(F.array(F.struct("id", "other_id"), F.struct(F.col("other_id").alias("id"), F.col("id").alias("other_id"))))
-    return near.select(F.explode(both).alias("p"), "ratio").select("p.id", "p.other_id", "ratio")
-
-
 @query(r"""
 WITH w AS (SELECT p_partkey AS id, unnest(regexp_split_to_array(lower(p_name), '[^\pL\pN]+')) AS w FROM part),
 g AS (SELECT DISTINCT id, substr('  ' || w || ' ', i, 3) AS g FROM w, unnest(range(1, length(w) + 2)) AS r(i) WHERE w <> ''),

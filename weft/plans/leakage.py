@@ -75,3 +75,15 @@ SELECT (SELECT count(*) FROM v) AS raw, (SELECT count(*) FROM v WHERE valid) AS
 def heldout_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each stage of the held-out builder leaves."""
     return _heldout(spark, sf_dir)[1]
+
+
+@query()
+def near_copy_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items of which documents are near copies, and documents of each other (LCS ratio 0.93 or more)."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    items = table(spark, sf_dir, "benchmark").select((-F.col("item_id") - 1).alias("id"), "text")
+    near, members = leakage.near_pairs(items.unionByName(docs))
+    same = members.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(1.0).alias("ratio")).distinct()
+    every = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "ratio")).unionByName(same)
+    one, two = (members.select(F.col("node").alias(n), F.col("id").alias(i)) for n, i in (("a", "id"), ("b", "other_id")))
+    return every.join(one, "a").join(two, "b").filter("id >= 0 and id <> other_id").select("id", "other_id", F.round("ratio", 6).alias("ratio"))
