@@ -15,6 +15,8 @@ from weft.session import table
 
 LEAST_QUALITY = 0.3
 SHARDS = 40
+#: Rows of whole texts that go to Python at once; the session's default of 10000 takes tens of MB a task.
+BATCH_ROWS = 2000
 #: Not SQL: trained models and searches for the best cut; tested against plain versions.
 ORACLE_SQL = None
 
@@ -24,8 +26,13 @@ def _row(docs: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
 
 
+def _in_small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of LEAST_QUALITY or more."""
+    _in_small_batches(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).filter(F.col("score") >= LEAST_QUALITY).select("row.*")
 
@@ -36,6 +43,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     That with the smallest id stays, null before others; of rows repeated with id and text,
     one. Rows are known by id and digest of both, so that repeated and null ids are no trouble.
     """
+    _in_small_batches(spark)
     digest = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")), F.isnull("text").cast("string")), 256)
     rows = docs.select(_row(docs).alias("row"), digest.alias("digest"))
     one = rows.select(F.struct("row.doc_id", "digest").alias("id"), F.col("row.text").alias("text"))
@@ -45,6 +53,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any ten-word window of the benchmark."""
+    _in_small_batches(spark)
     found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return found.filter("n_hit = 0").select("row.*")
 
