@@ -103,6 +103,13 @@ def overlap_with_benchmark_contains(spark: SparkSession, sf_dir: str) -> DataFra
     return found.unionByName(preparation.containing(docs, items.filter(F.size("w") <= 3)))
 
 
+#: The lines of all documents, as their breaks divide them.
+_LINES = r"""
+p AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]*(?:\r\n|[\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}])|[^\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]+') AS p FROM documents),
+l AS (SELECT doc_id, CAST(i AS INTEGER) AS line_no, regexp_replace(CASE WHEN len(p) > 0 THEN p[i] ELSE '' END, '[\r\n]+$', '') AS raw FROM p, unnest(range(1, greatest(len(p), 1) + 1)) AS r(i))
+"""
+
+
 @query(r"""
 WITH p AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]*(?:\r\n|[\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}])|[^\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]+') AS p FROM documents),
 q AS (SELECT doc_id, CASE WHEN len(p) > 0 THEN p ELSE [''] END AS p FROM p),
@@ -150,16 +157,27 @@ def doc_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.markdown(structure.tree(_latin(docs)), docs.select("doc_id", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title")))
 
 
-@query()
+@query(rf"""
+WITH {_LINES},
+c AS (SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(nfc_normalize(raw), '\r\n', ' '), '\n', ' '), '\t', ' '), '\x', ''), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS text FROM l),
+n AS (SELECT *, coalesce(lag(text) OVER w, '') = '' OR coalesce(lead(text) OVER w, '') = '' AS beside FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
+SELECT doc_id, line_no, text FROM n WHERE beside AND length(text) BETWEEN 2 AND 50 AND NOT regexp_matches(text, '[。！？；：，、]$')
+""")
 def heading_review_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all documents that may be headings by the source system's own forms."""
     return structure.review_candidates(structure.classify_lines(table(spark, sf_dir, "documents")))
 
 
-@query()
+@query(rf"""
+WITH RECURSIVE {_LINES},
+b AS (SELECT doc_id, line_no, 1 AS batch, length(raw) AS size FROM l WHERE line_no = 1
+  UNION ALL SELECT l.doc_id, l.line_no, CASE WHEN b.size > 0 AND b.size + length(raw) > 2000 THEN b.batch + 1 ELSE b.batch END,
+    CASE WHEN b.size > 0 AND b.size + length(raw) > 2000 THEN length(raw) ELSE b.size + length(raw) END FROM b JOIN l ON l.doc_id = b.doc_id AND l.line_no = b.line_no + 1)
+SELECT doc_id, line_no, CAST(batch AS INTEGER) AS batch FROM b
+""")
 def greedy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of every document in batches of at most 2000 characters."""
-    rows = structure.lines(table(spark, sf_dir, "documents")).filter("raw <> ''")
+    """The lines of every document, empty ones too, in batches of at most 2000 characters."""
+    rows = structure.lines(table(spark, sf_dir, "documents"))
     per = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", F.char_length("raw").cast("long").alias("size")))).alias("x"))
     out = per.withColumn("b", structure.batches(F.transform("x", lambda v: v["size"]), 2000))
     return out.select("doc_id", F.explode(F.arrays_zip(F.col("x.line_no").alias("line_no"), F.col("b").alias("batch"))).alias("z")).select("doc_id", "z.line_no", "z.batch")
