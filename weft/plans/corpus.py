@@ -144,13 +144,39 @@ def heading_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _latin(table(spark, sf_dir, "documents")).select("doc_id", "line_no", "kind", "rank")
 
 
-@query()
+#: Trees by their definition: a parent is the latest heading of a smaller rank, a subtree ends before the next heading of its rank or a smaller one.
+_TREE = r"""
+p AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]*(?:\r\n|[\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}])|[^\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]+') AS p FROM documents),
+l0 AS (SELECT doc_id, CAST(i AS INTEGER) AS line_no, CASE WHEN len(p) > 0 THEN p[i] ELSE '' END AS whole, regexp_replace(CASE WHEN len(p) > 0 THEN p[i] ELSE '' END, '[\r\n]+$', '') AS raw FROM p, unnest(range(1, greatest(len(p), 1) + 1)) AS r(i)),
+l1 AS (SELECT *, coalesce(sum(length(whole)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, trim(raw) AS t FROM l0),
+li AS (SELECT doc_id, line_no, start, (start + length(raw))::BIGINT AS stop, t, CASE WHEN t = '' THEN NULL WHEN NOT contains(t, ' ') THEN 1 WHEN length(t) <= 40 THEN 2 WHEN length(t) <= 60 THEN 3 END AS rank FROM l1),
+v0 AS (SELECT *, last_value(CASE WHEN rank = 1 THEN t END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS vol FROM li),
+v1 AS (SELECT *, coalesce(rank = 1 AND t = vol, false) AS again FROM v0),
+v2 AS (SELECT *, last_value(CASE WHEN rank = 1 AND NOT again THEN line_no END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS vline,
+  sum(CASE WHEN t <> '' AND rank IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM v1),
+hd AS (SELECT *, CASE WHEN again THEN vline ELSE line_no END AS node FROM v2 WHERE rank IS NOT NULL),
+hp AS (SELECT h.doc_id, h.line_no, arg_max(o.node, o.line_no) AS parent FROM hd h JOIN hd o ON o.doc_id = h.doc_id AND o.line_no < h.line_no AND o.rank < h.rank GROUP BY ALL),
+mg AS (SELECT hd.doc_id, node, arg_min(t, hd.line_no) AS content, min(rank) AS rank, (list(parent ORDER BY hd.line_no))[1] AS parent, min(start) AS start, max(stop) AS stop FROM hd LEFT JOIN hp ON hp.doc_id = hd.doc_id AND hp.line_no = hd.line_no GROUP BY hd.doc_id, node),
+pr AS (SELECT doc_id, min(line_no) AS node, string_agg(t, '' ORDER BY line_no) AS content, min(start) AS start, max(stop) AS stop FROM v2 WHERE rank IS NULL AND t <> '' GROUP BY doc_id, run),
+pp AS (SELECT p.doc_id, p.node, arg_max(o.node, o.line_no) AS parent FROM pr p JOIN hd o ON o.doc_id = p.doc_id AND o.line_no < p.node GROUP BY ALL),
+mk AS (SELECT doc_id, node, rank, stop FROM mg UNION ALL SELECT doc_id, node, NULL, stop FROM pr),
+en AS (SELECT g.doc_id, g.node, (SELECT min(x.node) FROM mk x WHERE x.doc_id = g.doc_id AND x.node > g.node AND x.rank <= g.rank) AS halt FROM mg g),
+ee AS (SELECT en.doc_id, en.node, max(mk.stop) AS stop FROM en JOIN mk ON mk.doc_id = en.doc_id AND mk.node >= en.node AND (en.halt IS NULL OR mk.node < en.halt) GROUP BY ALL),
+nd AS (SELECT mg.doc_id, mg.node, CASE rank WHEN 1 THEN 'volume' WHEN 2 THEN 'chapter' ELSE 'section' END AS type, content, parent, start, greatest(mg.stop, ee.stop) AS stop FROM mg JOIN ee ON ee.doc_id = mg.doc_id AND ee.node = mg.node
+  UNION ALL SELECT pr.doc_id, pr.node, 'paragraph', content, parent, start, stop FROM pr LEFT JOIN pp ON pp.doc_id = pr.doc_id AND pp.node = pr.node)
+"""
+
+
+@query(f'WITH {_TREE} SELECT doc_id, node, type, content, parent, start, stop AS "end", CAST(row_number() OVER (PARTITION BY doc_id, type ORDER BY node) AS INTEGER) AS number FROM nd')
 def doc_tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tree of every document: headings, paragraphs, parents, spans, numbers."""
     return structure.tree(_latin(table(spark, sf_dir, "documents")))
 
 
-@query()
+@query(f"""
+WITH {_TREE}, b AS (SELECT doc_id, string_agg(CASE type WHEN 'volume' THEN '## ' WHEN 'chapter' THEN '### ' WHEN 'section' THEN '#### ' ELSE '' END || content, chr(10) || chr(10) ORDER BY node) AS body FROM nd GROUP BY doc_id)
+SELECT doc_id, '# Document ' || doc_id || coalesce(chr(10) || chr(10) || body, '') || chr(10) AS markdown FROM documents LEFT JOIN b USING (doc_id)
+""")
 def doc_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tree as Markdown."""
     docs = table(spark, sf_dir, "documents")
