@@ -213,3 +213,21 @@ def test_conditions_of_questions(spark):
     allowed = retrieval.filters(plans, ["title"], ["kind"])
     got = sorted((r.qid, r.id) for r in retrieval.lexical(chunks, terms, conditions=allowed).collect())
     assert got == [(0, 1), (0, 2), (0, 3), (1, 1), (2, 1), (2, 3), (3, 2)]
+
+
+@pytest.mark.parametrize("cell", [2, 128])
+def test_near_pairs_miss_nothing(spark, cell, monkeypatch):
+    monkeypatch.setattr(leakage, "CELL", cell)
+    texts = variants(9)[:40] + variants(9)[:3]
+    got, members = leakage.near_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
+    node = {r.id: bytes(r.node) for r in members.collect()}
+    found = {(bytes(r.a), bytes(r.b)): r.ratio for r in got.collect()}
+    want = {}
+    for i, a in enumerate(texts):
+        for j in range(i):
+            b = texts[j]
+            if a != b and min(len(a), len(b)) >= 45 and abs(len(a) - len(b)) <= 0.1 * max(len(a), len(b)) and (a[:18] == b[:18] or a[-18:] == b[-18:]):
+                if plain_ratio(a, b) >= 0.93:
+                    want[tuple(sorted((node[i], node[j])))] = plain_ratio(a, b)
+    assert want and found == pytest.approx(want)
+    assert {i for i in node} == {i for i, t in enumerate(texts) if len(t) >= 45}
