@@ -113,3 +113,28 @@ def clean_line(c: Column, nfc: bool = True) -> Column:
     out = F.replace(out, F.lit(BOUNDARY_MARKER), F.lit(""))
     out = strip(F.regexp_replace(out, r"[ \t]+", " "))
     return F.regexp_replace(out, r"(?<=[㐀-鿿])\s+(?=[㐀-鿿])", "")
+
+
+def utc_iso(c: Column) -> Column:
+    """A time stamp as ISO 8601 in UTC with microseconds; the session's time zone must be UTC."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def significant(c: Column) -> Column:
+    """A number with nine significant digits, as C writes it: no trailing zeros, exponents only for small and large ones."""
+    wide = F.format_string("%.8e", c.cast("double"))
+    power = F.regexp_extract(wide, "e([+-][0-9]+)$", 1).cast("int")
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    plain = bare(wide.cast("decimal(38,18)").cast("string"))
+    short = F.concat(bare(F.regexp_extract(wide, "^([^e]+)e", 1)), F.regexp_extract(wide, "(e.*)$", 1))
+    return F.when(c == 0, "0").when(power.between(-4, 8), plain).otherwise(short)
+
+
+def vector_literal(v: Column) -> Column:
+    """A vector as text: numbers of nine significant digits in square brackets."""
+    return F.concat(F.lit("["), F.array_join(F.transform(v, significant), ","), F.lit("]"))
+
+
+def version_key(c: Column) -> Column:
+    """What names with numbers are ordered by: runs of digits count as numbers."""
+    return F.transform(F.regexp_extract_all(c, F.lit("[0-9]+|[^0-9]+"), 0), lambda x: F.when(F.regexp_like(x, F.lit("^[0-9]")), F.lpad(x, 20, "0")).otherwise(x))

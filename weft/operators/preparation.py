@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -126,3 +126,22 @@ def containing(docs: DataFrame, items: DataFrame, head: int = 8) -> DataFrame:
     both = pairs.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", "item"), "item_id")
     return both.filter(F.contains("text", F.col("item"))).select("doc_id", "item_id")
 
+
+
+def retried(requests: DataFrame, respond: Callable[[DataFrame, int], DataFrame], batch: str, unit: str, order: str, tries: int = 3) -> DataFrame:
+    """Units of requests with the try that their batch was accepted in, and a status.
+
+    respond(open, n) gives the units that the n-th try returns for the batches still open; a
+    batch counts only if these are its very units, in order, and is then asked no more. What
+    no try settles is "failed", its try null. Open batches are written anew each time.
+    """
+    open_, done = written(requests), None
+    for n in range(1, tries + 1):
+        judged = written(contract(open_, respond(open_, n), batch, unit, order).select(F.col(batch).alias("__b"), "accepted"))
+        both = open_.join(judged, F.col(batch).eqNullSafe(F.col("__b"))).drop("__b")
+        settled = both.filter("accepted").drop("accepted").withColumns({"try": F.lit(n), "status": F.lit("completed")})
+        done = settled if done is None else done.unionByName(settled)
+        open_ = written(both.filter("not accepted").drop("accepted"))
+        if open_.isEmpty():
+            break
+    return done.unionByName(open_.withColumns({"try": F.lit(None).cast("int"), "status": F.lit("failed")}))

@@ -81,3 +81,15 @@ def cited(answer: Column, label: str = "S") -> Column:
     """Numbers of the sources that an answer cites as [S1], each once, in order of mention."""
     found = F.regexp_extract_all(answer, F.lit(rf"\[{label}(\d+)\]"), 1)
     return F.array_distinct(F.transform(found, lambda x: x.cast("int")))
+
+
+def citations(answer: Column, sources: Column, label: str = "S") -> Column:
+    """cited, valid, coverage and correctness of the sources that an answer cites.
+
+    valid are the cited numbers from 1 to the number of sources; coverage is their share of
+    the sources, correctness their share of what is cited. Nothing to divide by gives null.
+    """
+    numbers = F.coalesce(cited(answer, label), F.array().cast("array<int>"))
+    valid = F.filter(numbers, lambda n: n.between(1, sources))
+    share = lambda n: F.round(F.size(valid) / F.nullif(n, F.lit(0)), 6)
+    return F.struct(F.size(numbers).alias("cited"), F.size(valid).alias("valid"), share(sources).alias("coverage"), share(F.size(numbers)).alias("correctness"))

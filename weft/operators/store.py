@@ -55,3 +55,21 @@ def run_settings(spark: SparkSession, settings: dict[str, str]) -> DataFrame:
     row = spark.createDataFrame([sorted(settings.items())], "s array<struct<k: string, v: string>>")
     text = F.to_json(F.map_from_entries("s"))
     return row.select(text.alias("settings"), F.sha2(text, 256).alias("fingerprint"))
+
+
+def same_settings(spark: SparkSession, settings: dict[str, str], path: str) -> bool:
+    """Whether a run starts anew at path; an error if one with other settings was begun there.
+
+    The first run stores its settings with their fingerprint; a resumed one compares its own.
+    """
+    own = run_settings(spark, settings)
+    try:
+        before = spark.read.schema(own.schema).json(path).first()
+    except Exception as e:  # nothing stored yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        own.coalesce(1).write.json(path)
+        return True
+    if before.fingerprint != own.first().fingerprint:
+        raise ValueError(f"a run with other settings was begun here: {before.settings}")
+    return False

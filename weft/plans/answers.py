@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.operators import dialogue, evaluation, retrieval, rules
+from weft.functions import text
+from weft.operators import dialogue, evaluation, preparation, retrieval, rules
 from weft.operators.records import numbered
 from weft.plans.corpus import _LEXICAL, _chunks, _terms
 from weft.session import table
@@ -125,3 +126,51 @@ def paired_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda n, name: lines.filter(F.col("l_linenumber") == n).select(F.col("l_orderkey").alias("id"), F.explode(measures).alias("x")).select("id", "x.metric", F.col("x.v").alias(name))
     pairs = written(of(1, "base").join(of(2, "other"), ["id", "metric"]))
     return evaluation.paired_report(pairs, list(_METRICS))
+
+
+@query(r"""
+WITH c AS (SELECT conv_id, string_agg('[S' || (turn + 1) || ']', ' ' ORDER BY turn) FILTER (length(text) % 2 = 0) AS answer, count(*) FILTER (role = 'user') AS sources FROM conversations GROUP BY conv_id),
+n AS (SELECT conv_id, sources, list_distinct(regexp_extract_all(coalesce(answer, ''), '\[S(\d+)\]', 1)) AS n FROM c),
+v AS (SELECT *, len(list_filter(n, lambda x: x::INT BETWEEN 1 AND sources)) AS valid FROM n)
+SELECT conv_id, CAST(len(n) AS INTEGER) AS cited, CAST(valid AS INTEGER) AS valid, round(valid / nullif(sources, 0)::DOUBLE, 6) AS coverage, round(valid / nullif(len(n), 0)::DOUBLE, 6) AS correctness FROM v
+""")
+def citation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage and correctness of citations: turns of even length are cited, the user's turns are the sources."""
+    turns = table(spark, sf_dir, "conversations").withColumn("mark", F.when(F.char_length("text") % 2 == 0, F.concat(F.lit("[S"), (F.col("turn") + 1).cast("string"), F.lit("]"))))
+    marks = F.array_sort(F.collect_list(F.when(F.col("mark").isNotNull(), F.struct("turn", "mark"))))
+    per = turns.groupBy("conv_id").agg(F.array_join(F.transform(marks, lambda x: x["mark"]), " ").alias("answer"), F.count_if(F.col("role") == "user").cast("int").alias("sources"))
+    return per.select("conv_id", rules.citations(F.col("answer"), F.col("sources")).alias("c")).select("conv_id", "c.*")
+
+
+@query("""
+WITH c AS (SELECT conv_id, CASE WHEN min(length(text)) >= 120 THEN 1 WHEN min(length(text)) >= 60 THEN 2 WHEN min(length(text)) >= 30 THEN 3 END AS t FROM conversations GROUP BY conv_id)
+SELECT conv_id, turn, CAST(t AS INTEGER) AS try, CASE WHEN t IS NULL THEN 'failed' ELSE 'completed' END AS status FROM conversations JOIN c USING (conv_id)
+""")
+def batch_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as batches; each try returns turns of half the length that the one before asked for."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("turn").alias("unit"), F.char_length("text").alias("size"))
+    back = lambda open_, n: open_.filter(F.col("size") >= 240 // 2**n)
+    return preparation.retried(turns, back, "conv_id", "unit", "turn").select("conv_id", "turn", "try", "status")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS iso FROM events")
+def events_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time stamps of events as ISO strings."""
+    return table(spark, sf_dir, "events").select("event_id", text.utc_iso(F.col("ts")).alias("iso"))
+
+
+@query("SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.9g', x::DOUBLE)), ',') || ']' AS literal FROM embeddings")
+def vector_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as text."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", text.vector_literal(F.col("embedding")).alias("literal"))
+
+
+@query("""
+WITH n AS (SELECT p_type, 'run-' || p_size || '.' || p_partkey AS name FROM part)
+SELECT p_type, arg_max(name, list_transform(regexp_extract_all(name, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE x END)) AS newest FROM n GROUP BY p_type
+""")
+def newest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the names of each type, the one with the largest numbers."""
+    name = F.concat(F.lit("run-"), F.col("p_size").cast("string"), F.lit("."), F.col("p_partkey").cast("string"))
+    rows = table(spark, sf_dir, "part").select("p_type", name.alias("name"))
+    return rows.groupBy("p_type").agg(F.max_by("name", text.version_key(F.col("name"))).alias("newest"))
