@@ -54,6 +54,12 @@ def urgent_message(level: Column, flags: Column) -> Column:
     return F.concat(F.lit(URGENT_MESSAGE[0]), told, F.lit(URGENT_MESSAGE[1]), action, F.lit(URGENT_MESSAGE[2]))
 
 
+def _patched(old: Column, told: Column) -> Column:
+    """A map with the keys of another in place of its own."""
+    rest = F.map_filter(old, lambda k, v: ~F.map_contains_key(told, k))
+    return F.when(told.isNull() | (F.size(told) == 0), old).when(old.isNull(), told).otherwise(F.map_concat(rest, told))
+
+
 def merged(base: DataFrame, patch: DataFrame, key: str, fields: list[str], nested: list[str] | None = None) -> DataFrame:
     """Base rows with the patch's non-null values, and the names of the fields that changed.
 
@@ -66,9 +72,7 @@ def merged(base: DataFrame, patch: DataFrame, key: str, fields: list[str], neste
     new = {}
     for f in open_:
         if f in (nested or []):
-            told = F.map_filter(F.col(f"__{f}"), lambda k, v: v.isNotNull())
-            rest = F.map_filter(F.col(f), lambda k, v, told=told: ~F.map_contains_key(told, k))
-            new[f] = F.when(F.col(f"__{f}").isNull() | (F.size(told) == 0), F.col(f)).when(F.col(f).isNull(), told).otherwise(F.map_concat(rest, told))
+            new[f] = _patched(F.col(f), F.map_filter(F.col(f"__{f}"), lambda k, v: v.isNotNull()))
         else:
             new[f] = F.coalesce(F.col(f"__{f}"), F.col(f))
     plain = lambda f, c: F.array_sort(F.map_entries(c)) if f in (nested or []) else c

@@ -52,7 +52,7 @@ def inspect(tables: dict[str, DataFrame]) -> DataFrame:
 
 def run_settings(spark: SparkSession, settings: dict[str, str]) -> DataFrame:
     """One row: settings as JSON and their fingerprint; a resumed run compares it first."""
-    row = spark.createDataFrame([sorted(settings.items())], "s array<struct<k: string, v: string>>")
+    row = spark.createDataFrame([(sorted(settings.items()),)], "s array<struct<k: string, v: string>>")
     text = F.to_json(F.map_from_entries("s"))
     return row.select(text.alias("settings"), F.sha2(text, 256).alias("fingerprint"))
 
