@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.automaton import Automaton
-from weft.sources.scratch import written
+from weft.sources.scratch import spread, written
 
 #: Characters of the names whose automaton is sent to all tasks; larger dictionaries go in parts.
 MOST_CHARACTERS = 1 << 22
@@ -51,7 +51,7 @@ def mentions(docs: DataFrame, names: DataFrame, most: int = MOST_CHARACTERS) ->
         return spark.createDataFrame([], shape)
     part = F.pmod(F.xxhash64(F.left("name", F.lit(2))), F.lit(parts))
     machines = [spark.sparkContext.broadcast(Automaton(sorted(r.name for r in names.filter(part == p).collect()))) for p in range(parts)]  # about `most` characters each
-    docs = docs.select("id", "text")
+    docs = spread(docs.select("id", "text"))
     if parts == 1:
         return docs.mapInArrow(_found(machines[0], True), shape)
     rows = written(docs.withColumn("row", F.monotonically_increasing_id()))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.automaton import Automaton
+from weft.sources.scratch import spread
 
 FUZZY = 0.3
 RRF_K = 60
@@ -161,6 +162,7 @@ def lexical(chunks: DataFrame, terms: DataFrame, k: int = 30, conditions: Filter
     terms = terms.filter((F.char_length(F.trim("term")) >= 2) & F.col("qid").isNotNull()).select("qid", "term").distinct()
     blocks = -(-(terms.agg(F.sum(F.char_length("term"))).first()[0] or 0) // TERM_BLOCK)
     found = spark.createDataFrame([], "qid long, id long, score double")
+    chunks = spread(chunks)
     more = sorted({c for x in conditions.conditions for c in x} - {"id", "text"}) if conditions else []
     for b in range(blocks):
         asked = sorted((r.qid, r.term) for r in terms.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).collect())

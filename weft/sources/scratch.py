@@ -31,3 +31,9 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{base.rstrip('/')}/rows-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt anew only if it comes in fewer partitions than there are cores, as one small file does."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
