@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.data import documents
 from weft.llm import decontamination, line_dedup, lm_scoring, near_dedup, substring_dedup
@@ -96,3 +97,71 @@ def test_lines_of_one_template(spark):
     links = {a: sum(near(a, b) for b in distinct if b != a) for a in distinct}
     got = line_dedup.line_dedup(documents(spark, [(i, t) for i, t in enumerate(lines)])).collect()
     assert all(r.links == links[lines[r.doc_id]] for r in got)
+
+
+def _candidates(spark, monkeypatch, lines):
+    """How many pairs of lines the operator compares: as many as are linked if all of these are."""
+    seen = []
+    saved = line_dedup.saved
+
+    def noted(df, tag):
+        out = saved(df, tag)
+        if tag == "links":
+            seen.append(out.count())
+        return out
+
+    with monkeypatch.context() as m:
+        m.setattr(line_dedup, "saved", noted)
+        m.setattr(line_dedup, "AT_ONCE", 0, raising=False)
+        m.setattr(line_dedup, "within", lambda a, b, edits: F.lit(True))
+        line_dedup.line_dedup(documents(spark, list(enumerate(lines)))).count()
+    return seen[0]
+
+
+def test_templates_do_not_make_all_pairs(spark, monkeypatch):
+    rnd = random.Random(21)
+    lines = [f"order {''.join(rnd.sample('0123456789', 10))} has been shipped from the second warehouse" for _ in range(800)]
+    lines += ["нет " + "".join(rnd.choice("абвгдежз") for _ in range(12)) + " и так далее" for _ in range(400)]
+    few = _candidates(spark, monkeypatch, lines[:400] + lines[800:1000])
+    many = _candidates(spark, monkeypatch, lines)
+    assert few < 10 * 600 and many < 10 * len(lines), (few, many)
+
+
+def test_links_in_divided_crowds(spark, monkeypatch):
+    rnd = random.Random(22)
+
+    def edited(s, n):
+        s = list(s)
+        for _ in range(n):
+            at = rnd.randrange(len(s) + 1)
+            kind = rnd.randrange(3)
+            s[at : at + (kind > 0)] = rnd.choice("abé1 ") if kind < 2 else ""
+        return "".join(s)
+
+    base = "".join(rnd.choice("abcdefgh ") for _ in range(50))
+    lines = {edited(base, rnd.randint(0, 5)) for _ in range(150)}
+    lines |= {edited("ab" * 12, rnd.randint(0, 4)) for _ in range(100)} | {edited("a" * 15, rnd.randint(0, 4)) for _ in range(60)}
+    lines |= {base[:20] + f"{i:02d}" + base[20:] + "z" * (i % 3) for i in range(50)}
+    lines = sorted(lines)
+
+    def near(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1] <= 2
+
+    links = [0] * len(lines)
+    for i, a in enumerate(lines):
+        for j in range(i):
+            if abs(len(a) - len(lines[j])) <= 2 and near(a, lines[j]):
+                links[i] += 1
+                links[j] += 1
+    for few in (2, 16):
+        with monkeypatch.context() as m:
+            m.setattr(line_dedup, "FEW", few)
+            m.setattr(line_dedup, "AT_ONCE", 0)
+            got = line_dedup.line_dedup(documents(spark, list(enumerate(lines)))).collect()
+        assert {r.doc_id: r.links for r in got} == dict(enumerate(links))

@@ -5,9 +5,10 @@ at least one of which a linked line holds unchanged, at nearly the same place: s
 index the lines by length, and each line probes them with its substrings at the few
 positions that its length and EDITS allow. Lines of fewer characters than segments are found
 by the characters, in order, that a linked line must share with them. Of the lines that meet
-at a segment only those become candidates whose counts of letters and digits allow it; these
-are verified by a banded bit-parallel edit distance: the states of the band are bits of one
-number per error count.
+at a segment, many are divided by segments of the rest, again and again; of the few that
+meet in the end only those become candidates whose counts of letters and digits allow it;
+these are verified by a banded bit-parallel edit distance: the states of the band are bits
+of one number per error count.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from weft.llm._store import partitions, saved
 EDITS = 2
 #: Characters after the first difference by which most candidates are refused.
 HEAD = 32
+#: Keys under which more lines are held are divided by what is left of the lines.
+FEW = 16
+#: What makes fewer pairs than this, or than there are rows, is compared at once instead.
+AT_ONCE = 1 << 16
 LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 
@@ -55,28 +60,136 @@ def short_looks(edits: int) -> list[tuple[int, tuple[int, ...], int]]:
     return own + [(n, at, 0) for n in range(edits + 1, 2 * edits + 1) for at in combinations(range(1, n + 1), n - edits)]
 
 
+def _placed(rows: DataFrame, edits: int) -> DataFrame:
+    """Rows (line, length and the look's d, i, s) with the looked-up line's length and the piece's place.
+
+    A line has edits + 1 segments of equal size, or one more character in the later ones;
+    base is the size of the first.
+    """
+    count = edits + 1
+    rows = rows.withColumn("other", F.col("length") - F.col("d")).filter(F.col("other") > edits)
+    rows = rows.withColumns({"base": F.floor(F.col("other") / count).cast("int"), "long_from": count - F.col("other") % count})
+    rows = rows.withColumn("size", F.col("base") + F.when(F.col("i") >= F.col("long_from"), 1).otherwise(0))
+    rows = rows.withColumn("at", F.col("i") * F.col("base") + F.greatest(F.col("i") - F.col("long_from"), F.lit(0)) + 1 + F.col("s"))
+    return rows.filter((F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("length"))).drop("long_from")
+
+
+def _looks(edits: int) -> Column:
+    """All looks as structs: d, i, s, h and their number."""
+    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("dish", x, strict=True)], F.lit(k).alias("look")) for k, x in enumerate(looks(edits))])
+
+
 def keys(lines: DataFrame, edits: int) -> DataFrame:
-    """node, key, held of (node, line, length): one row per look.
+    """node, key, look of (node, line, length): one row per look.
 
-    A line has edits + 1 segments of equal size, or one more character in the later ones.
+    look is the number in looks(), of short lines -1, or -2 for entering.
     """
     few = F.array(
         *[
-            F.struct(F.lit(n).alias("n"), F.xxhash64(F.lit("short"), F.lit(len(at)), F.concat(F.lit(""), *[F.substring("line", k, 1) for k in at])).alias("key"), F.lit(h).alias("held"))
+            F.struct(F.lit(n).alias("n"), F.xxhash64(F.lit("short"), F.lit(len(at)), F.concat(F.lit(""), *[F.substring("line", k, 1) for k in at])).alias("key"), F.lit(-1 - h).alias("look"))
             for n, at, h in short_looks(edits)
         ]
     )
-    short = lines.filter(F.col("length") <= 2 * edits).select("node", "length", F.explode(few).alias("x")).filter("x.n = length").select("node", "x.key", "x.held")
-    every = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("dish", x, strict=True)]) for x in looks(edits)])
-    rows = lines.select("node", "line", "length", F.explode(every).alias("x")).select("node", "line", "length", "x.*")
-    count = edits + 1
-    rows = rows.withColumn("other", F.col("length") - F.col("d")).filter(F.col("other") > edits)
-    rows = rows.withColumns({"base": F.floor(F.col("other") / count).cast("int"), "long_from": count - F.col("other") % count})
-    rows = rows.withColumn("size", F.col("base") + F.when(F.col("i") >= F.col("long_from"), 1).otherwise(0))
-    rows = rows.withColumn("at", F.col("i") * F.col("base") + F.greatest(F.col("i") - F.col("long_from"), F.lit(0)) + 1 + F.col("s"))
-    rows = rows.filter((F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("length")))
+    short = lines.filter(F.col("length") <= 2 * edits).select("node", "length", F.explode(few).alias("x")).filter("x.n = length").select("node", "x.key", "x.look")
+    rows = lines.select("node", "line", "length", F.explode(_looks(edits)).alias("x")).select("node", "line", "length", "x.*")
     piece = F.substring("line", F.col("at"), F.col("size"))
-    return rows.select("node", F.xxhash64("other", "i", piece).alias("key"), F.col("h").alias("held")).unionByName(short)
+    return _placed(rows, edits).select("node", F.xxhash64("other", "i", piece).alias("key"), "look").unionByName(short)
+
+
+def _blocks(edits: int) -> list[int]:
+    """Masks of the bits of counts in blocks, one of which is the same in lines within `edits` edits.
+
+    Frequent letters are dealt over the blocks.
+    """
+    out = [0] * (2 * edits + 1)
+    for k, c in enumerate("etaoinshrdlucmfwypvbgkjqxz"):
+        out[k % len(out)] |= 3 << 2 * LETTERS.index(c)
+    for k in range(len(DIGITS)):
+        out[k % len(out)] |= 1 << 2 * len(LETTERS) + k
+    return out
+
+
+def _rest() -> Column:
+    """The line without the pieces in cuts, each counted in what the cuts before it leave."""
+    return F.aggregate("cuts", F.col("line"), lambda s, c: F.concat(F.substring(s, F.lit(1), c["at"] - 1), F.substring(s, c["at"] + c["size"], F.char_length(s))))
+
+
+def _tags(level: int, edits: int) -> dict[str, Column]:
+    """One column per earlier segment, by which a pair of a crowded key is known to meet at that segment, too.
+
+    A pair that starts with the same segments need not meet at a later one, nor one that
+    has the segment before the last in common with it. Where the earlier segment would be
+    looked up at another shift than is allowed, the value is the row's own.
+    """
+    own = F.xxhash64("node", F.lit("own"))
+    out = {f"p{level}": F.when(F.col("i") > 0, F.xxhash64(F.substring("line", F.lit(1), F.col("base"))))}
+    if edits == 2:  # at the last segment: that before it, seen from the end
+        size = F.col("base") + F.when(F.col("other") % 3 == 2, 1).otherwise(0)
+        before = F.xxhash64(F.substring("line", F.col("at") - size, size))
+        out[f"q{level}"] = F.when(F.col("i") == 2, F.when(F.col("d") <= 1, before).otherwise(own))
+    return out
+
+
+def crowds(shared: DataFrame, texts: DataFrame, edits: int, most: int, bound: int) -> DataFrame:
+    """key, node, held of groups of lines that meet; where more than `most` are held under a key, of its parts.
+
+    Two lines that share a segment are linked only if what is left of them without it is
+    within as many edits. So a crowded key is divided by blocks of the counts of letters, of
+    which one at least is the same, then by the segments of the rest, with the same looks,
+    and what is still crowded by those of its rest, until groups are small or the rest is at
+    most `edits` characters (then nearly all of them are links), or until what is still
+    crowded makes `bound` pairs at most. A look for lines that much shorter stays one for
+    these, and only entries stay entries.
+    """
+    n = partitions(shared.sparkSession)
+    line = texts.select("node", "line")
+    masks = _blocks(edits)
+    done, tags = [], []
+
+    def crowded(rows: DataFrame) -> DataFrame | None:
+        """What is still to be divided of the rows; the others, where lines still meet, go to done."""
+        sums = [F.sum("held").alias("n_held"), F.min("node").alias("low"), F.max("node").alias("high"), F.min("rest").alias("least")]
+        groups = rows.groupBy("key").agg(*sums, *[f(t).alias(f"{f.__name__}_{t}") for t in tags for f in (F.min, F.max)])
+        differ = [f"(min_{t} is null or min_{t} <> max_{t})" for t in tags]
+        groups = groups.filter(" and ".join(["n_held > 0 and low <> high", *differ])).select("key", "n_held", ((F.col("n_held") <= most) | (F.col("least") <= edits)).alias("small"))
+        rows = saved(rows.join(groups, "key"), "crowd")
+        left = rows.filter("not small").agg(F.sum("n_held")).first()[0] or 0
+        done.append((rows.filter("small") if left > bound else rows).select("key", "node", "held"))
+        return rows.filter("not small").drop("n_held", "small") if left > bound else None
+
+    def cut(rows: DataFrame, level: int) -> DataFrame:
+        """Rows with what the tags and cuts of this level are."""
+        here = _tags(level, edits)
+        rows = rows.withColumns(here)
+        tags.extend(here)
+        piece = F.struct(F.col("at").cast("int").alias("at"), F.col("size").cast("int").alias("size"))
+        return rows.select("key", "node", "held", "d", (F.col("other") - F.col("size")).alias("rest"), F.concat("cuts", F.array(piece)).alias("cuts"), *tags)
+
+    rows = crowded(shared.withColumn("rest", F.when(F.col("look") < 0, 0).otherwise(edits + 1)))  # short lines under one key are nearly all links
+    if rows is not None:
+        rows = rows.join(texts.select("node", "letters"), "node")
+        block = F.posexplode(F.array(*[F.col("letters").bitwiseAND(m) for m in masks])).alias("nth", "block")
+        rows = rows.select("key", "node", "held", "look", "rest", "letters", block)
+        tags += [f"t{j}" for j in range(len(masks) - 1)]
+        rows = rows.withColumns({"key": F.xxhash64("key", "nth", "block"), **{t: F.when(F.col("nth") > j, F.col("letters").bitwiseAND(masks[j])) for j, t in enumerate(tags)}})
+        rows = crowded(saved(rows.drop("nth", "block", "letters"), "divided"))
+    if rows is not None:
+        looked = F.element_at(_looks(edits), F.col("look") + 1)
+        rows = rows.join(line, "node").select("key", "node", "held", "line", *tags, F.char_length("line").alias("length"), looked.alias("x")).select("key", "node", "held", "line", "length", *tags, "x.*")
+        rows = _placed(rows, edits).withColumn("cuts", F.array().cast("array<struct<at: int, size: int>>"))
+        rows = crowded(saved(cut(rows, 0), "divided"))
+    level = 0
+    while rows is not None:
+        level += 1
+        rows = rows.join(line, "node").withColumn("line", _rest()).withColumn("length", F.char_length("line")).withColumn("of", F.col("key")).withColumnRenamed("d", "less")
+        rows = rows.withColumn("x", F.explode(_looks(edits))).filter("x.d = less").select("of", "node", "line", "length", "held", "cuts", *tags, "x.*")
+        piece = F.substring("line", F.col("at"), F.col("size"))
+        rows = _placed(rows, edits).withColumns({"key": F.xxhash64("of", "other", "i", piece), "held": F.col("held") * F.col("h")}).repartition(n)
+        rows = crowded(saved(cut(rows, level), "divided"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def _counts() -> Column:
@@ -214,12 +327,14 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text
     once = once.select("node", "line", F.char_length("line").alias("length"))
     looked = keys(once, edits).repartition(n, "key")
     per_key = Window.partitionBy("key")
+    looked = looked.withColumn("held", (F.col("look").between(0, edits) | (F.col("look") == -2)).cast("int"))
     shared = looked.withColumns({"n_held": F.sum("held").over(per_key), "low": F.min("node").over(per_key), "high": F.max("node").over(per_key)})
-    shared = saved(shared.filter("n_held > 0 and low <> high").select("key", "node", "held").distinct(), "shared")
+    shared = saved(shared.filter("n_held > 0 and low <> high").select("key", "node", "look", "held").distinct(), "shared")
     wanted = shared.select(F.col("node").alias("want")).distinct()
     texts = once.join(wanted, F.col("node") == F.col("want"), "left_semi").groupBy("node").agg(F.first("line").alias("line"))
     texts = saved(texts.withColumn("letters", _counts()), "texts")
-    signed = shared.join(texts.select("node", "letters"), "node")
+    meet = crowds(shared, texts, edits, FEW, max(AT_ONCE, shared.count()))
+    signed = meet.distinct().join(texts.select("node", "letters"), "node")
     index = signed.filter("held = 1").select("key", "node", "letters")
     asks = signed.select(F.col("key").alias("k"), F.col("node").alias("by"), F.col("letters").alias("other"))
     near = F.bit_count(F.col("letters").bitwiseXOR(F.col("other"))) <= 2 * edits
