@@ -49,6 +49,41 @@ def test_near_copies_in_crowds(spark, block):
     assert got == dict(enumerate(components_of(rows, 5)))
 
 
+def lonely():
+    """Families of texts that are nearly near, and in each one near pair that its leaders hardly know."""
+    rnd = random.Random(6)
+    out = []
+    for f in range(4):
+        base = [f"v{f}-{rnd.randrange(5000)}" for _ in range(300)]
+        for _ in range(100):
+            w = list(base)
+            for i in rnd.sample(range(300), 5):
+                w[i] = f"x{rnd.randrange(10**6)}"
+            out.append(" ".join(w))
+        out.append(out[-1] + " tail")
+    return out
+
+
+def test_near_copies_where_no_leader_has_any(spark):
+    rows = lonely()
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(documents(spark, list(enumerate(rows))), block=16).collect()}
+    assert got == dict(enumerate(components_of(rows, 5)))
+
+
+def test_empty_registers_borrow():
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    hits = []
+    for _ in range(300):
+        common, one, two = (np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)) for n in (16, 2, 2))
+        rows = near_dedup.filled(near_dedup.registers([np.sort(np.r_[common, x]) for x in (one, two)]))
+        assert (rows != near_dedup.EMPTY).all()
+        hits.append((rows[0] == rows[1]).mean())
+    assert abs(np.mean(hits) - 0.8) < 0.02
+    assert (near_dedup.filled(near_dedup.registers([common[:0]])) == near_dedup.EMPTY).all()
+
+
 def thue_morse(n, one="a", other="b"):
     return "".join(other if bin(i).count("1") % 2 else one for i in range(n))
 

@@ -2,8 +2,9 @@
 
 A document is the set of its word shingles. Its sketch has one register for each of 128
 buckets: the leading-zero count of the bucket's smallest hash and ten mantissa bits after
-the first one. Bands of four registers bring candidates together, a collision-corrected
-estimate rules out those far below the threshold, and links are confirmed on the full sets.
+the first one. Empty registers borrow from others; bands of four registers
+bring candidates together, a collision-corrected estimate rules out those far below the
+threshold, and links are confirmed on the full sets.
 
 Equal sets are one class from the start, so copies are never paired. Neither stage emits
 pairs: each returns spanning forests of what it linked. Of a bucket or family of many
@@ -95,23 +96,49 @@ def _sketch(k: int, key: int):
     return run
 
 
+#: Of each register, the order in which it borrows from the others where it is empty.
+_LENDERS = np.random.default_rng(1).permuted(np.tile(np.arange(1 << BUCKET_BITS), (1 << BUCKET_BITS, 1)), axis=1)
+
+
+def filled(rows: np.ndarray) -> np.ndarray:
+    """Registers, the empty ones with the value of the first lender that has one.
+
+    Any two sets agree in such a register with the odds of their similarity, so that bands of
+    small sets say as much as those of large ones.
+    """
+    out = rows.copy()
+    which, at = np.nonzero((rows == EMPTY) & (rows != EMPTY).any(1)[:, None])
+    for step in range(rows.shape[1]):
+        if not len(which):
+            break
+        value = rows[which, _LENDERS[at, step]]
+        full = value != EMPTY
+        out[which[full], at[full]] = value[full]
+        which, at = which[~full], at[~full]
+    return out
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, band and key (the band's four registers) of each band that is not empty."""
+    """node, band and key (the band's four registers, filled) of each band."""
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = np.frombuffer(b"".join(batch.column("registers").to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1)
-        keys = np.ascontiguousarray(rows).view(np.int64)
-        some = (rows.reshape(len(rows), -1, BAND) != EMPTY).any(2)
-        which, band = np.nonzero(some)
-        node = batch.column("node").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(node[which]), pa.array(band.astype(np.int32)), pa.array(keys[which, band])], names=["node", "band", "key"])
+        keys = np.ascontiguousarray(filled(rows)).view(np.int64)
+        node, bands = batch.column("node").to_numpy(), keys.shape[1]
+        band = np.tile(np.arange(bands, dtype=np.int32), len(keys))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, bands)), pa.array(band), pa.array(keys.ravel())], names=["node", "band", "key"])
 
 
 def _near(threshold: float, one: np.ndarray, n, others: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimates, and which of them may stand for a similarity of the threshold or more."""
+    """Estimates, and which of them may stand for a similarity of the threshold or more.
+
+    Sets of n and m members that are so similar differ in (n + m) * (1 - t) / (1 + t) at most,
+    and a register can differ only by one of these.
+    """
     guess, used = estimates(one, n, others, sizes)
     near = guess >= threshold - SLACK * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1))
+    near &= (others != one).sum(1) <= (n + sizes) * (1 - threshold) / (1 + threshold) + 1e-9
     return guess, near & (np.minimum(n, sizes) >= threshold * np.maximum(n, sizes) * (1 - 1e-12))
 
 
@@ -247,7 +274,8 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
         .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
-    bands = classes.select("node", "registers").mapInArrow(_bands, "node long, band int, key long")
+    # Smaller sets are as similar as that to none but themselves.
+    bands = classes.filter(F.col("n_shingles") * 100 >= (F.col("n_shingles") + 1) * percent).select("node", "registers").mapInArrow(_bands, "node long, band int, key long")
     shared = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = saved(bands.join(saved(shared.select("band", "key"), "repeated"), ["band", "key"]), "members")
     # Near copies share many bands: of buckets with the very same members one is enough.
