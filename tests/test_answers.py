@@ -96,6 +96,14 @@ def test_numbers_in_groups_and_settings_and_texts(spark, tmp_path):
     assert [r.n for r in names] == ["c-2", "c-9", "c-10"]
 
 
+def test_vector_literals_round_the_number_itself(spark):
+    values = [2.0**-13, -(2.0**-13), 3 * 2.0**-13, 0.12345678949999999, -0.0, float("nan"), float("inf"), 1e-45, 999999999.5]
+    rows = spark.createDataFrame([(values,), ([],), (None,), ([None, 0.5, None],)], "v array<double>")
+    got = [r[0] for r in rows.coalesce(1).select(text.vector_literal(F.col("v"))).collect()]
+    assert got == ["[" + ",".join(f"{x:.9g}" for x in values) + "]", "[]", None, "[0.5]"]
+    assert got[0].startswith("[0.000122070312,-0.000122070312,0.000366210938,")
+
+
 def test_report_on_pairs(spark):
     rows = [(i, m, float(i), float(i + k)) for i in range(30) for k, m in ((1, "x"), (-2, "y"))] + [(99, "x", None, 1.0)]
     got = {r.metric: r for r in evaluation.paired_report(spark.createDataFrame(rows, "id long, metric string, base double, other double"), ["x", "y", "z"], resamples=50).collect()}

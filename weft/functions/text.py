@@ -120,19 +120,18 @@ def utc_iso(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
 
 
-def significant(c: Column) -> Column:
-    """A number with nine significant digits, as C writes it: no trailing zeros, exponents only for small and large ones."""
-    wide = F.format_string("%.8e", c.cast("double"))
-    power = F.regexp_extract(wide, "e([+-][0-9]+)$", 1).cast("int")
-    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    plain = bare(wide.cast("decimal(38,18)").cast("string"))
-    short = F.concat(bare(F.regexp_extract(wide, "^([^e]+)e", 1)), F.regexp_extract(wide, "(e.*)$", 1))
-    return F.when(c == 0, "0").when(power.between(-4, 8), plain).otherwise(short)
+@F.pandas_udf(StringType())
+def significant_udf(v: pd.Series) -> pd.Series:
+    """Numbers with nine significant digits, as C writes them, joined by commas.
+
+    Spark's own formats round the shortest decimal form, half up, and not the number itself.
+    """
+    return v.map(lambda x: None if x is None else ",".join([f"{y:.9g}" for y in x]))
 
 
 def vector_literal(v: Column) -> Column:
     """A vector as text: numbers of nine significant digits in square brackets."""
-    return F.concat(F.lit("["), F.array_join(F.transform(v, significant), ","), F.lit("]"))
+    return F.concat(F.lit("["), significant_udf(F.filter(v, lambda x: x.isNotNull()).cast("array<double>")), F.lit("]"))
 
 
 def version_key(c: Column) -> Column:
