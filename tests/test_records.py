@@ -96,3 +96,13 @@ def test_near_ratio_values(spark):
     rows = [("abcd" * 20, "abcd" * 20), ("abcd" * 20, "abcd" * 19 + "abxd"), ("abcd" * 20, "dcba" * 20), (None, "a"), ("a", "aaaa"), ("", "")]
     got = [r.v for r in spark.createDataFrame(rows, "a string, b string").select(near_ratio_udf(0.93)("a", "b").alias("v")).collect()]
     assert got == [1.0, 158 / 160, None, None, None, 1.0]
+
+
+def test_sums_that_do_not_depend_on_order(spark, tmp_path):
+    from weft.plans import corpus
+
+    rows = [(1, 0.3), (1, 0.2), (1, 0.1), (2, 0.1), (2, 0.2), (2, 0.3), (3, float("nan")), (3, 1.0), (4, 1e300), (4, 1.0), (5, None), (6, 0.61)]
+    spark.createDataFrame(rows, "o_custkey long, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i, 7, -1.0) for i in range(1, 7)], "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r.c_custkey: (r.nation_rank, r.orders_n) for r in corpus.ranked_orders(spark, str(tmp_path)).collect()}
+    assert got == {3: (1, 2), 4: (2, 2), 6: (3, 1), 1: (4, 3), 2: (5, 3), 5: (6, 1)}

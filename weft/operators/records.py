@@ -51,6 +51,17 @@ def looked_up(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return found.filter(F.when(F.col("__found"), F.lit(True)).otherwise(missing.cast("boolean"))).drop("__found")
 
 
+def exact_sum(c: Column) -> Column:
+    """The sum of numbers with up to nine decimals, the same in whatever order they come.
+
+    Sums of doubles depend on it, so that equal sums differ and what is ordered by them is
+    left to chance. Where a number has more decimals, or none at all, doubles are added.
+    """
+    held = c.try_cast("decimal(27,9)")
+    exact = F.count(c) == F.count_if(held.cast("double") == c)
+    return F.when(exact, F.sum(held).cast("double")).otherwise(F.sum(c))
+
+
 def funnel(rows: DataFrame, stages: dict[str, Column]) -> DataFrame:
     """One row of counters: raw, then per stage the rows that pass it and all before it."""
     passed, counts = F.lit(True), [F.count(F.lit(1)).alias("raw")]

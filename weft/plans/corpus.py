@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.functions.text import canonical, trigrams, words
-from weft.operators import audit, preparation, retrieval, rules, store, structure
+from weft.operators import audit, preparation, records, retrieval, rules, store, structure
 from weft.session import table
 
 QUERIES: dict = {}
@@ -396,7 +396,7 @@ FROM customer JOIN (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS total
 """)
 def ranked_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with their orders, ranked by value within their nation."""
-    per = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders_n"), F.sum("o_totalprice").alias("total"))
+    per = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders_n"), records.exact_sum(F.col("o_totalprice")).alias("total"))
     rows = table(spark, sf_dir, "customer").join(per, F.col("c_custkey") == F.col("o_custkey"))
     rank = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("total"), "c_custkey"))
     return rows.select("c_custkey", F.greatest("c_acctbal", F.lit(0.0)).alias("kept"), "orders_n", rank.cast("long").alias("nation_rank"))
