@@ -106,3 +106,23 @@ def test_sums_that_do_not_depend_on_order(spark, tmp_path):
     spark.createDataFrame([(i, 7, -1.0) for i in range(1, 7)], "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
     got = {r.c_custkey: (r.nation_rank, r.orders_n) for r in corpus.ranked_orders(spark, str(tmp_path)).collect()}
     assert got == {3: (1, 2), 4: (2, 2), 6: (3, 1), 1: (4, 3), 2: (5, 3), 5: (6, 1)}
+
+
+def test_similar_names_of_many_parts(spark, tmp_path):
+    from weft.plans import corpus
+
+    rnd = random.Random(5)
+    names = [f"{a} {b}" for a in ("large", "larger", "hot", "cold") for b in ("ring", "rings", "bolt")] + [None, "", "- -", "Ring LARGE"]
+    rows = [(i, rnd.choice(names)) for i in range(300)] + [(20, "large ring"), (21, "cold bolt"), (None, "large ring")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    grams = {}
+    for i, name in rows:
+        for w in (name or "").replace("-", " ").lower().split():
+            grams.setdefault(i, set()).update(f"  {w} "[j : j + 3] for j in range(len(w) + 1))
+    grams.pop(None)
+    want = set()
+    for q in (i for i in grams if i % 20 == 0):
+        near = [(-round(len(grams[q] & grams[i]) / len(grams[q] | grams[i]), 9), i) for i in grams if i != q]
+        want |= {(q, i, -s, n) for n, (s, i) in enumerate(sorted(x for x in near if x[0] <= -0.3)[:10], 1)}
+    found = corpus.trigram_similarity_topk(spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == want and [f.dataType.simpleString() for f in found.schema] == ["bigint", "bigint", "double", "int"]

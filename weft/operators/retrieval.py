@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.automaton import Automaton
-from weft.sources.scratch import spread
+from weft.sources.scratch import spread, written
 
 FUZZY = 0.3
 RRF_K = 60
@@ -178,6 +178,26 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def alike(rows: DataFrame, asked: DataFrame, k: int, least: float = FUZZY) -> DataFrame:
+    """The k rows (id, g) with the most similar sets of grams for each asked id (qid), itself left out.
+
+    Grams have three characters, and rows of one id are one set. Equal sets are one class: only
+    classes are compared, and of each the k + 1 smallest ids suffice. Score, ties by id, and rank.
+    """
+    of_id = rows.filter("id is not null").groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("g")))).alias("g"))
+    sets = written(of_id.filter(F.size("g") > 0).select("id", F.array_join("g", "").alias("key"), "g"))
+    wanted = asked.join(sets, asked.qid == sets.id).select("qid", "key")
+    grams = sets.select("key", "g").distinct().select("key", F.size("g").alias("n"), F.explode("g").alias("gram"))
+    of_asked = grams.join(wanted.select("key").distinct(), "key").select(F.col("key").alias("of"), F.col("n").alias("m"), "gram")
+    shared = grams.join(of_asked, "gram").groupBy("of", "key", "n", "m").count()
+    scored = shared.select("of", "key", F.round(F.col("count") / (F.col("n") + F.col("m") - F.col("count")), 9).alias("score")).filter(F.col("score") >= least)
+    first = sets.select("key", "id").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter(F.col("place") <= k + 1)
+    best = ranked(scored.join(first, "key").select(F.col("of").alias("qid"), "id", "score"), k + 1)
+    best = best.groupBy(F.col("qid").alias("key")).agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score"))).alias("best"))
+    others = wanted.join(best, "key").select("qid", F.posexplode(F.slice(F.filter("best", lambda x: x["id"] != F.col("qid")), 1, k)).alias("at", "hit"))
+    return others.select("qid", "hit.id", "hit.score", (F.col("at") + 1).alias("rank"))
+
+
 def _nearest(shared, k: int, conditions: Filters | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, matrix = shared.value

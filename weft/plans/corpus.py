@@ -336,12 +336,8 @@ SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number(
 """)
 def trigram_similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part names most similar to those of every part with a key divisible by 20."""
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), trigrams(F.col("p_name")).alias("g")).withColumn("n", F.size("g"))
-    grams = parts.select("id", "n", F.explode("g").alias("gram"))
-    asked = grams.filter("id % 20 = 0").select(F.col("id").alias("qid"), F.col("n").alias("m"), "gram")
-    shared = grams.join(asked, "gram").filter("id <> qid").groupBy("qid", "id", "n", "m").count()
-    scored = shared.select("qid", "id", F.round(F.col("count") / (F.col("n") + F.col("m") - F.col("count")), 9).alias("score"))
-    return retrieval.ranked(scored.filter(F.col("score") >= retrieval.FUZZY), 10)
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), trigrams(F.col("p_name")).alias("g"))
+    return retrieval.alike(parts, parts.filter("id % 20 = 0").select(F.col("id").alias("qid")).distinct(), 10)
 
 
 @query("""
