@@ -231,3 +231,24 @@ def test_near_pairs_miss_nothing(spark, cell, monkeypatch):
                     want[tuple(sorted((node[i], node[j])))] = plain_ratio(a, b)
     assert want and found == pytest.approx(want)
     assert {i for i in node} == {i for i, t in enumerate(texts) if len(t) >= 45}
+
+
+def test_pool_loses_no_near_text():
+    rnd = random.Random(21)
+    base = ["".join(rnd.choice("abcde") for _ in range(n)) for n in (45, 60, 61, 150, 400) for _ in range(6)]
+    pool = similarity.NearPool(base, 0.93, 45, 0.1, None)
+    found = 0
+    for text in base:
+        for _ in range(12):
+            t = list(text)
+            for _ in range(rnd.randint(0, len(t) // 9)):
+                at = rnd.randrange(len(t))
+                t[at : at + rnd.randint(0, 1)] = rnd.choice(["", "x", "a"])
+            t = "".join(t)
+            want = {i: plain_ratio(b, t) for i, b in enumerate(base) if min(len(b), len(t)) >= 45 and abs(len(b) - len(t)) <= 0.1 * max(len(b), len(t))}
+            want = {i: r for i, r in want.items() if r >= 0.93}
+            got = dict(pool.near(t))
+            assert got == pytest.approx(want)
+            assert set(dict(pool.near(t, 7))) == {i for i in want if i < 7}
+            found += len(want)
+    assert found > 100
